@@ -1,0 +1,59 @@
+"""Work on keys that may hold a large share of all rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from tallyframe.config import LIMITS
+
+
+def split_hot(df: DataFrame, key: str, hot_rows: int = LIMITS.hot_rows) -> tuple[DataFrame, DataFrame]:
+    """(rows of ordinary keys, rows of hot keys); together exactly the input.
+
+    Counting combines on the map side. A key is hot only above ``hot_rows`` rows, so
+    the broadcast list has at most rows / hot_rows entries whatever the data looks like.
+    """
+    hot_keys = (
+        df.filter(F.col(key).isNotNull()).groupBy(key).count().filter(F.col("count") > hot_rows).select(key)
+    )
+    cold = df.join(F.broadcast(hot_keys), key, "left_anti")
+    hot = df.join(F.broadcast(hot_keys), key, "left_semi")
+    return cold, hot
+
+
+def number_rows(
+    df: DataFrame,
+    key: str,
+    order: list[str],
+    slices: list[Column],
+    name: str,
+    hot_rows: int = LIMITS.hot_rows,
+) -> DataFrame:
+    """Row number 1.. within ``key`` by ``order``, without sorting a hot key in one task.
+
+    Ordinary keys take one window. Hot keys are cut into ``slices`` that follow the
+    same order; each slice is numbered on its own and shifted by the number of rows in
+    the slices before it, which is a window over slice counts only.
+    """
+    cold, hot = split_hot(df, key, hot_rows)
+    plain = cold.withColumn(
+        name, F.row_number().over(Window.partitionBy(key).orderBy(*order)).cast("long")
+    )
+    cut_names = [f"__slice{i}" for i in range(len(slices))]
+    cut = hot.withColumns(dict(zip(cut_names, slices)))
+    before = Window.partitionBy(key).orderBy(*cut_names).rowsBetween(Window.unboundedPreceding, -1)
+    starts = (
+        cut.groupBy(key, *cut_names)
+        .count()
+        .withColumn("__start", F.coalesce(F.sum("count").over(before), F.lit(0)))
+        .drop("count")
+    )
+    within = Window.partitionBy(key, *cut_names).orderBy(*order)
+    sliced = (
+        cut.withColumn("__at", F.row_number().over(within))
+        .join(starts, [key, *cut_names])
+        .withColumn(name, (F.col("__start") + F.col("__at")).cast("long"))
+        .drop("__start", "__at", *cut_names)
+    )
+    return plain.unionByName(sliced.select(*plain.columns))
