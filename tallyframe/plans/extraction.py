@@ -1 +1,204 @@
-"""To come."""
+"""Queries for extraction results."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyframe.functions.columns import MONEY, parse_number, strip
+from tallyframe.operators import extraction as ops
+from tallyframe.plans.fixture_sql import with_tables
+from tallyframe.plans.registry import query
+from tallyframe.plans.tables import as_of, with_workflow_columns
+from tallyframe.sources import derived
+
+# one row per invoice page of at most 50 lines, see derived.payloads
+_PAGES = {
+    "paged": """
+SELECT inv.*, coalesce(p.page, 0) AS page, src_key % 53 = 0 AS bad FROM inv
+LEFT JOIN (SELECT DISTINCT invoice_id, (line_number - 1) // 50 AS page FROM lines) p ON p.invoice_id = src_key""",
+}
+
+
+def _payloads(spark: SparkSession, sf: str) -> DataFrame:
+    return derived.payloads(derived.invoices(spark, sf), derived.lines(spark, sf))
+
+
+def _parsed(spark: SparkSession, sf: str) -> DataFrame:
+    return ops.parse_payload(_payloads(spark, sf))
+
+
+@query("strip_fences", with_tables("SELECT id, page, true AS starts_with_brace, 0::bigint AS fences FROM paged", **_PAGES))
+def _strip(spark: SparkSession, sf: str) -> DataFrame:
+    text = ops.strip_fences(F.col("payload"))
+    return _payloads(spark, sf).select(
+        "id",
+        "page",
+        strip(text).startswith("{").alias("starts_with_brace"),
+        F.regexp_count(text, F.lit("```")).cast("long").alias("fences"),
+    )
+
+
+@query(
+    "parse_payload",
+    with_tables("SELECT id, page, CASE WHEN bad THEN 'FAILED' ELSE 'OK' END AS parse_status FROM paged", **_PAGES),
+)
+def _parse(spark: SparkSession, sf: str) -> DataFrame:
+    return _parsed(spark, sf).select("id", "page", "parse_status")
+
+
+@query(
+    "flatten_header",
+    with_tables(
+        """SELECT id, page, CASE WHEN NOT bad THEN vendor_name END AS vendor_name, CASE WHEN NOT bad THEN invoice_date END AS invoice_date,
+  CASE WHEN NOT bad THEN currency END AS currency, CASE WHEN NOT bad THEN CAST(total_amount AS double) END AS amount FROM paged""",
+        **_PAGES,
+    ),
+)
+def _header(spark: SparkSession, sf: str) -> DataFrame:
+    out = ops.typed_header(ops.flatten_header(_parsed(spark, sf)))
+    return out.select("id", "page", "vendor_name", "invoice_date", "currency", F.col("amount").cast("double").alias("amount"))
+
+
+@query(
+    "flatten_lines",
+    with_tables(
+        """SELECT inv.id, line_number, description, quantity, CAST(unit_price AS double) AS unit_price, CAST(total_price AS double) AS total_price
+FROM inv JOIN lines ON invoice_id = src_key WHERE src_key % 53 <> 0"""
+    ),
+)
+def _lines(spark: SparkSession, sf: str) -> DataFrame:
+    rows = ops.flatten_lines(_parsed(spark, sf)).select("id", "page", F.posexplode("line_items").alias("pos", "line"))
+    money = lambda c: parse_number(F.col(f"line.{c}")).cast(MONEY).cast("double").alias(c)
+    return rows.select(
+        "id",
+        (F.col("page") * derived.PAGE_LINES + F.col("pos") + 1).alias("line_number"),
+        F.col("line.description").alias("description"),
+        parse_number(F.col("line.quantity")).alias("quantity"),
+        money("unit_price"),
+        money("total_price"),
+    )
+
+
+@query(
+    "pick_confidence",
+    with_tables(
+        """SELECT id, page, CASE WHEN bad OR src_key % 17 = 0 THEN NULL WHEN src_key % 19 = 0 THEN 0.0::double ELSE confidence_score END AS confidence_score
+FROM paged""",
+        **_PAGES,
+    ),
+)
+def _confidence(spark: SparkSession, sf: str) -> DataFrame:
+    return ops.pick_confidence(_parsed(spark, sf)).select("id", "page", "confidence_score")
+
+
+@query(
+    "keep_raw",
+    with_tables(
+        """SELECT id, page, NOT bad AS has_raw, CASE WHEN NOT bad AND src_key % 7 <> 0 THEN 0.9::double END AS vendor_confidence,
+  CASE WHEN NOT bad THEN vendor_name END AS vendor_name FROM paged""",
+        **_PAGES,
+    ),
+)
+def _raw(spark: SparkSession, sf: str) -> DataFrame:
+    out = ops.flatten_header(ops.keep_raw(_parsed(spark, sf)))
+    kept = F.try_parse_json("ai_structured_output")
+    return out.select(
+        "id",
+        "page",
+        F.col("ai_structured_output").isNotNull().alias("has_raw"),
+        F.try_variant_get(kept, "$.vendor_name.confidence", "double").alias("vendor_confidence"),
+        "vendor_name",
+    )
+
+
+@query(
+    "needs_extraction",
+    """SELECT md5(text) AS content_key, min(doc_id) AS doc_id FROM documents GROUP BY text
+HAVING min(doc_id) % 2 = 0 OR min(doc_id) % 53 = 0""",
+)
+def _needs(spark: SparkSession, sf: str) -> DataFrame:
+    docs = derived.table(spark, sf, "documents")
+    done = ops.parse_payload(derived.mail_payloads(docs.filter("doc_id % 2 = 1 OR doc_id % 53 = 0")))
+    # results exist for texts whose first copy has an odd doc_id; the truncated ones among them failed
+    firsts = docs.groupBy(F.md5(F.col("text").cast("binary")).alias("content_key")).agg(F.min("doc_id").alias("d"))
+    done = done.join(firsts.filter("d % 2 = 1 AND d % 53 <> 0"), "content_key", "left_semi")
+    return ops.needs_extraction(docs.select("doc_id", F.col("text").cast("binary").alias("content")), done)
+
+
+@query(
+    "sanitize",
+    """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN value END AS score, CASE WHEN event_id % 3 <> 1 THEN value END AS list_value,
+  CASE WHEN event_id % 5 <> 0 THEN value END AS struct_value, CASE WHEN event_id % 7 <> 0 THEN value END AS map_value FROM events""",
+)
+def _sanitize(spark: SparkSession, sf: str) -> DataFrame:
+    n, v = F.col("event_id"), F.col("value")
+    nan, inf = F.lit(float("nan")), F.lit(float("inf"))
+    spoiled = derived.table(spark, sf, "events").select(
+        "event_id",
+        F.when(n % 3 == 0, v).when(n % 3 == 1, nan).otherwise(-inf).alias("score"),
+        F.array(F.when(n % 3 != 1, v).otherwise(inf)).alias("list"),
+        F.struct(F.when(n % 5 != 0, v).otherwise(nan).alias("x")).alias("deep"),
+        F.create_map(F.lit("k"), F.when(n % 7 != 0, v).otherwise(nan)).alias("map"),
+    )
+    return ops.sanitize(spoiled).select(
+        "event_id",
+        "score",
+        F.col("list")[0].alias("list_value"),
+        F.col("deep.x").alias("struct_value"),
+        F.col("map")["k"].alias("map_value"),
+    )
+
+
+@query(
+    "explanations_long",
+    with_tables(
+        """SELECT id, page, t.field, t.explanation FROM paged, (VALUES ('Vendor Name', 'Top left'), ('Invoice Date', 'Next to label'), ('Total Amount', 'Last line')) t(field, explanation)
+WHERE NOT bad""",
+        **_PAGES,
+    ).replace("id, page, t.field", "id, t.field"),
+)
+def _explanations(spark: SparkSession, sf: str) -> DataFrame:
+    return ops.explanations_long(ops.explanation_map(_parsed(spark, sf)))
+
+
+@query(
+    "apply_reprocessed",
+    with_tables(
+        """SELECT id, approval_stage, created_by, CASE WHEN src_key % 8 = 0 THEN concat(vendor_name, ' v2') ELSE vendor_name END AS vendor_name,
+  CASE WHEN src_key % 8 = 0 THEN 0.99::double ELSE confidence_score END AS confidence_score,
+  CASE WHEN src_key % 8 = 0 THEN 'v2' ELSE 'v1' END AS ai_version,
+  CASE WHEN src_key % 8 = 0 THEN TIMESTAMP '2001-08-05 00:00:00' WHEN src_key % 97 = 0 THEN created_at + INTERVAL '20' DAY END AS reprocessed_at FROM inv"""
+    ),
+)
+def _reprocessed(spark: SparkSession, sf: str) -> DataFrame:
+    inv = with_workflow_columns(derived.invoices(spark, sf))
+    new = (
+        inv.filter("src_key % 8 = 0")
+        .groupBy("document_hash")
+        .agg(F.concat(F.min("vendor_name"), F.lit(" v2")).alias("vendor_name"))
+        .withColumn("confidence_score", F.lit(0.99))
+    )
+    out = ops.apply_reprocessed(inv, new, "v2", as_of())
+    return out.select("id", "approval_stage", "created_by", "vendor_name", "confidence_score", "ai_version", "reprocessed_at")
+
+
+@query(
+    "hydrate",
+    with_tables(
+        """SELECT id, page, CASE WHEN NOT bad THEN vendor_name END AS vendor_name, created_by, approval_stage, approval_timestamp, processing_status,
+  document_hash, confidence_score, 'v2' AS ai_version FROM paged""",
+        **_PAGES,
+    ),
+)
+def _hydrate(spark: SparkSession, sf: str) -> DataFrame:
+    inv = with_workflow_columns(derived.invoices(spark, sf)).withColumn("ai_version", F.lit(""))
+    pages = _payloads(spark, sf).select("id", "page", F.col("payload").alias("ai_raw_data"))
+    rows = inv.withColumns(
+        {"risk_level": F.lit("LOW"), "risk_score": F.lit(0), "flag_reason": F.lit(None).cast("string")}
+    ).join(pages, "id")
+    out = ops.hydrate(rows, "v2")
+    return out.select(
+        "id", "page", "vendor_name", "created_by", "approval_stage", "approval_timestamp", "processing_status",
+        "document_hash", "confidence_score", "ai_version",
+    )

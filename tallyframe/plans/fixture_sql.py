@@ -127,12 +127,15 @@ def with_tables(sql: str, **extra: str) -> str:
     tables = {**CTES, **extra}
     order: list[str] = []
 
+    open_names: set[str] = set()
+
     def need(text: str) -> None:
         for name, body in tables.items():
-            if name not in order and re.search(rf"\b(FROM|JOIN)\s+{name}\b", text, re.IGNORECASE):
+            known = name in order or name in open_names
+            if not known and re.search(rf"\b(FROM|JOIN)\s+{name}\b", text, re.IGNORECASE):
+                open_names.add(name)
                 need(body)
-                if name not in order:
-                    order.append(name)
+                order.append(name)
 
     need(sql)
     if not order:
