@@ -30,9 +30,16 @@ def _low_confidence() -> Column:
 
 
 def coerce_types(df: DataFrame, numbers: list[str], times: list[str]) -> DataFrame:
-    """Text to numbers and zone-free timestamps; what cannot be read becomes null."""
-    changes = {c: parse_number(F.col(c)) for c in numbers}
-    changes |= {c: F.try_to_timestamp(c).cast("timestamp_ntz") for c in times}
+    """Text to numbers and zone-free timestamps; what cannot be read, and NaN, becomes null.
+
+    A zone mark after the time is dropped; the written wall-clock time stays.
+    """
+    number = {c: parse_number(F.col(c)) for c in numbers}
+    changes = {c: F.when(~F.isnan(value), value) for c, value in number.items()}
+    zone = r"(\d{2}:\d{2}[0-9:.]*)\s*(Z|[+-]\d{2}:?\d{2})$"
+    for c in times:
+        local = F.regexp_replace(F.col(c).cast("string"), zone, "$1")
+        changes[c] = F.try_to_timestamp(local).cast("timestamp_ntz")
     return df.withColumns(changes)
 
 

@@ -266,11 +266,10 @@ def _risk_report(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "coerce_types",
     with_tables(
-        """SELECT id, CASE WHEN total_amount = 'N/A' THEN NULL WHEN total_amount = 'NaN' THEN -1.0 ELSE CAST(total_amount AS double) END AS total_amount,
+        """SELECT id, CASE WHEN total_amount = 'N/A' THEN NULL WHEN total_amount = 'NaN' THEN NULL ELSE CAST(total_amount AS double) END AS total_amount,
   CASE WHEN invoice_date = 'unknown' THEN NULL ELSE CAST(invoice_date AS timestamp) END AS invoice_date FROM hdr"""
     ),
 )
 def _coerce(spark: SparkSession, sf: str) -> DataFrame:
     out = ops.coerce_types(derived.raw_headers(_inv(spark, sf)), ["total_amount"], ["invoice_date"])
-    shown = F.when(F.isnan("total_amount"), -1.0).otherwise(F.col("total_amount"))
-    return out.select("id", shown.alias("total_amount"), "invoice_date")
+    return out.select("id", "total_amount", "invoice_date")
