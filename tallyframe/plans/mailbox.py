@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyframe import session
 from tallyframe.config import MailRules
 from tallyframe.functions.columns import MONEY
 from tallyframe.operators import extraction, mail, validation
@@ -105,7 +106,8 @@ def stored(docs: DataFrame) -> DataFrame:
 def _outcomes(spark: SparkSession, sf: str, screened: DataFrame | None = None) -> DataFrame:
     docs = _docs(spark, sf)
     kept = (screened or _screened(spark, sf)).filter("kept")
-    return mail.ingest_outcome(kept, results(docs), stored(docs))
+    # Extraction results are a stored table in use; writing them keeps JSON parsing out of the joins.
+    return mail.ingest_outcome(kept, session.stored(results(docs), "results"), stored(docs))
 
 
 @query("newest_messages", _sql("SELECT message_id, sender, subject FROM msgs ORDER BY message_id DESC LIMIT 100"))
@@ -194,7 +196,7 @@ def _outcome(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("ingest_summary", _sql("SELECT * FROM summary"))
 def _summary(spark: SparkSession, sf: str) -> DataFrame:
-    screened = _screened(spark, sf)
+    screened = session.stored(_screened(spark, sf), "screened")  # two readers, one parse
     return mail.ingest_summary(screened, _outcomes(spark, sf, screened))
 
 
@@ -206,6 +208,6 @@ def _summary(spark: SparkSession, sf: str) -> DataFrame:
     ),
 )
 def _status(spark: SparkSession, sf: str) -> DataFrame:
-    screened = _screened(spark, sf)
+    screened = session.stored(_screened(spark, sf), "screened")
     summary = mail.ingest_summary(screened, _outcomes(spark, sf, screened))
     return mail.ingest_status(summary).select("ingested", "failed", "errors", "status")

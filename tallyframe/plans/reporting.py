@@ -1 +1,167 @@
-"""To come."""
+"""Queries for report tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyframe.functions.columns import MONEY, parse_number
+from tallyframe.operators import extraction, reports
+from tallyframe.operators.vendors import vendor_profile
+from tallyframe.plans.fixture_sql import with_tables
+from tallyframe.plans.registry import query
+from tallyframe.plans.tables import as_of, ledger
+from tallyframe.sources import derived
+
+_PAGES = {
+    "paged": """
+SELECT inv.*, coalesce(p.page, 0) AS page, src_key % 53 = 0 AS bad FROM inv
+LEFT JOIN (SELECT DISTINCT invoice_id, (line_number - 1) // 50 AS page FROM lines) p ON p.invoice_id = src_key""",
+}
+
+
+@query(
+    "serialize_nested",
+    """SELECT event_id, CAST(to_json({'user_id': user_id, 'event_type': event_type}) AS varchar) AS who,
+  CAST(to_json([event_id, user_id]) AS varchar) AS ids FROM events""",
+)
+def _serialize(spark: SparkSession, sf: str) -> DataFrame:
+    nested = derived.table(spark, sf, "events").select(
+        "event_id", F.struct("user_id", "event_type").alias("who"), F.array("event_id", "user_id").alias("ids")
+    )
+    return reports.serialize_nested(nested)
+
+
+@query(
+    "workflow_view",
+    with_tables(
+        """SELECT id AS invoice_id, vendor_name, source, approval_stage, status, processing_status, risk_level, CAST(risk_score AS bigint) AS risk_score,
+  created_by, reviewed_by, approved_by, audited, created_at, approval_timestamp FROM ledger"""
+    ),
+)
+def _view(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.workflow_view(ledger(spark, sf)).withColumn("risk_score", F.col("risk_score").cast("long"))
+
+
+def payload_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """(id, vendor_name, page, src_key, ai_raw_data, ai_structured_output) per payload page.
+
+    Every fifth invoice keeps its payload only as the structured copy.
+    """
+    inv = derived.invoices(spark, sf)
+    read = extraction.keep_raw(extraction.parse_payload(derived.payloads(inv, derived.lines(spark, sf))))
+    names = inv.select("id", "vendor_name")
+    only_copy = F.col("src_key") % 5 == 0
+    return read.join(names, "id").select(
+        "id",
+        "vendor_name",
+        "page",
+        "src_key",
+        F.when(~only_copy, F.col("ai_structured_output")).alias("ai_raw_data"),
+        F.when(only_copy, F.col("ai_structured_output")).alias("ai_structured_output"),
+    )
+
+
+@query(
+    "line_items_long",
+    with_tables(
+        """SELECT inv.id AS invoice_id, vendor_name, line_number, src_key % 7 <> 0 AS wrapped,
+  CASE WHEN src_key % 7 = 0 THEN description END AS description, CASE WHEN src_key % 7 = 0 THEN quantity END AS quantity,
+  CASE WHEN src_key % 7 = 0 THEN CAST(unit_price AS double) END AS unit_price, CASE WHEN src_key % 7 = 0 THEN CAST(total_price AS double) END AS total_price
+FROM inv JOIN lines ON invoice_id = src_key WHERE src_key % 53 <> 0"""
+    ),
+)
+def _long(spark: SparkSession, sf: str) -> DataFrame:
+    rows = reports.line_items_long(payload_rows(spark, sf))
+    wrapped = F.col("quantity").startswith("{")
+    shown = lambda c: F.when(~wrapped, parse_number(F.col(c)).cast(MONEY).cast("double")).alias(c)
+    return rows.select(
+        "invoice_id",
+        "vendor_name",
+        (F.col("page") * derived.PAGE_LINES + F.col("line_number")).alias("line_number"),
+        wrapped.alias("wrapped"),
+        F.when(~wrapped, F.col("description")).alias("description"),
+        F.when(~wrapped, parse_number(F.col("quantity"))).alias("quantity"),
+        shown("unit_price"),
+        shown("total_price"),
+    )
+
+
+@query(
+    "ai_flattened",
+    with_tables(
+        """SELECT id AS invoice_id, CASE WHEN live AND src_key % 7 = 0 THEN vendor_name END AS vendor_name,
+  CASE WHEN live AND src_key % 7 <> 0 THEN vendor_name END AS vendor_value, CASE WHEN live AND src_key % 7 <> 0 THEN 0.9::double END AS vendor_confidence,
+  CASE WHEN live THEN 'Top left' END AS explained, live AS has_lines
+FROM (SELECT *, NOT bad AND src_key % 5 <> 0 AS live FROM paged) t""",
+        **_PAGES,
+    ),
+)
+def _flat(spark: SparkSession, sf: str) -> DataFrame:
+    flat = reports.ai_flattened(payload_rows(spark, sf))
+    return flat.select(
+        "invoice_id",
+        "vendor_name",
+        F.col("`vendor_name.value`").alias("vendor_value"),
+        F.col("`vendor_name.confidence`").cast("double").alias("vendor_confidence"),
+        F.col("`explanations.vendor_name`").alias("explained"),
+        F.col("line_items").isNotNull().alias("has_lines"),
+    )
+
+
+@query(
+    "ai_flattened_long",
+    with_tables(
+        """SELECT id AS invoice_id, t.path, CASE t.path WHEN 'explanations.vendor_name' THEN 'Top left' ELSE vendor_name END AS value
+FROM paged JOIN (VALUES ('vendor_name', true), ('vendor_name.value', false), ('explanations.vendor_name', true), ('explanations.vendor_name', false)) t(path, bare)
+  ON t.bare = (src_key % 7 = 0) WHERE NOT bad AND src_key % 5 <> 0""",
+        **_PAGES,
+    ),
+)
+def _flat_long(spark: SparkSession, sf: str) -> DataFrame:
+    rows = reports.ai_flattened_long(payload_rows(spark, sf))
+    return rows.filter(F.col("path").isin("vendor_name", "vendor_name.value", "explanations.vendor_name"))
+
+
+@query(
+    "summary_metrics",
+    with_tables(
+        """SELECT 'generated_at' AS metric, '2001-08-05T00:00:00' AS value
+UNION ALL SELECT 'total_invoices', CAST(count(*) AS varchar) FROM inv
+UNION ALL SELECT 'total_invoice_edits', CAST(count(*) AS varchar) FROM edits
+UNION ALL SELECT 'total_invoice_audits', CAST(count(*) AS varchar) FROM audits
+UNION ALL SELECT 'total_vendors', CAST(count(*) AS varchar) FROM vend
+UNION ALL SELECT concat('stage_', coalesce(approval_stage, 'None')), CAST(count(*) AS varchar) FROM inv GROUP BY approval_stage
+UNION ALL SELECT concat('source_', source), CAST(count(*) AS varchar) FROM sources GROUP BY source"""
+    ),
+)
+def _summary(spark: SparkSession, sf: str) -> DataFrame:
+    inv = derived.invoices(spark, sf)
+    profile = vendor_profile(derived.approvals(inv))
+    return reports.summary_metrics(inv, derived.edits(inv), derived.audits(inv), profile, as_of())
+
+
+@query(
+    "invoice_extract",
+    with_tables(
+        """SELECT id AS invoice_id, vendor_name AS "Vendor", invoice_date AS "Invoice Date", CAST(total_amount AS double) AS "Total Amount ($)",
+  currency AS "Currency", status AS "Validation Status", risk_level AS "Risk Level", CAST(risk_score AS bigint) AS "Risk Score",
+  confidence_score AS "AI Confidence", flag_reason AS "Flag Reason", approval_stage AS "Approval Stage", reviewed_by AS "Reviewed By",
+  approved_by AS "Approved By", ai_version AS "AI Version" FROM ledger"""
+    ),
+)
+def _extract(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.invoice_extract(ledger(spark, sf)).withColumns(
+        {"Total Amount ($)": F.col("Total Amount ($)").cast("double"), "Risk Score": F.col("Risk Score").cast("long")}
+    )
+
+
+def transparency(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    base = ledger(spark, sf)
+    inv = derived.invoices(spark, sf)
+    profile = vendor_profile(derived.approvals(inv))
+    return reports.transparency_tables(
+        base, derived.edits(inv), derived.audits(inv), profile, payload_rows(spark, sf), as_of()
+    )
+
+

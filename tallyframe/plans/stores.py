@@ -1 +1,164 @@
-"""To come."""
+"""Queries for scans and sinks. Sink queries write to a new shared folder and read back."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyframe import session
+from tallyframe.operators import metrics, workflow
+from tallyframe.operators.vendors import vendor_profile
+from tallyframe.plans.fixture_sql import with_tables
+from tallyframe.plans.registry import query
+from tallyframe.plans.reporting import transparency
+from tallyframe.plans.tables import ledger
+from tallyframe.sources import derived, sinks, stores
+
+
+@query(
+    "scan_invoices",
+    with_tables("SELECT id, vendor_name, invoice_date, CAST(total_amount AS double) AS total_amount, approval_stage, created_at FROM inv"),
+)
+def _invoices(spark: SparkSession, sf: str) -> DataFrame:
+    rows = stores.newest_first(derived.invoices(spark, sf), "created_at", "id")
+    return rows.select(
+        "id", "vendor_name", "invoice_date", F.col("total_amount").cast("double").alias("total_amount"), "approval_stage", "created_at"
+    )
+
+
+@query("scan_edits", with_tables("SELECT * FROM edits"))
+def _edits(spark: SparkSession, sf: str) -> DataFrame:
+    return stores.newest_first(derived.edits(derived.invoices(spark, sf)), "edited_at", "invoice_id")
+
+
+@query("scan_audits", with_tables("SELECT * FROM audits"))
+def _audits(spark: SparkSession, sf: str) -> DataFrame:
+    return stores.newest_first(derived.audits(derived.invoices(spark, sf)), "audited_at", "invoice_id")
+
+
+@query(
+    "scan_vendors",
+    with_tables("SELECT vendor_name, avg_invoice_value, invoice_count, last_invoice_date FROM vend"),
+)
+def _vendors(spark: SparkSession, sf: str) -> DataFrame:
+    return vendor_profile(derived.approvals(derived.invoices(spark, sf))).orderBy("vendor_name")
+
+
+@query("edits_for", with_tables("SELECT * FROM edits WHERE invoice_id IN (SELECT id FROM inv WHERE approval_stage = 'APPROVED')"))
+def _edits_for(spark: SparkSession, sf: str) -> DataFrame:
+    inv = derived.invoices(spark, sf)
+    ids = inv.filter("approval_stage = 'APPROVED'").select(F.col("id").alias("invoice_id"))
+    return stores.edits_for(derived.edits(inv), ids)
+
+
+@query(
+    "scan_documents",
+    """SELECT concat(lang, '/doc_', CAST(doc_id AS varchar), '.PDF') AS path, concat('doc_', CAST(doc_id AS varchar), '.PDF') AS file_name,
+  'pdf' AS extension, strlen(text) AS size_bytes, sha256(text) AS document_hash FROM documents""",
+)
+def _documents(spark: SparkSession, sf: str) -> DataFrame:
+    files = derived.table(spark, sf, "documents").select(
+        F.concat("lang", F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit(".PDF")).alias("path"),
+        F.col("text").cast("binary").alias("content"),
+    )
+    return stores.document_intake(files).withColumn("document_hash", F.sha2("content", 256)).drop("content")
+
+
+@query("scan_messages", with_tables("SELECT message_id, sender, subject FROM msgs"))
+def _messages(spark: SparkSession, sf: str) -> DataFrame:
+    from tallyframe.operators.mail import parse_messages
+
+    raw = session.stored(derived.raw_messages(derived.table(spark, sf, "documents")), "messages")
+    return parse_messages(raw).select("message_id", "sender", "subject")
+
+
+@query(
+    "upsert_invoices",
+    with_tables(
+        """SELECT id, vendor_name, CAST(CASE WHEN id % 10 = 0 THEN total_amount + 1 ELSE total_amount END AS double) AS total_amount,
+  CASE WHEN id % 10 = 0 AND id < 1000000000 THEN 'REVIEWED' ELSE approval_stage END AS approval_stage, 'TABLE' AS part FROM inv
+WHERE id < 1000000000 OR id % 10 = 0
+UNION ALL SELECT id + 5000000000, vendor_name, CAST(total_amount + 1 AS double), 'REVIEWED', 'REFUSED' FROM inv WHERE id % 100 = 0 AND id < 1000000000"""
+    ),
+)
+def _upsert(spark: SparkSession, sf: str) -> DataFrame:
+    inv = derived.invoices(spark, sf).select("id", "vendor_name", "total_amount", "approval_stage")
+    current = inv.filter(F.col("id") < derived.RESUBMITTED)
+    more = (F.col("total_amount") + 1).cast("decimal(18,2)")
+    changed = inv.filter(F.col("id") % 10 == 0).withColumn("total_amount", more)
+    old = F.col("id") < derived.RESUBMITTED
+    changes = changed.withColumns(
+        {"is_new": ~old, "approval_stage": F.when(old, "REVIEWED").otherwise(F.col("approval_stage"))}
+    )
+    unknown = changes.filter(old & (F.col("id") % 100 == 0)).withColumn("id", F.col("id") + 5_000_000_000)
+    result, refused = sinks.upsert_invoices(current, changes.unionByName(unknown))
+    root = session.scratch_dir(spark, "upsert")
+    sinks.write_version(result, root)
+    table = sinks.read_version(spark, root).withColumn("part", F.lit("TABLE"))
+    both = table.unionByName(refused.withColumn("part", F.lit("REFUSED")))
+    return both.withColumn("total_amount", F.col("total_amount").cast("double"))
+
+
+@query(
+    "append_log",
+    with_tables(
+        """SELECT *, strftime(edited_at, '%Y-%m-01') AS log_date FROM edits
+UNION ALL SELECT invoice_id, 'Date', old_value, new_value, edited_at, strftime(edited_at, '%Y-%m-01') FROM edits WHERE invoice_id % 2 = 0"""
+    ),
+)
+def _append(spark: SparkSession, sf: str) -> DataFrame:
+    edits = derived.edits(derived.invoices(spark, sf))
+    path = session.scratch_dir(spark, "edit-log")
+    sinks.append_log(edits, path, "edited_at", "month")
+    sinks.append_log(edits.filter("invoice_id % 2 = 0").withColumn("field_name", F.lit("Date")), path, "edited_at", "month")
+    return spark.read.parquet(path).withColumn("log_date", F.col("log_date").cast("string"))
+
+
+@query(
+    "write_csv_report",
+    with_tables("SELECT id, vendor_name, CAST(total_amount AS double) AS total_amount, created_at FROM inv WHERE approval_stage = 'APPROVED'"),
+)
+def _csv(spark: SparkSession, sf: str) -> DataFrame:
+    rows = metrics.approved_report(derived.invoices(spark, sf)).select("id", "vendor_name", "total_amount", "created_at")
+    path = session.scratch_dir(spark, "csv")
+    sinks.write_csv_report(rows, path)
+    schema = "id long, vendor_name string, total_amount double, created_at timestamp_ntz"
+    return spark.read.option("header", True).option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").schema(schema).csv(path)
+
+
+@query(
+    "export_transparency",
+    with_tables(
+        """SELECT 'summary' AS name, 5 + (SELECT count(DISTINCT approval_stage) FROM inv) + (SELECT count(DISTINCT source) FROM sources) AS n
+UNION ALL SELECT 'invoices_full', count(*) FROM inv UNION ALL SELECT 'workflow_view', count(*) FROM inv
+UNION ALL SELECT 'line_items', count(*) FROM inv JOIN lines ON invoice_id = src_key WHERE src_key % 53 <> 0
+UNION ALL SELECT 'invoice_edits', count(*) FROM edits UNION ALL SELECT 'invoice_audits', count(*) FROM audits
+UNION ALL SELECT 'vendors', count(*) FROM vend
+UNION ALL SELECT 'ai_flattened', count(*) FROM inv LEFT JOIN (SELECT DISTINCT invoice_id, (line_number - 1) // 50 AS page FROM lines) p ON p.invoice_id = src_key"""
+    ),
+)
+def _export(spark: SparkSession, sf: str) -> DataFrame:
+    folders = sinks.export_transparency(transparency(spark, sf), session.scratch_dir(spark, "export"))
+    out = None
+    for name, folder in folders.items():
+        rows = spark.read.parquet(folder).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query(
+    "crm_outbox",
+    with_tables(
+        """SELECT CAST(id AS varchar) AS id, 'UPSERT' AS event, 'INVOICE_CONTROL' AS source, vendor_name, approval_stage, reviewed_by FROM ledger"""
+    ),
+)
+def _outbox(spark: SparkSession, sf: str) -> DataFrame:
+    path = session.scratch_dir(spark, "outbox")
+    sinks.crm_outbox(workflow.invoice_record(ledger(spark, sf), "AP_CLERK")).write.text(path)
+    text = F.col("value")
+    get = lambda p, n: F.get_json_object(text, f"$.{p}").alias(n)
+    return spark.read.text(path).select(
+        get("invoice.id", "id"), get("event", "event"), get("source", "source"),
+        get("invoice.vendor_name", "vendor_name"), get("invoice.approval_stage", "approval_stage"),
+        get("invoice.reviewed_by", "reviewed_by"),
+    )

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings the operators rely on. UTC keeps zone-free timestamps equal on
 # every machine. Hot join keys are split at run time; the "force" switch lets that
@@ -17,6 +17,9 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.parquet.inferTimestampNTZ.enabled": "true",
+    # Stream state may outgrow executor memory; this store keeps it on disk.
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 
@@ -55,3 +58,20 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     return tempfile.mkdtemp(prefix=f"tallyframe-{label}-") + "/data"
+
+
+def store(df: DataFrame, label: str) -> str:
+    """Write ``df`` as a table in the shared folder; returns its path."""
+    path = scratch_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return path
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """``store`` and read back.
+
+    For results that several later steps use: the work is done once, later filters are
+    not pushed into (and repeated inside) costly parsing, and a lost executor does not
+    bring the whole lineage back.
+    """
+    return df.sparkSession.read.schema(df.schema).parquet(store(df, label))
