@@ -21,11 +21,12 @@ def parse_payload(df: DataFrame, column: str = "payload") -> DataFrame:
 
     A document whose top level is not an object counts as unreadable.
     """
-    parsed = F.try_parse_json(strip_fences(F.col(column)))
+    text = F.col("_text")
     return (
-        df.withColumn("parsed", parsed)
-        .withColumn("parsed", F.when(F.schema_of_variant("parsed").startswith("OBJECT"), F.col("parsed")))
+        df.withColumn("_text", strip(strip_fences(F.col(column))))
+        .withColumn("parsed", F.when(text.startswith("{"), F.try_parse_json(text)))
         .withColumn("parse_status", F.when(F.col("parsed").isNull(), "FAILED").otherwise("OK"))
+        .drop("_text")
     )
 
 
@@ -120,7 +121,9 @@ def sanitize(df: DataFrame) -> DataFrame:
 
 def explanations_long(df: DataFrame) -> DataFrame:
     """(id, field, explanation) with readable field names."""
-    return df.select("id", F.explode("ai_explanations").alias("name", "explanation")).select(
+    # outer plus filter: a plain explode would have the map parsed again to test its size
+    rows = df.select("id", F.explode_outer("ai_explanations").alias("name", "explanation"))
+    return rows.filter(F.col("name").isNotNull()).select(
         "id", F.initcap(F.replace(F.col("name"), F.lit("_"), F.lit(" "))).alias("field"), "explanation"
     )
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyframe.config import CURRENCIES, LIMITS
 from tallyframe.functions.columns import (
@@ -39,11 +40,19 @@ def math_validation(invoices: DataFrame, lines: DataFrame, line_key: str = "id")
     ).drop("sum_of_lines")
 
 
+def _types(schema: T.StructType) -> dict[str, T.DataType]:
+    return {f.name: f.dataType for f in schema.fields}
+
+
+def _number(value: Column, dtype: T.DataType) -> Column:
+    """Double of a number column as it is, of any other through the text rule."""
+    return value.cast("double") if isinstance(dtype, T.NumericType) else parse_number(value)
+
+
 # --- field rules: each is (rule, text column or null) in output order ---
 
 
-def _header_rules(vendor: Column, date: Column, total: Column, currency: Column) -> list[tuple[str, Column]]:
-    amount = parse_number(total)
+def _header_rules(vendor: Column, date: Column, amount: Column, currency: Column) -> list[tuple[str, Column]]:
     code = strip(F.upper(F.coalesce(currency, F.lit(""))))
     return [
         ("C1", F.when(is_missing(vendor), "Missing vendor name")),
@@ -55,10 +64,9 @@ def _header_rules(vendor: Column, date: Column, total: Column, currency: Column)
 
 
 def _line_rules(
-    number: Column, description: Column, quantity: Column, unit_price: Column, total_price: Column
+    number: Column, description: Column, count: Column, unit: Column, total: Column
 ) -> list[tuple[str, Column]]:
     start = F.concat(F.lit("Line "), number.cast("string"), F.lit(": "))
-    count, unit, total = parse_number(quantity), parse_number(unit_price), parse_number(total_price)
     text = lambda hit, message: F.when(hit, F.concat(start, F.lit(message)))
     return [
         ("C7", text(strip(F.coalesce(description, F.lit(""))) == "", "Missing description")),
@@ -71,18 +79,19 @@ def _line_rules(
     ]
 
 
-def _mismatch(total: Column, exact_sum: Column, special_sum: Column, tolerance: float) -> Column:
+def _mismatch(amount: Column, exact_sum: Column, special_sum: Column, tolerance: float) -> Column:
     """C13. Finite amounts add up as decimals; NaN and infinities travel in ``special_sum``."""
-    amount = parse_number(total)
     exact = is_finite(amount) & (special_sum == 0)
     by_cents = F.abs(amount.try_cast(_SUM) - exact_sum) > F.lit(tolerance).cast(_SUM)
     loose = F.abs(amount - special_sum)
     return (~F.isnan(amount)) & (amount > 0) & F.when(exact, by_cents).otherwise(~F.isnan(loose) & (loose > tolerance))
 
 
-def _sum_parts(value: Column) -> tuple[Column, Column]:
-    """(decimal part, part for NaN and infinities) of one parsed number; null counts as nothing."""
-    number = parse_number(value)
+def _sum_parts(value: Column, dtype: T.DataType) -> tuple[Column, Column]:
+    """(decimal part, part for NaN and infinities) of one amount; an unreadable one counts as nothing."""
+    if isinstance(dtype, (T.DecimalType, T.IntegralType)):
+        return F.coalesce(value, F.lit(0).cast(dtype)), F.lit(0.0)
+    number = _number(value, dtype)
     exact = F.coalesce(F.when(is_finite(number), number.try_cast(_SUM)), F.lit(0).cast(_SUM))
     special = F.coalesce(F.when(~is_finite(number), number), F.lit(0.0))
     return exact, special
@@ -90,6 +99,8 @@ def _sum_parts(value: Column) -> tuple[Column, Column]:
 
 _MISMATCH_TEXT = "Line-item total mismatch against invoice total"
 _NO_LINES_TEXT = "No line items extracted"
+_HEADER = ("vendor_name", "invoice_date", "total_amount", "currency")
+_LINE = ("description", "quantity", "unit_price", "total_price")
 
 
 def compliance_issues(df: DataFrame, tolerance: float = LIMITS.mismatch_tolerance) -> DataFrame:
@@ -97,32 +108,47 @@ def compliance_issues(df: DataFrame, tolerance: float = LIMITS.mismatch_toleranc
 
     Uses vendor_name, invoice_date, total_amount, currency and line_items with
     description, quantity, unit_price and total_price; values may be unchecked text.
+    Every value is parsed once, in a step of its own, before the rules use it.
     """
-    header = [c for _, c in _header_rules(*[F.col(c) for c in ("vendor_name", "invoice_date", "total_amount", "currency")])]
-    items = F.col("line_items")
-    none = items.isNull() | (F.size(items) == 0)
-    line = F.flatten(
-        F.transform(
-            items,
-            lambda x, i: F.array(
-                *[c for _, c in _line_rules(i + 1, x["description"], x["quantity"], x["unit_price"], x["total_price"])]
-            ),
-        )
-    )
-    zero = F.struct(F.lit(0).cast(_SUM).alias("exact"), F.lit(0.0).alias("special"))
+    types = _types(df.schema)
+    line_types = _types(types["line_items"].elementType)
 
-    def add(acc: Column, x: Column) -> Column:
-        exact, special = _sum_parts(x["total_price"])
+    def parsed_line(x: Column) -> Column:
+        exact, special = _sum_parts(x["total_price"], line_types["total_price"])
         return F.struct(
-            (acc["exact"] + exact).cast(_SUM).alias("exact"), (acc["special"] + special).alias("special")
+            x["description"].alias("description"),
+            *[_number(x[f], line_types[f]).alias(f) for f in _LINE[1:]],
+            exact.cast(_SUM).alias("exact"),
+            special.alias("special"),
         )
 
-    sums = F.aggregate(items, zero, add)
-    wrong = _mismatch(F.col("total_amount"), sums["exact"], sums["special"], tolerance)
+    read = df.withColumns(
+        {
+            "_amount": _number(F.col("total_amount"), types["total_amount"]),
+            "_lines": F.transform("line_items", parsed_line),
+        }
+    )
+    items = F.col("_lines")
+    header = [c for _, c in _header_rules(F.col("vendor_name"), F.col("invoice_date"), F.col("_amount"), F.col("currency"))]
+    none = items.isNull() | (F.size(items) == 0)
+    line = F.flatten(
+        F.transform(items, lambda x, i: F.array(*[c for _, c in _line_rules(i + 1, *[x[f] for f in _LINE])]))
+    )
+    zero = F.struct(F.lit(0).cast(_SUM).alias("exact"), F.lit(0.0).alias("special"))
+    sums = F.aggregate(
+        items,
+        zero,
+        lambda acc, x: F.struct(
+            (acc["exact"] + x["exact"]).cast(_SUM).alias("exact"), (acc["special"] + x["special"]).alias("special")
+        ),
+    )
+    summed = read.withColumn("_sums", sums)
+    wrong = _mismatch(F.col("_amount"), F.col("_sums.exact"), F.col("_sums.special"), tolerance)
     body = F.when(none, F.array(F.lit(_NO_LINES_TEXT))).otherwise(
         F.concat(line, F.array(F.when(wrong, F.lit(_MISMATCH_TEXT))))
     )
-    return df.withColumn("issues", F.filter(F.concat(F.array(*header), body), lambda x: x.isNotNull()))
+    issues = F.filter(F.concat(F.array(*header), body), lambda x: x.isNotNull())
+    return summed.withColumn("issues", issues).drop("_amount", "_lines", "_sums")
 
 
 def compliance_issue_rows(
@@ -134,45 +160,53 @@ def compliance_issue_rows(
     rule position) gives the list of ``compliance_issues``. Lines are never gathered per
     invoice: line rules are row-wise and the total check needs only grouped sums.
     """
-    tag = lambda rules: compact([F.when(c.isNotNull(), F.struct(F.lit(r).alias("rule"), c.alias("issue"))) for r, c in rules])
-    head = headers.select(
+
+    def hits(rules: list[tuple[str, Column]]) -> Column:
+        # The outer form, filtered afterwards: Spark would copy the rules of a plain
+        # explode (or of a filter on them) below it and evaluate them again there.
+        tagged = [F.when(c.isNotNull(), F.struct(F.lit(r).alias("rule"), c.alias("issue"))) for r, c in rules]
+        return F.explode_outer(compact(tagged)).alias("hit")
+
+    types, line_types = _types(headers.schema), _types(lines.schema)
+    read = headers.withColumn("_amount", _number(F.col("total_amount"), types["total_amount"]))
+    head = read.select(
         "id",
         F.lit(0).alias("section"),
         F.lit(0).cast("long").alias("line_number"),
-        F.explode(
-            tag(_header_rules(*[F.col(c) for c in ("vendor_name", "invoice_date", "total_amount", "currency")]))
-        ).alias("hit"),
+        hits(_header_rules(F.col("vendor_name"), F.col("invoice_date"), F.col("_amount"), F.col("currency"))),
     )
-    flagged = lines.select(
+    parsed = lines.select(
         F.col("invoice_id").alias(line_key),
         "line_number",
-        F.explode(
-            tag(_line_rules(*[F.col(c) for c in ("line_number", "description", "quantity", "unit_price", "total_price")]))
-        ).alias("hit"),
+        "description",
+        *[_number(F.col(f), line_types[f]).alias(f) for f in _LINE[1:]],
     )
+    flagged = parsed.select(
+        line_key, "line_number", hits(_line_rules(F.col("line_number"), *[F.col(f) for f in _LINE]))
+    ).filter(F.col("hit").isNotNull())
     keys = headers.select("id", line_key) if line_key != "id" else headers.select("id")
     body = keys.join(flagged, line_key).select("id", F.lit(1).alias("section"), "line_number", "hit")
 
-    exact, special = _sum_parts(F.col("total_price"))
+    exact, special = _sum_parts(F.col("total_price"), line_types["total_price"])
     sums = lines.groupBy(F.col("invoice_id").alias(line_key)).agg(
         F.sum(exact).alias("exact"), F.sum(special).alias("special")
     )
-    wrong = _mismatch(F.col("total_amount"), F.col("exact").cast(_SUM), F.col("special"), tolerance)
-    trailer = (
-        headers.join(sums, line_key, "left")
-        .select(
-            "id",
-            F.lit(2).alias("section"),
-            F.lit(0).cast("long").alias("line_number"),
-            F.when(F.col("exact").isNull(), F.struct(F.lit("C6").alias("rule"), F.lit(_NO_LINES_TEXT).alias("issue")))
-            .when(wrong, F.struct(F.lit("C13").alias("rule"), F.lit(_MISMATCH_TEXT).alias("issue")))
-            .alias("hit"),
-        )
-        .filter(F.col("hit").isNotNull())
+    wrong = _mismatch(F.col("_amount"), F.col("exact").cast(_SUM), F.col("special"), tolerance)
+    trailer = read.join(sums, line_key, "left").select(
+        "id",
+        F.lit(2).alias("section"),
+        F.lit(0).cast("long").alias("line_number"),
+        hits(
+            [
+                ("C6", F.when(F.col("exact").isNull(), F.lit(_NO_LINES_TEXT))),
+                ("C13", F.when(F.col("exact").isNotNull() & wrong, F.lit(_MISMATCH_TEXT))),
+            ]
+        ),
     )
     return (
         head.unionByName(body)
         .unionByName(trailer)
+        .filter(F.col("hit").isNotNull())
         .select("id", "section", "line_number", F.col("hit.rule").alias("rule"), F.col("hit.issue").alias("issue"))
     )
 

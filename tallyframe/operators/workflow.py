@@ -235,7 +235,8 @@ def edit_diff(
                 F.struct(F.lit(label).alias("field_name"), text(was).alias("old_value"), text(now).alias("new_value")),
             )
         )
-    log = pairs.select(F.col("id").alias("invoice_id"), F.inline(compact(hits)))
+    log = pairs.select(F.col("id").alias("invoice_id"), F.inline_outer(compact(hits)))
+    log = log.filter(F.col("field_name").isNotNull())
     if changed is not None:
         saved = after.select(F.col("id").alias("invoice_id"))
         log = log.unionByName(
@@ -295,7 +296,7 @@ def timeline(invoices: DataFrame, edits: DataFrame) -> DataFrame:
             ),
         ]
     )
-    lived = invoices.select(F.col("id").alias("invoice_id"), F.inline(events))
+    lived = invoices.select(F.col("id").alias("invoice_id"), F.inline_outer(events)).filter(F.col("stage").isNotNull())
     edited = (
         edits.groupBy("invoice_id")
         .agg(F.count(F.lit(1)).alias("n"), F.min("edited_at").alias("event_time"))

@@ -68,7 +68,8 @@ FROM inv JOIN lines ON invoice_id = src_key WHERE src_key % 53 <> 0"""
     ),
 )
 def _lines(spark: SparkSession, sf: str) -> DataFrame:
-    rows = ops.flatten_lines(_parsed(spark, sf)).select("id", "page", F.posexplode("line_items").alias("pos", "line"))
+    rows = ops.flatten_lines(_parsed(spark, sf)).select("id", "page", F.posexplode_outer("line_items").alias("pos", "line"))
+    rows = rows.filter(F.col("pos").isNotNull())
     money = lambda c: parse_number(F.col(f"line.{c}")).cast(MONEY).cast("double").alias(c)
     return rows.select(
         "id",
