@@ -46,10 +46,14 @@ def edits_for(edits: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def scan_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Documents below ``path`` as (path, file_name, extension, size_bytes, content)."""
+    """Documents below ``path`` as (path, file_name, extension, size_bytes, content).
+
+    Extensions match in either case. Spark lists no rows for files of zero bytes.
+    """
+    either_case = ["".join(f"[{c}{c.upper()}]" for c in extension) for extension in FILE_EXTENSIONS]
     files = (
         spark.read.format("binaryFile")
-        .option("pathGlobFilter", "*.{" + ",".join(FILE_EXTENSIONS) + "}")
+        .option("pathGlobFilter", "*.{" + ",".join(either_case) + "}")
         .option("recursiveFileLookup", "true")
         .load(path)
     )
