@@ -17,6 +17,10 @@ def _inv(spark: SparkSession, sf: str) -> DataFrame:
     return derived.invoices(spark, sf)
 
 
+def _status(spark: SparkSession, sf: str) -> DataFrame:
+    return derived.invoice_status(spark, sf)
+
+
 @query(
     "stage_totals",
     with_tables(
@@ -25,7 +29,7 @@ def _inv(spark: SparkSession, sf: str) -> DataFrame:
     ),
 )
 def _totals(spark: SparkSession, sf: str) -> DataFrame:
-    return ops.stage_totals(_inv(spark, sf))
+    return ops.stage_totals(_status(spark, sf))
 
 
 _STAGE_COUNTS = ", ".join(
@@ -35,12 +39,12 @@ _STAGE_COUNTS = ", ".join(
 
 @query("source_by_stage", with_tables(f"SELECT source, {_STAGE_COUNTS} FROM sources GROUP BY source"))
 def _by_stage(spark: SparkSession, sf: str) -> DataFrame:
-    return ops.source_by_stage(_inv(spark, sf))
+    return ops.source_by_stage(_status(spark, sf))
 
 
 @query("avg_confidence", with_tables("SELECT round(avg(confidence_score), 6) AS avg_confidence FROM inv"))
 def _confidence(spark: SparkSession, sf: str) -> DataFrame:
-    return ops.avg_confidence(_inv(spark, sf)).select(F.round("avg_confidence", 6).alias("avg_confidence"))
+    return ops.avg_confidence(_status(spark, sf)).select(F.round("avg_confidence", 6).alias("avg_confidence"))
 
 
 @query(
@@ -59,12 +63,12 @@ def _high(spark: SparkSession, sf: str) -> DataFrame:
     ),
 )
 def _hours(spark: SparkSession, sf: str) -> DataFrame:
-    return ops.approval_hours(_inv(spark, sf)).withColumn("avg_hours", F.round("avg_hours", 6))
+    return ops.approval_hours(_status(spark, sf)).withColumn("avg_hours", F.round("avg_hours", 6))
 
 
 @query("low_confidence", with_tables("SELECT id, confidence_score FROM inv WHERE confidence_score < 0.7"))
 def _low(spark: SparkSession, sf: str) -> DataFrame:
-    return ops.low_confidence(_inv(spark, sf)).select("id", "confidence_score")
+    return ops.low_confidence(_status(spark, sf)).select("id", "confidence_score")
 
 
 _DAYS = {
@@ -75,7 +79,7 @@ SELECT *, CASE WHEN approval_stage = 'APPROVED' THEN 0 ELSE CAST(floor(epoch(TIM
 
 @query("days_pending", with_tables("SELECT id, days_pending FROM aged", **_DAYS))
 def _days(spark: SparkSession, sf: str) -> DataFrame:
-    return ops.days_pending(_inv(spark, sf), as_of()).select("id", "days_pending")
+    return ops.days_pending(_status(spark, sf), as_of()).select("id", "days_pending")
 
 
 @query(
@@ -83,7 +87,7 @@ def _days(spark: SparkSession, sf: str) -> DataFrame:
     with_tables("SELECT id, days_pending FROM aged WHERE approval_stage = 'REVIEWED' AND days_pending > 3", **_DAYS),
 )
 def _breaches(spark: SparkSession, sf: str) -> DataFrame:
-    return ops.sla_breaches(_inv(spark, sf), as_of()).select("id", "days_pending")
+    return ops.sla_breaches(_status(spark, sf), as_of()).select("id", "days_pending")
 
 
 @query(
@@ -91,7 +95,7 @@ def _breaches(spark: SparkSession, sf: str) -> DataFrame:
     with_tables("SELECT id, CASE WHEN days_pending > 3 THEN 'BREACH' ELSE 'On Track' END AS sla_status FROM aged", **_DAYS),
 )
 def _sla(spark: SparkSession, sf: str) -> DataFrame:
-    return ops.sla_status(_inv(spark, sf), as_of()).select("id", "sla_status")
+    return ops.sla_status(_status(spark, sf), as_of()).select("id", "sla_status")
 
 
 @query(
@@ -120,7 +124,7 @@ LEFT JOIN inv ON inv.approval_stage = s.approval_stage GROUP BY s.approval_stage
     ),
 )
 def _funnel(spark: SparkSession, sf: str) -> DataFrame:
-    return ops.approval_funnel(_inv(spark, sf))
+    return ops.approval_funnel(_status(spark, sf))
 
 
 @query(
@@ -143,7 +147,7 @@ LEFT JOIN inv ON CAST(created_at AS date) = d.day GROUP BY d.day"""
     ),
 )
 def _trend(spark: SparkSession, sf: str) -> DataFrame:
-    return ops.confidence_trend(_inv(spark, sf)).select(
+    return ops.confidence_trend(_status(spark, sf)).select(
         F.col("day").cast("string").alias("day"), F.round("avg_confidence", 6).alias("avg_confidence")
     )
 
@@ -214,7 +218,7 @@ def _aqueue(spark: SparkSession, sf: str) -> DataFrame:
     ),
 )
 def _clerk(spark: SparkSession, sf: str) -> DataFrame:
-    return ops.clerk_metrics(_inv(spark, sf))
+    return ops.clerk_metrics(_status(spark, sf))
 
 
 @query("clerk_queue", with_tables(f"SELECT {_QUEUE_SQL} FROM inv WHERE approval_stage = 'UPLOADED'"))

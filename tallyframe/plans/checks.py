@@ -42,7 +42,7 @@ def _hash(spark: SparkSession, sf: str) -> DataFrame:
     ),
 )
 def _by_hash(spark: SparkSession, sf: str) -> DataFrame:
-    return dedup.duplicate_by_hash(derived.invoices(spark, sf)).select("id", "document_hash", "duplicate_hash")
+    return dedup.duplicate_by_hash(derived.invoice_status(spark, sf)).select("id", "document_hash", "duplicate_hash")
 
 
 @query("duplicate_by_key", with_tables("SELECT id, duplicate_key FROM signals"))

@@ -33,7 +33,7 @@ def _edits(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("scan_audits", with_tables("SELECT * FROM audits"))
 def _audits(spark: SparkSession, sf: str) -> DataFrame:
-    return stores.newest_first(derived.audits(derived.invoices(spark, sf)), "audited_at", "invoice_id")
+    return stores.newest_first(derived.audits(derived.invoice_status(spark, sf)), "audited_at", "invoice_id")
 
 
 @query(

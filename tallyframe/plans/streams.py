@@ -74,7 +74,7 @@ FROM inv GROUP BY CAST(created_at AS date)"""
 )
 def _trend(spark: SparkSession, sf: str) -> DataFrame:
     out, checkpoint = _folders(spark, "trend")
-    source = session.store(derived.invoices(spark, sf).select("created_at", "confidence_score"), "invoices")
+    source = session.store(derived.invoice_status(spark, sf).select("created_at", "confidence_score"), "invoices")
     jobs.stream_confidence_trend(jobs.table_stream(spark, source), out, checkpoint)
     days = jobs.latest(jobs.batches(spark, f"{out}/days"), "day", ["avg_confidence"])
     return days.select(F.col("day").cast("string").alias("day"), F.round("avg_confidence", 6).alias("avg_confidence"))

@@ -97,7 +97,7 @@ def _moves(inv: DataFrame) -> DataFrame:
     ),
 )
 def _stamps(spark: SparkSession, sf: str) -> DataFrame:
-    out = ops.stage_stamps(_moves(derived.invoices(spark, sf)), as_of())
+    out = ops.stage_stamps(_moves(derived.invoice_status(spark, sf)), as_of())
     return out.select("id", "reviewed_by", "approved_by", "approval_timestamp")
 
 
@@ -164,7 +164,7 @@ def _audits(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("editable", with_tables("SELECT id, approval_stage <> 'APPROVED' AS editable FROM inv"))
 def _editable(spark: SparkSession, sf: str) -> DataFrame:
-    return ops.editable(derived.invoices(spark, sf)).select("id", "editable")
+    return ops.editable(derived.invoice_status(spark, sf)).select("id", "editable")
 
 
 @query(
@@ -182,10 +182,10 @@ UNION ALL SELECT invoice_id, min(edited_at), 'EDITED', concat(CAST(count(*) AS v
     ),
 )
 def _timeline(spark: SparkSession, sf: str) -> DataFrame:
-    inv = derived.invoices(spark, sf)
-    return ops.timeline(with_workflow_columns(inv), derived.edits(inv))
+    edits = derived.edits(derived.invoices(spark, sf))
+    return ops.timeline(with_workflow_columns(derived.invoice_status(spark, sf)), edits)
 
 
 @query("invoice_source", with_tables("SELECT id, source FROM sources"))
 def _source(spark: SparkSession, sf: str) -> DataFrame:
-    return ops.invoice_source(derived.invoices(spark, sf)).select("id", "source")
+    return ops.invoice_source(derived.invoice_status(spark, sf)).select("id", "source")

@@ -56,6 +56,13 @@ def lines(spark: SparkSession, sf_dir: str, hot_rows: int = LIMITS.hot_rows) ->
     )
 
 
+def invoice_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``invoices`` without vendor and amounts, for queries that need neither: no line scan, no joins."""
+    orders = table(spark, sf_dir, "orders")
+    unused = {"line_sum": F.lit(None).cast("decimal(28,2)"), "s_name": F.lit(None).cast("string")}
+    return _invoice_rows(orders.withColumns(unused)).drop("vendor_name", "total_amount")
+
+
 def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
     sums = (
         line_amounts(spark, sf_dir)
@@ -65,6 +72,10 @@ def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
     suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
     supplier_count = suppliers.select(F.count(F.lit(1))).scalar()
     orders = table(spark, sf_dir, "orders").withColumn("s_suppkey", F.col("o_custkey") % supplier_count)
+    return _invoice_rows(orders.join(sums, "o_orderkey", "left").join(suppliers, "s_suppkey", "left"))
+
+
+def _invoice_rows(orders: DataFrame) -> DataFrame:
     key = F.col("o_orderkey")
     stage = (
         F.when(F.col("o_orderstatus") == "O", "UPLOADED")
@@ -80,28 +91,24 @@ def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.col("line_sum"))
     )
     currencies = ["USD", "EUR", "GBP", "INR", "AED", "SGD", "AUD", "CAD", "JPY", "CNY", "brl", ""]
-    base = (
-        orders.join(sums, "o_orderkey", "left")
-        .join(suppliers, "s_suppkey", "left")
-        .select(
-            key.alias("id"),
-            F.col("s_name").alias("vendor_name"),
-            F.when(key % 23 == 0, "unknown")
-            .otherwise(F.col("o_orderdate").cast("date").cast("string"))
-            .alias("invoice_date"),
-            total.cast(MONEY).alias("total_amount"),
-            _pick(F.col("o_custkey"), 13, currencies, " usd ").alias("currency"),
-            ((F.lit(50) + (key * 7) % 51).cast("double") / 100).alias("confidence_score"),
-            stage.alias("approval_stage"),
-            F.when(key % 3 == 0, "MAIL_BOT").otherwise("AP_CLERK").alias("created_by"),
-            F.when(key % 3 == 0, "INGESTED_EMAIL")
-            .when(key % 33 == 1, "reingested")
-            .when(key % 3 == 1, "MANUAL_UPLOAD")
-            .otherwise("COMPLETED")
-            .alias("processing_status"),
-            F.col("o_orderdate").alias("created_at"),
-            key.alias("src_key"),
-        )
+    base = orders.select(
+        key.alias("id"),
+        F.col("s_name").alias("vendor_name"),
+        F.when(key % 23 == 0, "unknown")
+        .otherwise(F.col("o_orderdate").cast("date").cast("string"))
+        .alias("invoice_date"),
+        total.cast(MONEY).alias("total_amount"),
+        _pick(F.col("o_custkey"), 13, currencies, " usd ").alias("currency"),
+        ((F.lit(50) + (key * 7) % 51).cast("double") / 100).alias("confidence_score"),
+        stage.alias("approval_stage"),
+        F.when(key % 3 == 0, "MAIL_BOT").otherwise("AP_CLERK").alias("created_by"),
+        F.when(key % 3 == 0, "INGESTED_EMAIL")
+        .when(key % 33 == 1, "reingested")
+        .when(key % 3 == 1, "MANUAL_UPLOAD")
+        .otherwise("COMPLETED")
+        .alias("processing_status"),
+        F.col("o_orderdate").alias("created_at"),
+        key.alias("src_key"),
     )
     # A resubmission is the same row again with three fields changed: one pass, no second join.
     twice = base.withColumn(
