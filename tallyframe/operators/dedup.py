@@ -52,10 +52,12 @@ def first_wins(
     """
     key = key or BUSINESS_KEY
     place = F.struct(*order)
-    fresh = batch.join(stored.select(hash_col).filter(F.col(hash_col).isNotNull()).distinct(), hash_col, "left_anti")
-    by_hash = keep_first(fresh, [hash_col], place)
-    new_keys = by_hash.join(stored.select(*key).distinct(), key, "left_anti")
-    return keep_first(new_keys, key, place)
+    # Reduce to one row per hash (then per key) first: a hot one is small before any shuffle or join.
+    # A stored hash or key drops its whole group, so the order of the two steps does not matter.
+    by_hash = keep_first(batch, [hash_col], place)
+    new_hashes = by_hash.join(stored.select(hash_col).filter(F.col(hash_col).isNotNull()), hash_col, "left_anti")
+    by_key = keep_first(new_hashes, key, place)
+    return by_key.join(stored.select(*key), key, "left_anti").select(*batch.columns)
 
 
 def keep_first(df: DataFrame, keys: list[str], place: Column) -> DataFrame:

@@ -95,10 +95,24 @@ def stream_dedup(documents: DataFrame, order: list[str], out: str, checkpoint: s
     run_available(documents, checkpoint, each)
 
 
+# A full snapshot of the stages is written after every so many batches, so that a batch
+# reads one snapshot and the changes since then, however long the job has been running.
+SNAPSHOT_EVERY = 50
 _STAGES = T.StructType([T.StructField("invoice_id", T.LongType()), T.StructField("approval_stage", T.StringType())])
 
 
-def stream_guard(requests: DataFrame, out: str, checkpoint: str) -> None:
+def _known_stages(spark: SparkSession, out: str, snapshot: int, before: int) -> DataFrame | None:
+    """(invoice_id, approval_stage, batch_id): the snapshot of that batch and changes up to ``before``."""
+    changes = _earlier(spark, f"{out}/stages", _STAGES, before)
+    if changes is None or snapshot < 0:
+        return changes
+    base = spark.read.schema(_STAGES).parquet(f"{out}/snapshots/batch_id={snapshot}")
+    return base.withColumn("batch_id", F.lit(snapshot).cast("long")).unionByName(
+        changes.filter(F.col("batch_id") > snapshot)
+    )
+
+
+def stream_guard(requests: DataFrame, out: str, checkpoint: str, snapshot_every: int = SNAPSHOT_EVERY) -> None:
     """Replays requests against the stages that earlier batches left behind.
 
     Uses the same staged minima as the batch replay, so an invoice with very many
@@ -109,13 +123,17 @@ def stream_guard(requests: DataFrame, out: str, checkpoint: str) -> None:
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         current = None
-        written = _earlier(spark, f"{out}/stages", _STAGES, batch_id)
+        snapshot = batch_id // snapshot_every * snapshot_every - 1
+        written = _known_stages(spark, out, snapshot, batch_id)
         if written is not None:
             touched = written.join(batch.select("invoice_id"), "invoice_id", "left_semi")
             current = latest(touched, "invoice_id", ["approval_stage"])
         _write_batch(replay_requests(batch, current), f"{out}/verdicts", batch_id)
         verdicts = spark.read.parquet(f"{out}/verdicts/batch_id={batch_id}")
         _write_batch(latest_stage(verdicts), f"{out}/stages", batch_id)
+        if (batch_id + 1) % snapshot_every == 0:
+            known = _known_stages(spark, out, snapshot, batch_id + 1)
+            _write_batch(latest(known, "invoice_id", ["approval_stage"]), f"{out}/snapshots", batch_id)
 
     run_available(requests, checkpoint, each)
 

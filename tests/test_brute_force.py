@@ -206,11 +206,12 @@ def in_files(df, path, order, files=4):
     return path
 
 
-def test_guard_stream_equals_replay(spark, tmp_path):
+@pytest.mark.parametrize("every", [1, 3, 50])
+def test_guard_stream_equals_replay(spark, tmp_path, every):
     rows = random_requests(800, 9)
     source = in_files(requests_frame(spark, rows), f"{tmp_path}/in", "event_id")
     stream = jobs.table_stream(spark, source, files_per_batch=1)
-    jobs.stream_guard(stream, f"{tmp_path}/out", f"{tmp_path}/cp")
+    jobs.stream_guard(stream, f"{tmp_path}/out", f"{tmp_path}/cp", snapshot_every=every)
     got = jobs.batches(spark, f"{tmp_path}/out/verdicts")
     assert got.select("batch_id").distinct().count() == 4
     assert {r.event_id: (r.previous_stage, r.accepted) for r in got.collect()} == replay_model(rows)[0]
