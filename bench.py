@@ -19,10 +19,9 @@ from tallyframe.session import local_session  # noqa: E402
 
 HEADLINE = [
     "math_validation", "duplicate_by_hash", "duplicate_by_key", "first_wins", "compliance_issues",
-    "compliance_verdict", "vendor_profile", "vendor_anomaly_asof", "validation_status", "replay_requests",
-    "timeline", "edit_diff", "flatten_header", "flatten_lines", "source_by_stage", "alerts", "top_vendors",
-    "confidence_trend", "recent_by_source", "vendor_stats", "line_items_long", "ingest_outcome", "ingest_summary",
-    "upsert_invoices", "stream_guard",
+    "vendor_profile", "vendor_anomaly_asof", "validation_status", "replay_requests", "timeline",
+    "flatten_header", "source_by_stage", "alerts", "top_vendors", "confidence_trend", "recent_by_source",
+    "vendor_stats", "ingest_outcome", "upsert_invoices", "stream_guard",
 ]
 
 
