@@ -26,6 +26,7 @@ BATCH_BYTES = "8m"
 def prepare(spark: SparkSession) -> SparkSession:
     """Settings that bound Arrow batches by bytes and let hot join keys be split."""
     for key, value in (
+        ("spark.sql.execution.arrow.pyspark.enabled", "true"),
         ("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS),
         ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES),
         ("spark.sql.adaptive.enabled", "true"),
@@ -149,19 +150,17 @@ def hash_bitmap(df: DataFrame, column: str) -> np.ndarray:
     It only spares rows a shuffle: a set bit may be a chance hit, so what passes is
     joined or compared exactly afterwards; a clear bit proves the hash absent.
     """
-    slot = F.pmod(F.col(column), F.lit(BITMAP_BITS))
-    words = df.select(slot.alias("s")).groupBy(F.expr("s div 32").alias("k")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(s % 32 as int))")).alias("w")
-    )
-    out = np.zeros(BITMAP_BITS // 32, np.uint32)
-    pdf = words.toPandas()
-    out[pdf["k"].to_numpy(np.int64)] = pdf["w"].to_numpy(np.int64).astype(np.uint32)
+    slot = F.pmod(F.col(column), F.lit(BITMAP_BITS)) + 1
+    parts = df.select(F.bitmap_bucket_number(slot).alias("k"), F.bitmap_bit_position(slot).alias("bit"))
+    out = np.zeros(BITMAP_BITS // 8, np.uint8)
+    for k, bits in parts.groupBy("k").agg(F.bitmap_construct_agg("bit")).collect():
+        out[(k - 1) * len(bits) : k * len(bits)] = np.frombuffer(bits, np.uint8)
     return out
 
 
 def in_bitmap(hashes: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
     slots = hashes.view(np.uint64) % np.uint64(BITMAP_BITS)
-    return (bitmap[slots >> np.uint64(5)] >> (slots & np.uint64(31)).astype(np.uint32)) & np.uint32(1) == 1
+    return (bitmap[slots >> np.uint64(3)] >> (slots & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
 # --- components ------------------------------------------------------------------------

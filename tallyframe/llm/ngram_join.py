@@ -9,15 +9,19 @@ The outer regions therefore belong to pivots that are single shingles:
 * If x and y are linked and s is their first common shingle, the i shingles of x before
   s are missing in y, so i/|x| <= d(x, y) <= 1 - t. Replicating x to the regions of its
   first |x| - ceil(t|x|) + 1 shingles (its window) makes every linked pair meet.
-
-Any global order is right; frequent shingles come late, so that shared passages make no
-large regions. A region with two members is a candidate pair. All documents of larger
-regions are joined again, recursively, with pivots ordered by their exact frequency among
-just these documents, where a shingle that only one of them has counts as a step of the
-window but needs no row. Inside the regions that remain, documents are the pivots: the
-member whose shingles are shared most is compared with every other one, members beyond
-the threshold get a second pivot, and of what neither pivot resolves, only pairs that the
-triangle inequality |d(x, p) - d(y, p)| <= 1 - t leaves open are compared.
+* In windows that are EXTRA |x| wider, linked documents meet in as many regions more
+  (the j-th common shingle is at most j - 1 places beyond the window). A document that
+  meets others in fewer regions has no link; that is the end for those that share a line
+  or a passage with others, but not most of their text.
+
+Any global order is right; shingles that are frequent in a sample come late, so that
+shared passages make no large regions. The documents that are left join again,
+recursively, with pivots ordered by their exact frequency among just these documents,
+where a shingle that only one of them has counts as a step of the window but needs no
+row. Inside the regions that remain, documents are the pivots: the member whose shingles
+are shared most is compared with every other one, members beyond the threshold get a
+second pivot, and of what neither pivot resolves, only pairs that the triangle inequality
+|d(x, p) - d(y, p)| <= 1 - t leaves open are compared.
 Every comparison is an exact intersection, so links are neither missed nor made up (but
 for collisions of 64-bit shingle names).
 
@@ -30,15 +34,16 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.llm.common import Scratch, components, free_name, hash_bitmap, in_bitmap, window_hashes, word_hashes
 
 WORDS = 5
 PERCENT = 75
-ORDER_SAMPLE = 4000  # documents whose shingles set the first order; it changes work, never results
+ORDER_SAMPLE = 8000  # documents whose shingles set the first order; it changes work, never results
 ORDER_ENTRIES = 200_000
+EXTRA = 0.08  # of a set's size, by which its window is widened
 
 
 def shingle_set(text: bytes | None, words: int = WORDS) -> np.ndarray:
@@ -53,11 +58,17 @@ def shingle_set(text: bytes | None, words: int = WORDS) -> np.ndarray:
 
 
 def window_length(n: int, percent: int) -> int:
-    return n - -(-percent * n // 100) + 1
+    """Shingles of a set of n whose regions it goes to: its window, widened by EXTRA."""
+    return n - -(-percent * n // 100) + max(1, int(EXTRA * n))
+
+
+def least_met(n: Column, percent: int) -> Column:
+    """Regions in which a set of n meets each linked one: the smaller of both may have ceil(t n) shingles."""
+    return F.greatest(F.lit(1), F.floor(EXTRA * F.ceil(percent * n / 100)))
 
 
 def _sampled_order(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Names and counts of shingles in at least three documents of a bounded sample."""
+    """Names and counts of the shingles in several documents of a bounded sample, at most ORDER_ENTRIES of them."""
     total = docs.count()
     share = min(1.0, ORDER_SAMPLE / max(total, 1))
     part = docs.where(F.pmod(F.xxhash64("doc"), F.lit(1 << 20)) < int(share * (1 << 20)))
@@ -109,16 +120,17 @@ def _sketches(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
 
 def _met_rows(sketches: DataFrame, bitmap: np.ndarray) -> DataFrame:
-    """Rows (cls, s) of the sketches whose region is in the bitmap."""
+    """Rows (cls, n, s) of the sketches whose region is in the bitmap."""
 
     def met(batches):
         for batch in batches:
-            of = np.repeat(batch.column(0).to_numpy(), np.diff(batch.column(1).offsets.to_numpy()))
-            s = batch.column(1).flatten().to_numpy()
+            size = np.diff(batch.column(2).offsets.to_numpy())
+            s = batch.column(2).flatten().to_numpy()
             hit = in_bitmap(s, bitmap)
-            yield pa.RecordBatch.from_arrays([pa.array(of[hit]), pa.array(s[hit])], names=["cls", "s"])
+            columns = [np.repeat(batch.column(k).to_numpy(), size)[hit] for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*columns, s[hit])], names=["cls", "n", "s"])
 
-    return sketches.where("cls IS NOT NULL").select("cls", "prefix").mapInArrow(met, "cls long, s long")
+    return sketches.where("cls IS NOT NULL").select("cls", "n", "prefix").mapInArrow(met, "cls long, n long, s long")
 
 
 def _sets(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
@@ -165,7 +177,7 @@ def _pair(x: str, y: str) -> list:
 def _regions(sets: DataFrame, percent: int) -> DataFrame:
     """Regions (g, cls, n, typ) of the classes of ``sets``, by exact frequency among them."""
     rows = sets.select("cls", F.size("set").cast("long").alias("n"), F.explode("set").alias("g"))
-    rows = rows.withColumn("df", F.count("*").over(Window.partitionBy("g"))).where("df > 1")
+    rows = rows.join(rows.groupBy("g").agg(F.count("*").alias("df")).where("df > 1"), "g")
     own = Window.partitionBy("cls")
     rows = rows.withColumn("alone", F.col("n") - F.count("*").over(own)).withColumn(
         "typ", F.sum(F.log("df")).over(own) / F.col("n")
@@ -184,24 +196,17 @@ def _linked(scratch: Scratch, docs: DataFrame, sketches: DataFrame, words: int,
     rows = sketches.where("cls IS NOT NULL").select("cls", F.explode("prefix").alias("s"))
     met = rows.groupBy("s").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi")
     met = scratch.keep(met, "met")
-    pairs = met.select(F.col("lo").alias("a"), F.col("hi").alias("b")).distinct()
-    # Regions with a member between their least and their greatest have more than one pair to offer:
-    # their members are joined again. Only rows that may lie in a region of several are dealt out.
-    inner = _met_rows(sketches, hash_bitmap(met, "s")).join(met, "s").where("cls > lo AND cls < hi")
-    wide = inner.select(F.explode(F.array("cls", "lo", "hi")).alias("cls")).distinct()
-    wanted = scratch.keep(
-        wide.withColumn("wide", F.lit(True))
-        .unionByName(pairs.select(F.explode(F.array("a", "b")).alias("cls"), F.lit(False).alias("wide")))
-        .groupBy("cls").agg(F.max("wide").alias("wide")),
-        "wanted",
-    )
+    # Only rows that may lie in a region of several are dealt out and counted.
+    meeting = _met_rows(sketches, hash_bitmap(met, "s")).join(met.select("s"), "s")
+    meeting = meeting.groupBy("cls").agg(F.countDistinct("s").alias("k"), F.max("n").alias("n"))
+    wanted = meeting.where(F.col("k") >= least_met(F.col("n"), percent)).select("cls")
     one = sketches.where("cls IS NOT NULL AND doc IS NOT NULL").groupBy("cls").agg(F.min("doc").alias("doc"))
     sets = scratch.keep(_sets(docs, scratch.keep(wanted.join(one, "cls"), "members"), words), "sets")
 
-    regions = scratch.keep(_regions(sets.where("wide"), percent), "regions")
+    regions = scratch.keep(_regions(sets, percent), "regions")
     first = regions.groupBy("g").agg(F.max(F.struct("typ", "cls"))["cls"].alias("p"))
     spokes = regions.join(first, "g")
-    todo = pairs.unionByName(spokes.where("p <> cls").select(*_pair("p", "cls"))).distinct()
+    todo = spokes.where("p <> cls").select(*_pair("p", "cls")).distinct()
     near = scratch.keep(_measured(todo, sets, percent), "near")
 
     eps = 1 - percent / 100 + 1e-9
