@@ -21,7 +21,7 @@ where a shingle that only one of them has counts as a step of the window but nee
 row. Inside the regions that remain, documents are the pivots: the member whose shingles
 are shared most is compared with every other one, members beyond the threshold get a
 second pivot, and of what neither pivot resolves, only pairs that the triangle inequality
-|d(x, p) - d(y, p)| <= 1 - t leaves open are compared.
+over both pivots leaves open are compared.
 Every comparison is an exact intersection, so links are neither missed nor made up (but
 for collisions of 64-bit shingle names).
 
@@ -159,14 +159,14 @@ def _sets(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
 
 
 def _measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) of classes with their exact distance and whether they are linked."""
+    """Candidate pairs (a, b) of classes with how many shingles they have in common and whether they are linked."""
     side = lambda c: sets.select(F.col("cls").alias(c), F.col("set").alias(f"set_{c}"))
     both = F.size(F.array_intersect("set_a", "set_b")).cast("long")
     either = F.size("set_a") + F.size("set_b") - both
     return (
         pairs.join(side("a"), "a").join(side("b"), "b")
         .select("a", "b", both.alias("common"), either.alias("either"))
-        .select("a", "b", (1 - F.col("common") / F.col("either")).alias("d"), (100 * F.col("common") >= percent * F.col("either")).alias("linked"))
+        .select("a", "b", "common", (100 * F.col("common") >= percent * F.col("either")).alias("linked"))
     )
 
 
@@ -175,20 +175,24 @@ def _pair(x: str, y: str) -> list:
 
 
 def _regions(sets: DataFrame, percent: int) -> DataFrame:
-    """Regions (g, cls, n, typ) of the classes of ``sets``, by exact frequency among them."""
+    """Regions (g, cls, n, shared, rank, typ) of the classes of ``sets``, by exact frequency among them.
+
+    shared counts the shingles of a class that others have, rank is the region's place among
+    them, typ says how much others have them.
+    """
     rows = sets.select("cls", F.size("set").cast("long").alias("n"), F.explode("set").alias("g"))
     rows = rows.join(rows.groupBy("g").agg(F.count("*").alias("df")).where("df > 1"), "g")
     own = Window.partitionBy("cls")
-    rows = rows.withColumn("alone", F.col("n") - F.count("*").over(own)).withColumn(
+    rows = rows.withColumn("shared", F.count("*").over(own)).withColumn(
         "typ", F.sum(F.log("df")).over(own) / F.col("n")
     )
     rank = F.row_number().over(own.orderBy("df", "g"))
     length = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1
-    rows = rows.withColumn("rank", rank).where(F.col("rank") <= length - F.col("alone"))
-    # Near copies share many regions with the same members; one region of each member set is enough.
-    mark = rows.groupBy("g").agg(F.count("*").alias("k"), F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("h"))
-    one = mark.where("k > 1").groupBy("k", "h").agg(F.min("g").alias("g")).select("g")
-    return rows.join(one, "g").select("g", "cls", "n", "typ")
+    rows = rows.withColumn("rank", rank).where(F.col("rank") <= length - F.col("n") + F.col("shared"))
+    # Near copies share many regions with the same members; of each member set the first is enough.
+    mark = rows.groupBy("g", "df").agg(F.count("*").alias("k"), F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("h"))
+    one = mark.where("k > 1").groupBy("k", "h").agg(F.min(F.struct("df", "g"))["g"].alias("g")).select("g")
+    return rows.join(one, "g").select("g", "cls", "n", "shared", "rank", "typ")
 
 
 def _linked(scratch: Scratch, docs: DataFrame, sketches: DataFrame, words: int, percent: int) -> DataFrame:
@@ -209,26 +213,33 @@ def _linked(scratch: Scratch, docs: DataFrame, sketches: DataFrame, words: int,
     todo = spokes.where("p <> cls").select(*_pair("p", "cls")).distinct()
     near = scratch.keep(_measured(todo, sets, percent), "near")
 
-    eps = 1 - percent / 100 + 1e-9
-    far = spokes.where("p <> cls").select("g", "cls", "n", "typ", "p", *_pair("p", "cls")).join(near, ["a", "b"])
-    far = far.select("g", "cls", "n", "typ", F.col("d").alias("d1"), F.col("linked").alias("l1"))
+    far = spokes.where("p <> cls").select("g", "cls", "n", "shared", "rank", "typ", "p", *_pair("p", "cls")).join(near, ["a", "b"])
+    far = far.select("g", "cls", "n", "shared", "rank", "typ", F.col("common").alias("i1"), F.col("linked").alias("l1"))
     open_ = far.groupBy("g").agg(F.count("*").alias("k"), F.max(F.when(~F.col("l1"), F.struct("typ", "cls")))["cls"].alias("p"))
     # Open: some member is not linked with the pivot, and there are others to link it with.
     rest = scratch.keep(far.join(open_.where("p IS NOT NULL AND k > 1"), "g"), "rest")
     second = rest.where("p <> cls").select(*_pair("p", "cls")).distinct()
     near2 = scratch.keep(_measured(second, sets, percent), "near2")
 
-    last = rest.where("p <> cls").select("*", *_pair("p", "cls")).join(near2, ["a", "b"])
-    last = scratch.keep(last.select("g", "cls", "n", "d1", "l1", F.col("d").alias("d2"), F.col("linked").alias("l2")), "last")
+    # What links are known already make components; only pairs across them are still of use.
+    known = near.unionByName(near2).where("linked").select("a", "b")
+    known = components(scratch, known, "known").withColumnRenamed("node", "cls")
+    last = rest.where("p <> cls").select("*", *_pair("p", "cls")).join(near2, ["a", "b"]).join(known, "cls", "left")
+    last = last.select("g", "cls", "n", "shared", "rank", "i1", F.col("common").alias("i2"), F.coalesce("component", "cls").alias("c"))
+    several = last.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("g")
+    last = scratch.keep(last.join(several, "g"), "last")
     x, y = last.alias("x"), last.alias("y")
-    t = percent / 100
+    # x and y have at most min(|x & p|, |y & p|) shingles of a pivot p in common, and of the others at
+    # most as many as the one with fewer shares with any document: the triangle inequality, made tight.
+    most = F.least(*[F.least(f"x.{i}", f"y.{i}") + F.least(*[F.col(f"{s}.shared") - F.col(f"{s}.{i}") for s in "xy"]) for i in ("i1", "i2")])
+    # If this is the first region that they share, they have none of the shingles before it in common.
+    most = F.least(most, *[F.col(f"{s}.shared") - F.col(f"{s}.rank") + 1 for s in "xy"])
     third = (
-        x.join(y, (F.col("x.g") == F.col("y.g")) & (F.col("x.cls") < F.col("y.cls"))
-               & ~(F.col("x.l1") & F.col("y.l1")) & ~(F.col("x.l2") & F.col("y.l2"))
-               & (F.abs(F.col("x.d1") - F.col("y.d1")) <= eps) & (F.abs(F.col("x.d2") - F.col("y.d2")) <= eps)
-               & (F.col("x.n") >= t * F.col("y.n") - 1e-6) & (F.col("y.n") >= t * F.col("x.n") - 1e-6))
+        x.join(y, (F.col("x.g") == F.col("y.g")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.c") != F.col("y.c"))
+               & ((100 + percent) * most >= percent * (F.col("x.n") + F.col("y.n"))))
         .select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
     )
+    third = scratch.keep(third, "third")
     near3 = _measured(third, sets, percent)
     links = near.unionByName(near2).unionByName(near3).where("linked").select("a", "b")
     return scratch.keep(links, "links")
