@@ -14,7 +14,10 @@ joins characters across white space, so a text's ids are its words' ids in a row
 
 from __future__ import annotations
 
+import re
 import zlib
+from collections import deque
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -26,32 +29,93 @@ from tallyframe.llm.common import Scratch
 
 TOKENS = 4096
 GROUP = 8192  # expected items that one task packs together
-CACHE_WORDS = 300_000
+CACHE_WORDS = 400_000
+CHUNK_CHARACTERS = 500_000  # of texts whose words are in memory at a time
+_MARKS = re.compile(r"(?:[^\w\s]|_)[.,] ")
 END = np.uint32(1).tobytes()
 NEARLY_FULL = 0.995  # bins above this share of tokens are not packed again
 ROUNDS = 4
 WEIGHTS = (1.0, 0.05, 0.05)  # of tokens, documents and cost in the rule
 
 
-class WordIds:
-    """Ids of words as little-endian bytes, by the tokenizer, with a bounded cache."""
+class WordIds(dict):
+    """Words -> their ids as little-endian bytes, of at most two generations of CACHE_WORDS.
+
+    Words not met before are noted in ``new`` and learned together.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-
-    def text(self, text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
-        known = self.known
-        new = [w for w in set(words) if w not in known]
-        if new:
-            if len(known) + len(new) > CACHE_WORDS:
-                known.clear()
-                new = list(set(words))
-            found = self.tokenizer.encode_batch(new, add_special_tokens=False)
-            known.update((w, np.array(e.ids, np.uint32).tobytes()) for w, e in zip(new, found))
-        return b"".join(map(known.__getitem__, words))
+        self.tokenizer, self.new, self.old = Tokenizer.from_file(path), [], {}
+        size = self.tokenizer.get_vocab_size()
+        self.ends = np.array([(self.tokenizer.id_to_token(k) or "").endswith("</w>") for k in range(size)])
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.old.get(word)
+        if found is None:
+            self.new.append(word)
+            return b""
+        self[word] = found
+        return found
+
+    def learn(self) -> None:
+        words, self.new = list(set(self.new)), []
+        plain = [w for w in words if w.isalpha()]
+        if plain:  # letters only are one part for the tokenizer, so one text of them can be cut at word ends
+            ids = np.array(self._ids([" ".join(plain)])[0], np.uint32)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(plain):
+                whole, cuts = ids.tobytes(), [0, *(4 * ends).tolist()]
+                self.update((w, whole[x:y]) for w, x, y in zip(plain, cuts, cuts[1:]))
+                words = [w for w in words if w not in self]
+        self.update((w, np.array(x, np.uint32).tobytes()) for w, x in zip(words, self._ids(words)))
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def texts(self, texts: list[str]) -> list[bytes]:
+        lists = [_words(text) for text in texts]
+        if len(self) > CACHE_WORDS:
+            self.old = dict(self)
+            self.clear()
+        for words in lists:
+            deque(map(self.__getitem__, words), maxlen=0)
+        if self.new:
+            self.learn()
+        return [b"".join(map(self.__getitem__, words)) for words in lists]
+
+
+def _words(text: str) -> list[str]:
+    """A text in parts that the tokenizer treats alone, with few different ones.
+
+    It drops white space, lower-cases and splits marks from words, so case is folded and
+    commas and points at word ends stand alone where that changes no ids: not in texts
+    beyond Latin-1 (composed characters), with its special tokens, or with several marks
+    in a row.
+    """
+    text += "\n"
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text.replace("\n", " ").split(" ")
+    if "<|" in text:
+        return text.replace("\n", " ").split(" ")
+    text = text.lower().replace("\n", " ")
+    if not _MARKS.search(text):
+        text = text.replace(", ", " , ").replace(". ", " . ")
+    return text.split(" ")
+
+
+def _tokenised(words: WordIds, texts: pa.Array) -> Iterator[bytes]:
+    held, size = [], 0
+    for text in texts:
+        held.append(text.as_py() or "")
+        size += len(held[-1])
+        if size >= CHUNK_CHARACTERS:
+            yield from words.texts(held)
+            held, size = [], 0
+    yield from words.texts(held)
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, size: int = TOKENS) -> DataFrame:
@@ -65,8 +129,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, size: int = TOKENS) -> Da
         words = WordIds(tokenizer_path)
         for batch in batches:
             take, piece, start, length, crc, ids = [], [], [], [], [], []
-            for k, text in enumerate(batch.column(1)):
-                whole = words.text(text.as_py() or "") + END
+            for k, ids_of in enumerate(_tokenised(words, batch.column(1))):
+                whole = ids_of + END
                 for n, at in enumerate(range(0, len(whole), 4 * size)):
                     part = whole[at : at + 4 * size]
                     take.append(k)
