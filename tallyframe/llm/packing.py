@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +29,7 @@ from tallyframe.llm.common import Scratch
 TOKENS = 4096
 GROUP = 8192  # expected items that one task packs together
 CACHE_WORDS = 400_000
-CHUNK_CHARACTERS = 500_000  # of texts whose words are in memory at a time
+CHUNK_CHARACTERS = 100_000  # of texts whose words are in memory at a time
 _MARKS = re.compile(r"(?:[^\w\s]|_)[.,] ")
 END = np.uint32(1).tobytes()
 NEARLY_FULL = 0.995  # bins above this share of tokens are not packed again
@@ -39,51 +38,54 @@ WEIGHTS = (1.0, 0.05, 0.05)  # of tokens, documents and cost in the rule
 
 
 class WordIds(dict):
-    """Words -> their ids as little-endian bytes, of at most two generations of CACHE_WORDS.
+    """Words -> places in a table of their ids as little-endian bytes.
 
-    Words not met before are noted in ``new`` and learned together.
+    Words not met before get their places at once and are learned together. There are at
+    most two generations of CACHE_WORDS.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.new, self.old = Tokenizer.from_file(path), [], {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.table, self.new = [], []
+        self.old, self.old_table = {}, []
         size = self.tokenizer.get_vocab_size()
         self.ends = np.array([(self.tokenizer.id_to_token(k) or "").endswith("</w>") for k in range(size)])
 
-    def __missing__(self, word: str) -> bytes:
-        found = self.old.get(word)
-        if found is None:
+    def __missing__(self, word: str) -> int:
+        place = self[word] = len(self.table)
+        known = self.old.get(word)
+        if known is None:
             self.new.append(word)
-            return b""
-        self[word] = found
-        return found
+        self.table.append(None if known is None else self.old_table[known])
+        return place
 
     def learn(self) -> None:
-        words, self.new = list(set(self.new)), []
+        words, self.new = self.new, []
         plain = [w for w in words if w.isalpha()]
         if plain:  # letters only are one part for the tokenizer, so one text of them can be cut at word ends
             ids = np.array(self._ids([" ".join(plain)])[0], np.uint32)
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) == len(plain):
                 whole, cuts = ids.tobytes(), [0, *(4 * ends).tolist()]
-                self.update((w, whole[x:y]) for w, x, y in zip(plain, cuts, cuts[1:]))
-                words = [w for w in words if w not in self]
-        self.update((w, np.array(x, np.uint32).tobytes()) for w, x in zip(words, self._ids(words)))
+                for w, x, y in zip(plain, cuts, cuts[1:]):
+                    self.table[self[w]] = whole[x:y]
+                words = [w for w in words if self.table[self[w]] is None]
+        for w, x in zip(words, self._ids(words)):
+            self.table[self[w]] = np.array(x, np.uint32).tobytes()
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def texts(self, texts: list[str]) -> list[bytes]:
-        lists = [_words(text) for text in texts]
         if len(self) > CACHE_WORDS:
-            self.old = dict(self)
+            self.old, self.old_table, self.table = dict(self), self.table, []
             self.clear()
-        for words in lists:
-            deque(map(self.__getitem__, words), maxlen=0)
+        places = [list(map(self.__getitem__, _words(text))) for text in texts]
         if self.new:
             self.learn()
-        return [b"".join(map(self.__getitem__, words)) for words in lists]
+        return [b"".join(map(self.table.__getitem__, p)) for p in places]
 
 
 def _words(text: str) -> list[str]:
