@@ -29,10 +29,33 @@ MIN_CONTEXTS = 10
 SPREAD = 0.3
 
 
+MAP_BITS = 1 << 23  # of the maps that spare rows a shuffle; 1 MB at any input size
+
+
 def masked(line: Column) -> Column:
-    """The line with single blanks and with each token that holds a digit as <*>."""
-    plain = F.trim(F.regexp_replace(line, r"\s+", " "))
-    return F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, r"[^ 0-9]*+[0-9][^ ]*+", "<*>")).otherwise(plain)
+    """The line with each token that holds a digit as <*>."""
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(line, r"[^ 0-9]*+[0-9][^ ]*+", "<*>")).otherwise(line)
+
+
+def leaf_of(line: Column) -> Column:
+    """A hash of a line's token count and of its first tokens, masked. Tokens end at single blanks."""
+    count = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit("")))
+    return F.xxhash64(count, masked(F.substring_index(line, " ", LEAD)))
+
+
+def hash_map(df: DataFrame, column: str) -> Column:
+    """A test, for a column of hashes, of a bitmap of ``df``'s hashes of fixed size.
+
+    A set bit may be a chance hit, so what passes is joined exactly afterwards.
+    """
+    slot = F.pmod(F.col(column), F.lit(MAP_BITS)) + 1
+    parts = df.select(F.bitmap_bucket_number(slot).alias("k"), F.bitmap_bit_position(slot).alias("bit"))
+    bits = bytearray(MAP_BITS // 8)
+    for k, part in parts.groupBy("k").agg(F.bitmap_construct_agg("bit")).collect():
+        bits[(k - 1) * len(part) : k * len(part)] = part
+    at = F.pmod(F.col(column), F.lit(MAP_BITS))
+    byte = F.conv(F.hex(F.substring(F.lit(bytes(bits)), (F.expr(f"pmod({column}, {MAP_BITS})") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.getbit(byte.cast("long"), (at % 8).cast("int")) == 1
 
 
 def _lines(texts: DataFrame) -> DataFrame:
@@ -49,18 +72,19 @@ def _lines(texts: DataFrame) -> DataFrame:
             ),
         )
 
-    rows = texts.select("th", F.explode(placed(parts)).alias("r")).select("th", "r.*")
-    return rows.where(F.col("line").rlike(r"\S"))
+    rows = texts.select("th", F.explode(placed(parts)).alias("r"))
+    return rows.select("th", "r.place", F.trim("r.line").alias("line"), "r.context").where("line <> ''")
 
 
 def recurring_lines(texts: DataFrame, scratch: Scratch, min_contexts: int = MIN_CONTEXTS, spread: float = SPREAD) -> DataFrame:
     """(th, places): the places of the lines to drop in each text, named by its hash."""
-    lines = _lines(texts).withColumn("masked", masked(F.col("line")))
-    lines = lines.withColumn("tokens", F.split("masked", " "))
-    lead = [F.get("tokens", F.lit(i)) for i in range(LEAD)]
-    lines = lines.select("th", "place", "context", F.xxhash64(F.size("tokens"), *lead).alias("leaf"), F.xxhash64("masked").alias("h"), "masked")
+    every = texts.select(F.explode(F.split("text", "\n", -1)).alias("line")).select(F.trim("line").alias("line")).where("line <> ''")
     # A line belongs to no recurring template if its leaf has too few lines.
-    leaves = lines.groupBy("leaf").agg(F.count("*").alias("k")).where(F.col("k") >= min_contexts).select("leaf")
+    leaves = every.groupBy(leaf_of(F.col("line")).alias("leaf")).agg(F.count("*").alias("k"))
+    leaves = scratch.keep(leaves.where(F.col("k") >= min_contexts).select("leaf"), "leaves")
+    lines = _lines(texts).withColumn("leaf", leaf_of(F.col("line"))).where(hash_map(leaves, "leaf"))
+    lines = lines.withColumn("masked", masked(F.col("line")))
+    lines = lines.select("th", "place", "context", "leaf", F.xxhash64("masked").alias("h"), "masked")
     some = scratch.keep(lines.join(leaves, "leaf"), "lines")
 
     kinds = some.groupBy("leaf", "h").agg(F.count("*").alias("k"), F.min("masked").alias("masked"))
@@ -100,9 +124,15 @@ def line_dedup(docs: DataFrame, text_col: str = "text", min_contexts: int = MIN_
     texts = docs.select(F.col(text_col).alias("text")).where(F.col("text").isNotNull())
     # One row per different text in the counts: copies have the same name.
     drops = scratch.keep(recurring_lines(texts.select(F.xxhash64("text").alias("th"), "text"), scratch, min_contexts, spread), "drops")
-    scratch.drop("lines", "kinds", "clusters")
+    scratch.drop("leaves", "lines", "kinds", "clusters")
     th, places = free_name(docs, "text_hash"), free_name(docs, "dropped_places")
-    found = docs.withColumn(th, F.xxhash64(F.col(text_col))).join(drops.select(F.col("th").alias(th), F.col("places").alias(places)), th, "left")
+    named = docs.withColumn(th, F.xxhash64(F.col(text_col)))
+    hit = F.coalesce(F.col(text_col).isNotNull() & hash_map(drops.select(F.col("th").alias(th)), th), F.lit(False))
+    none = F.lit(None).cast("array<int>").alias(places)
+    # Only texts that may lose lines are dealt out to meet their places.
+    found = named.where(~hit).select("*", none).unionByName(
+        named.where(hit).join(drops.select(F.col("th").alias(th), F.col("places").alias(places)), th, "left")
+    )
     kept = F.filter(F.split(text_col, "\n", -1), lambda x, i: ~F.array_contains(places, i))
     out = found.withColumn(text_col, F.when(F.col(places).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")))
     columns = [F.col(f"`{c}`") for c in docs.columns]
