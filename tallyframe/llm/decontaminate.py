@@ -18,8 +18,6 @@ ITEM_BLOCK items are searched for in several passes.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pandas as pd
 import xxhash
@@ -37,25 +35,14 @@ COSINE = 0.4
 FULL, PART, ANSWER = 0.7, 0.5, 0.8  # shares of the item in order; of its answer
 ANSWER_WORDS = 8
 ITEM_BLOCK = 1000
-CACHE_WORDS = 300_000
-_MARKS = re.compile(r"[\W_]+")
-
-
-class WordNames(dict):
-    """word -> 32-bit name of its letters and digits in lower case, 0 if it has none."""
+FIT_TASKS = 8
+_MARKS = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in range(256))
 
-    def __missing__(self, word: str) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        core = _MARKS.sub("", word.lower())
-        found = self[word] = (xxhash.xxh3_64_intdigest(core) & 0x7FFFFFFF | 1) if core else 0
-        return found
 
-
-def names_of(text: str | None, known: WordNames) -> np.ndarray:
-    words = (text or "").split()
-    names = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-    return names[names > 0]
+def names_of(text: str | None) -> np.ndarray:
+    """32-bit names of a text's words: runs of letters, digits and whatever is not ASCII, in lower case."""
+    words = (text or "").lower().encode().translate(_MARKS).split()
+    return np.fromiter(map(xxhash.xxh32_intdigest, words), np.int64, len(words))
 
 
 def starts_of(n: int) -> np.ndarray:
@@ -83,11 +70,11 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     """Documents per hashed word, over all documents, and their number."""
 
     def counted(batches):
-        known, df, n = WordNames(), np.zeros(1 << BITS, np.int64), 0
+        df, n = np.zeros(1 << BITS, np.int64), 0
         for pdf in batches:
             n += len(pdf)
             for text in pdf["text"]:
-                df[np.unique(names_of(text, known) >> 1 & (1 << BITS) - 1)] += 1
+                df[np.unique(names_of(text) & (1 << BITS) - 1)] += 1
         at = np.flatnonzero(df)
         yield pd.DataFrame({"slot": np.append(at, -1), "k": np.append(df[at], n)})
 
@@ -115,7 +102,7 @@ class Index:
         return np.where(self.vocabulary[at] == names, at, -1)
 
     def weights(self, names: np.ndarray) -> np.ndarray:
-        return self.idf[names >> 1 & (1 << BITS) - 1]
+        return self.idf[names & (1 << BITS) - 1]
 
     def sparse(self, names: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
         """Columns and TF-IDF values of one passage, as a share of its whole vector's length."""
@@ -129,6 +116,8 @@ class Index:
         """Starts and latent vectors, as a share of their whole length, of the passages with at least that share in the vocabulary."""
         start = starts_of(len(names))
         at, w = self.columns(names), self.weights(names)
+        if least:
+            start = self._possible(w, at >= 0, start, least)
         whole, inner = self._lengths(names, w, at >= 0, start)
         some = inner >= least * whole
         start, whole = start[some], whole[some]
@@ -140,6 +129,18 @@ class Index:
             out[k] = w[s : s + size][inside].astype(np.float32) @ self.basis[a[inside]]
         return start, out / whole[:, None].astype(np.float32)
 
+    def _possible(self, w: np.ndarray, inside: np.ndarray, start: np.ndarray, least: float) -> np.ndarray:
+        """Starts whose passages may have that share, by bounds that are sums over words.
+
+        The length inside the vocabulary is at most the sum of the weights there, and the
+        length outside at least that of the single words.
+        """
+        end = np.minimum(start + WORDS, len(w))
+        inner = np.concatenate([[0], np.cumsum(np.where(inside, w, 0))])
+        outer = np.concatenate([[0], np.cumsum(np.where(inside, 0, w * w))])
+        inner, outer = inner[end] - inner[start], outer[end] - outer[start]
+        return start[inner * inner * (1 - least * least) >= least * least * outer - 1e-6]
+
     def _lengths(self, names: np.ndarray, w: np.ndarray, inside: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Lengths of the passages' vectors, whole and in the vocabulary only."""
         size = min(WORDS, len(names))
@@ -164,9 +165,9 @@ class Index:
         if queries:
             self.of, self.queries = np.array(of), np.concatenate(queries)
 
-    def leaks(self, text: str | None, known: WordNames) -> list[tuple[int, float, float, float]]:
+    def leaks(self, text: str | None) -> list[tuple[int, float, float, float]]:
         """(item_id, cosine, share of the item in order, share of its answer) of the items found in a text."""
-        names = names_of(text, known)
+        names = names_of(text)
         if not len(names) or not len(self.queries):
             return []
         best: dict[int, tuple[float, int, int]] = {}
@@ -210,21 +211,20 @@ def _fit(index: Index, docs: DataFrame, total: int) -> None:
     share = min(1.0, FIT_PASSAGES / 8 / max(total, 1))  # up to eight passages of each sampled document
     some = docs.where(F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1 << 20)) < int(share * (1 << 20))).select("text")
 
-    def passages(texts, known):
+    def passages(texts):
         for text in texts:
-            names = names_of(text, known)
+            names = names_of(text)
             start = starts_of(len(names))
             for s in start[np.linspace(0, len(start) - 1, min(8, len(start))).astype(int)] if len(start) else ():
                 yield index.sparse(names, s)
 
     def gathered(batches):
-        known = WordNames()
         for pdf in batches:
-            rows = [(a.astype(np.int32), x) for a, x in passages(pdf["text"], known) if len(a)]
+            rows = [(a.astype(np.int32), x) for a, x in passages(pdf["text"]) if len(a)]
             if rows:
                 yield pd.DataFrame({"at": [a for a, _ in rows], "x": [x for _, x in rows]})
 
-    held = some.mapInPandas(gathered, "at array<int>, x array<double>").persist()
+    held = some.mapInPandas(gathered, "at array<int>, x array<double>").repartition(FIT_TASKS).persist()
     own = [index.sparse(n, s) for _, n in index.items for s in starts_of(len(n))]
     mass = held.select(F.sum(F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v))).first()[0] or 0.0
     weight = SAMPLE_WEIGHT * sum(float(x @ x) for _, x in own) / max(mass, 1e-12)
@@ -273,8 +273,8 @@ def indexes(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_
     out = []
     for k in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        pdf, known = part.toPandas(), WordNames()
-        index = Index([(int(i), n) for i, t in zip(pdf["item_id"], pdf["text"]) if len(n := names_of(t, known))], idf)
+        pdf = part.toPandas()
+        index = Index([(int(i), n) for i, t in zip(pdf["item_id"], pdf["text"]) if len(n := names_of(t))], idf)
         if index.items:
             _fit(index, docs, total)
             out.append(index)
@@ -294,9 +294,8 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
 
     def search(index: Index):
         def found(batches):
-            known = WordNames()
             for pdf in batches:
-                rows = [(d, *leak) for d, t in zip(pdf["doc_id"], pdf["text"]) for leak in index.leaks(t, known)]
+                rows = [(d, *leak) for d, t in zip(pdf["doc_id"], pdf["text"]) for leak in index.leaks(t)]
                 if rows:
                     yield pd.DataFrame(rows, columns=["doc_id", "item_id", "cosine", "item_share", "answer_share"])
 
@@ -314,8 +313,7 @@ def drop_leaking(docs: DataFrame, benchmark: DataFrame, text_col: str = "text")
     for index in indexes(docs, benchmark, text_col):
 
         def leaking(texts: pd.Series, index: Index = index) -> pd.Series:
-            known = WordNames()
-            return pd.Series([bool(index.leaks(t, known)) for t in texts], dtype=bool)
+            return pd.Series([bool(index.leaks(t)) for t in texts], dtype=bool)
 
         name = free_name(out, "leaks")
         flag = F.pandas_udf(lambda texts, f=leaking: f(texts), "boolean")
