@@ -91,6 +91,8 @@ class Index:
     def __init__(self, items: list[tuple[int, np.ndarray]], idf: np.ndarray) -> None:
         self.items, self.idf = items, idf
         self.vocabulary = np.unique(np.concatenate([np.empty(0, np.int64), *(n for _, n in items)]))
+        self.slots = np.zeros(1 << BITS, bool)
+        self.slots[self.vocabulary & (1 << BITS) - 1] = True
         self.basis = np.zeros((len(self.vocabulary), 0), np.float32)
         self.of, self.queries = np.empty(0, np.int64), np.zeros((0, 0), np.float32)
 
@@ -98,8 +100,12 @@ class Index:
         """Places of words in the items' vocabulary, -1 for others."""
         if not len(self.vocabulary):
             return np.full(len(names), -1)
-        at = np.minimum(np.searchsorted(self.vocabulary, names), len(self.vocabulary) - 1)
-        return np.where(self.vocabulary[at] == names, at, -1)
+        out = np.full(len(names), -1)
+        some = np.flatnonzero(self.slots[names & (1 << BITS) - 1])  # the rest is surely not in it
+        part = names[some]
+        at = np.minimum(np.searchsorted(self.vocabulary, part), len(self.vocabulary) - 1)
+        out[some] = np.where(self.vocabulary[at] == part, at, -1)
+        return out
 
     def weights(self, names: np.ndarray) -> np.ndarray:
         return self.idf[names & (1 << BITS) - 1]

@@ -1,7 +1,8 @@
 """Log-template tree: lines whose template recurs across documents are dropped.
 
 Only DataFrame functions run here. A line's leaf in the tree is its token count and its
-first LEAD tokens, with tokens that hold digits masked as variable fields. In leaves with
+first LEAD tokens, with tokens that hold digits masked as variable fields (but not in
+lines that are mostly such tokens). In leaves with
 enough lines, the token that most lines have at a place is fixed if its share is at least
 FIXED, else the place is variable; a line that agrees with the leaf's fixed tokens at
 SIMILAR of its places has the leaf's template, any other line its own masked text.
@@ -29,18 +30,25 @@ MIN_CONTEXTS = 10
 SPREAD = 0.3
 
 
-MAP_BITS = 1 << 23  # of the maps that spare rows a shuffle; 1 MB at any input size
+MAP_BITS = 1 << 19  # of the maps that spare rows a shuffle; 64 KB at any input size, as they stand in plans
 
 
-def masked(line: Column) -> Column:
+def fields(line: Column) -> Column:
     """The line with each token that holds a digit as <*>."""
     return F.when(line.rlike("[0-9]"), F.regexp_replace(line, r"[^ 0-9]*+[0-9][^ ]*+", "<*>")).otherwise(line)
 
 
+def masked(line: Column) -> Column:
+    """The line with its variable fields as <*>; as it is if these are more than half of it, which is no template."""
+    found = fields(line)
+    size = lambda x, part: F.octet_length(x) - F.octet_length(F.replace(x, F.lit(part), F.lit("")))
+    return F.when(2 * size(found, "<*>") / 3 <= size(line, " ") + 1, found).otherwise(line)
+
+
 def leaf_of(line: Column) -> Column:
     """A hash of a line's token count and of its first tokens, masked. Tokens end at single blanks."""
     count = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit("")))
-    return F.xxhash64(count, masked(F.substring_index(line, " ", LEAD)))
+    return F.xxhash64(count, fields(F.substring_index(line, " ", LEAD)))
 
 
 def hash_map(df: DataFrame, column: str) -> Column:
@@ -60,19 +68,11 @@ def hash_map(df: DataFrame, column: str) -> Column:
 
 def _lines(texts: DataFrame) -> DataFrame:
     """(th, place, line, context) of the lines with tokens; th names the text, context its neighbours."""
-    parts = F.split("text", "\n", -1)
-
-    def placed(lines: Column) -> Column:
-        hashes = F.transform(lines, lambda x: F.xxhash64(x))
-        # F.get gives null beyond either end
-        return F.transform(
-            lines,
-            lambda x, i: F.struct(
-                i.alias("place"), x.alias("line"), F.xxhash64(F.get(hashes, i - 1), F.get(hashes, i + 1)).alias("context")
-            ),
-        )
-
-    rows = texts.select("th", F.explode(placed(parts)).alias("r"))
+    parts = texts.select("th", F.split("text", "\n", -1).alias("parts"))
+    # F.get gives null beyond either end
+    around = lambda i: F.xxhash64(F.get("parts", i - 1), F.get("parts", i + 1))
+    placed = F.transform("parts", lambda x, i: F.struct(i.alias("place"), x.alias("line"), around(i).alias("context")))
+    rows = parts.select("th", F.explode(placed).alias("r"))
     return rows.select("th", "r.place", F.trim("r.line").alias("line"), "r.context").where("line <> ''")
 
 
@@ -129,9 +129,9 @@ def line_dedup(docs: DataFrame, text_col: str = "text", min_contexts: int = MIN_
     named = docs.withColumn(th, F.xxhash64(F.col(text_col)))
     hit = F.coalesce(F.col(text_col).isNotNull() & hash_map(drops.select(F.col("th").alias(th)), th), F.lit(False))
     none = F.lit(None).cast("array<int>").alias(places)
-    # Only texts that may lose lines are dealt out to meet their places.
+    # Only texts that may lose lines are dealt out to meet their places, which grow with the input.
     found = named.where(~hit).select("*", none).unionByName(
-        named.where(hit).join(drops.select(F.col("th").alias(th), F.col("places").alias(places)), th, "left")
+        named.where(hit).join(drops.select(F.col("th").alias(th), F.col("places").alias(places)).hint("merge"), th, "left")
     )
     kept = F.filter(F.split(text_col, "\n", -1), lambda x, i: ~F.array_contains(places, i))
     out = found.withColumn(text_col, F.when(F.col(places).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")))
