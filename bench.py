@@ -22,6 +22,7 @@ HEADLINE = [
     "vendor_profile", "vendor_anomaly_asof", "validation_status", "replay_requests", "timeline",
     "flatten_header", "source_by_stage", "alerts", "top_vendors", "confidence_trend", "recent_by_source",
     "vendor_stats", "ingest_outcome", "upsert_invoices", "stream_guard",
+    "compliance_verdict", "edit_diff", "flatten_lines", "line_items_long", "ingest_summary",
 ]
 
 

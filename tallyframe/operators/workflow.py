@@ -287,7 +287,7 @@ def timeline(invoices: DataFrame, edits: DataFrame) -> DataFrame:
                 F.col("reviewed_by") != "",
                 F.coalesce(approved_at, F.col("created_at")),
                 "REVIEWED",
-                F.concat(F.lit("Reviewed by "), who("reviewed_by")),
+                F.concat(F.lit("Reviewed by Manager ("), who("reviewed_by"), F.lit(")")),
             ),
             event(stage == "APPROVED", approved_at, "APPROVED", F.concat(F.lit("Approved by "), who("approved_by"))),
             event(stage == "REJECTED", approved_at, "REJECTED", F.lit("Rejected by Manager")),

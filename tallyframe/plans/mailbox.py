@@ -157,10 +157,10 @@ def _size(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "safe_filename",
     """SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'invoice_20010805_000000.bin'
-  ELSE left(regexp_replace(concat(source, ' é#/', left(text, 200)), '[^\\p{L}\\p{N}._-]', '_', 'g'), 150) END AS safe_name FROM documents""",
+  ELSE left(regexp_replace(concat(source, ' é#/', text), '[^\\p{L}\\p{N}._-]', '_', 'g'), 150) END AS safe_name FROM documents""",
 )
 def _safe(spark: SparkSession, sf: str) -> DataFrame:
-    name = F.concat("source", F.lit(" é#/"), F.left("text", F.lit(200)))
+    name = F.concat("source", F.lit(" é#/"), "text")
     given = F.when(F.col("doc_id") % 10 == 0, "").otherwise(name)
     return _docs(spark, sf).select("doc_id", mail.safe_filename(given, as_of()).alias("safe_name"))
 

@@ -171,7 +171,7 @@ def _editable(spark: SparkSession, sf: str) -> DataFrame:
     "timeline",
     with_tables(
         """SELECT id AS invoice_id, created_at AS event_time, 'UPLOADED' AS stage, concat('Uploaded by ', created_by) AS description FROM led
-UNION ALL SELECT id, coalesce(approval_timestamp, created_at), 'REVIEWED', concat('Reviewed by ', reviewed_by) FROM led WHERE reviewed_by <> ''
+UNION ALL SELECT id, coalesce(approval_timestamp, created_at), 'REVIEWED', concat('Reviewed by Manager (', reviewed_by, ')') FROM led WHERE reviewed_by <> ''
 UNION ALL SELECT id, approval_timestamp, 'APPROVED', concat('Approved by ', approved_by) FROM led WHERE approval_stage = 'APPROVED'
 UNION ALL SELECT id, approval_timestamp, 'REJECTED', 'Rejected by Manager' FROM led WHERE approval_stage = 'REJECTED'
 UNION ALL SELECT id, coalesce(reprocessed_at, approval_timestamp), 'AUDITED', 'Audited and Verified' FROM led WHERE approval_stage = 'AUDITED'

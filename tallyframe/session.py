@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,17 +49,14 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") ->
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A new folder below the cluster's shared checkpoint folder.
 
-    Every executor must be able to read what another one wrote, so a local
-    temporary folder is used only when Spark itself runs on one machine.
+    Every executor must be able to read what another one wrote. Where no such folder is
+    set, as in tests, it is the warehouse.
     """
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get(
         "spark.checkpoint.dir", None
     )
-    if shared:
-        return f"{shared.rstrip('/')}/tallyframe-{label}-{uuid.uuid4().hex}"
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    return tempfile.mkdtemp(prefix=f"tallyframe-{label}-") + "/data"
+    place = shared or f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch"
+    return f"{place.rstrip('/')}/tallyframe-{label}-{uuid.uuid4().hex}"
 
 
 def store(df: DataFrame, label: str) -> str:

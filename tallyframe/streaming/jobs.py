@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyframe.functions.columns import finite_or_null
 from tallyframe.config import MailRules
 from tallyframe.operators.dedup import keep_first
 from tallyframe.operators.mail import parse_messages, screen
@@ -168,7 +169,7 @@ def stream_confidence_trend(invoices: DataFrame, out: str, checkpoint: str, late
         invoices.withColumn("created_at", F.col("created_at").cast("timestamp"))
         .withWatermark("created_at", lateness)
         .groupBy(F.window("created_at", "1 day"))
-        .agg(F.avg("confidence_score").alias("avg_confidence"))
+        .agg(F.avg(finite_or_null(F.col("confidence_score"))).alias("avg_confidence"))
         .select(F.to_date("window.start").alias("day"), "avg_confidence")
     )
 
