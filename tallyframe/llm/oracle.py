@@ -1,0 +1,64 @@
+"""DuckDB SQL with the same rows as the registered queries, where SQL can express the operator."""
+
+from __future__ import annotations
+
+# Distinct 5-word shingles; rows of one shingle set are a class, classes are linked through
+# the shingles they share, and components are closed over the links between classes.
+NGRAM_JACCARD_JOIN = r"""
+WITH RECURSIVE texts AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents),
+words AS (SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) AS p, len(ws) AS n FROM texts),
+grams AS (
+  SELECT r, p, n, concat_ws(' ', w, lead(w, 1) OVER o, lead(w, 2) OVER o, lead(w, 3) OVER o, lead(w, 4) OVER o) AS g
+  FROM words WINDOW o AS (PARTITION BY r ORDER BY p)),
+sets AS (
+  SELECT r, count(*) AS n, string_agg(g, chr(10) ORDER BY g) AS names
+  FROM (SELECT DISTINCT r, g FROM grams WHERE p <= greatest(n - 4, 1)) t GROUP BY r),
+rows_of AS (
+  SELECT t.r, t.doc_id, coalesce(s.n, 0) AS n,
+    CASE WHEN s.r IS NULL THEN t.doc_id ELSE min(t.doc_id) OVER (PARTITION BY s.names) END AS class_id
+  FROM texts t LEFT JOIN sets s ON s.r = t.r),
+classes AS (SELECT class_id AS c, min(r) AS r, min(n) AS n FROM rows_of WHERE n > 0 GROUP BY class_id),
+named AS MATERIALIZED (SELECT DISTINCT c, c.n, g FROM classes c JOIN grams g ON g.r = c.r WHERE p <= greatest(g.n - 4, 1)),
+links AS MATERIALIZED (
+  SELECT x.c AS a, y.c AS b FROM named x JOIN named y ON x.g = y.g AND x.c <> y.c
+  GROUP BY x.c, y.c, x.n, y.n HAVING 100 * count(*) >= 75 * (x.n + y.n - count(*))),
+reach AS (SELECT c, c AS top FROM classes UNION SELECT l.b, m.top FROM reach m JOIN links l ON l.a = m.c AND m.top < l.b),
+least AS (SELECT c, min(top) AS top FROM reach GROUP BY c)
+SELECT doc_id, n AS n_shingles, coalesce(least.top, doc_id) AS component_id, class_id
+FROM rows_of LEFT JOIN least ON least.c = class_id"""
+
+EMBEDDING_NEARDUP = r"""
+WITH RECURSIVE vectors AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+sound AS MATERIALIZED (
+  SELECT vec_id, x, sqrt(list_inner_product(x, x)) AS norm FROM vectors
+  WHERE len(x) > 0 AND len(list_filter(x, lambda v: v IS NULL OR NOT isfinite(v))) = 0 AND len(list_filter(x, lambda v: v <> 0)) > 0),
+links AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM sound a JOIN sound b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+  WHERE list_inner_product(a.x, b.x) / (a.norm * b.norm) >= 0.9),
+reach AS (SELECT vec_id AS v, vec_id AS top FROM vectors UNION SELECT l.b, m.top FROM reach m JOIN links l ON l.a = m.v AND m.top < l.b),
+least AS (SELECT v, min(top) AS top FROM reach GROUP BY v),
+degrees AS (SELECT a, count(*) AS k FROM links GROUP BY a)
+SELECT vec_id, coalesce(k, 0) AS n_links, top AS component_id, vec_id = top AS kept
+FROM vectors JOIN least ON v = vec_id LEFT JOIN degrees ON a = vec_id"""
+
+# Every window of 35 words by its text; a word goes if one of the windows that cover it stands anywhere else.
+SUBSTRING_DEDUP = r"""
+WITH texts AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+words AS (SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) AS p, len(ws) AS n FROM texts),
+windows AS (
+  SELECT r, p, n, w, md5(string_agg(w, ' ') OVER (PARTITION BY r ORDER BY p ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)) AS h FROM words),
+again AS (SELECT h FROM windows WHERE p <= n - 34 GROUP BY h HAVING count(*) > 1),
+marked AS (SELECT r, p, w, p <= n - 34 AND h IN (SELECT h FROM again) AS starts FROM windows),
+covered AS (SELECT r, p, w, bool_or(starts) OVER (PARTITION BY r ORDER BY p ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM marked),
+kept AS (SELECT r, count(*) FILTER (WHERE gone) AS k, coalesce(string_agg(w, ' ' ORDER BY p) FILTER (WHERE NOT gone), '') AS t FROM covered GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(k, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM texts LEFT JOIN kept ON kept.r = texts.r"""
+
+SQL = {
+    "op1_ngram_jaccard_join": NGRAM_JACCARD_JOIN,
+    "op2_embedding_neardup": EMBEDDING_NEARDUP,
+    "op10_substring_dedup": SUBSTRING_DEDUP,
+}

@@ -13,6 +13,7 @@ from tallyframe.llm.html_extraction import extract_main_text
 from tallyframe.llm.licenses import license_scan
 from tallyframe.llm.line_dedup import line_dedup
 from tallyframe.llm.ngram_join import ngram_jaccard_join
+from tallyframe.llm.oracle import SQL
 from tallyframe.llm.packing import best_fit_packing
 from tallyframe.llm.quality import quality_scores
 from tallyframe.llm.substring_dedup import substring_dedup
@@ -80,4 +81,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    return {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return SQL | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
