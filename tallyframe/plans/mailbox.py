@@ -14,9 +14,8 @@ from tallyframe.plans.registry import query
 from tallyframe.plans.tables import as_of
 from tallyframe.sources import derived
 
-RULES = MailRules(
-    senders=tuple(f"SRC{i}@vendor.example" for i in range(16)), keywords=("Invoice",), max_bytes=2000
-)
+RULES = MailRules(senders=tuple(f"SRC{i}@vendor.example" for i in range(16)), keywords=("Invoice",))
+SMALL_BYTES = 2000  # the limit of the filter_size query alone, which must refuse some attachments
 _SENDERS = ", ".join(f"'src{i}@vendor.example'" for i in range(16))
 _TYPES = "(mime_type IN ('application/pdf', 'image/png', 'image/jpeg', 'image/jpg') OR regexp_matches(lower(filename), '\\.(pdf|png|jpg|jpeg)$'))"
 
@@ -24,7 +23,7 @@ _CTES = {
     "checked": f"""
 SELECT *, sender IN ({_SENDERS}) AS sender_ok, contains(lower(subject), 'invoice') AS subject_ok, {_TYPES} AS type_ok,
   strlen(content) AS size_bytes, sha256(content) AS document_hash FROM msgs""",
-    "kept": "SELECT * FROM checked WHERE sender_ok AND subject_ok AND type_ok AND size_bytes > 0 AND size_bytes <= 2000",
+    "kept": f"SELECT * FROM checked WHERE sender_ok AND subject_ok AND type_ok AND size_bytes > 0 AND size_bytes <= {RULES.max_bytes}",
     "firsts": "SELECT text, min(doc_id) AS n FROM documents GROUP BY text",
     "fields": """
 SELECT text, n, n % 53 = 0 AS bad, concat('Vendor ', CAST(n % 8 AS varchar)) AS vendor_name,
@@ -49,7 +48,7 @@ SELECT *, min(message_id) FILTER (NOT known_hash AND NOT bad) OVER (PARTITION BY
 SELECT *, CASE WHEN known_hash THEN 'DUPLICATE_HASH' WHEN bad THEN 'FAILED_EXTRACTION'
   WHEN hp < message_id AND NOT known_key AND hp = kp THEN 'DUPLICATE_HASH'
   WHEN known_key OR kp < message_id THEN 'DUPLICATE_KEY' ELSE 'INGESTED' END AS outcome FROM places""",
-    "summary": """
+    "summary": f"""
 SELECT (SELECT count(*) FROM checked) AS messages_scanned, (SELECT count(*) FROM kept) AS attachments_found,
   (SELECT count(*) FROM kept) AS messages_with_attachments,
   (SELECT count(*) FROM outcomes WHERE outcome = 'INGESTED') AS ingested,
@@ -58,7 +57,7 @@ SELECT (SELECT count(*) FROM checked) AS messages_scanned, (SELECT count(*) FROM
   (SELECT count(*) FROM checked WHERE NOT sender_ok) AS skipped_sender,
   (SELECT count(*) FROM checked WHERE sender_ok AND NOT subject_ok) AS skipped_subject,
   (SELECT count(*) FROM checked WHERE sender_ok AND subject_ok AND NOT type_ok) AS skipped_by_type,
-  (SELECT count(*) FROM checked WHERE sender_ok AND subject_ok AND type_ok AND size_bytes > 2000) AS skipped_by_size,
+  (SELECT count(*) FROM checked WHERE sender_ok AND subject_ok AND type_ok AND size_bytes > {RULES.max_bytes}) AS skipped_by_size,
   (SELECT count(*) FROM outcomes WHERE outcome LIKE 'FAILED%') AS errors""",
 }
 
@@ -148,9 +147,9 @@ def _type(spark: SparkSession, sf: str) -> DataFrame:
     return mail.filter_type(_flat(spark, sf)).select("message_id", "filename", "mime_type")
 
 
-@query("filter_size", _sql("SELECT message_id, size_bytes FROM checked WHERE size_bytes <= 2000"))
+@query("filter_size", _sql(f"SELECT message_id, size_bytes FROM checked WHERE size_bytes <= {SMALL_BYTES}"))
 def _size(spark: SparkSession, sf: str) -> DataFrame:
-    rows = mail.filter_size(_flat(spark, sf), RULES.max_bytes)
+    rows = mail.filter_size(_flat(spark, sf), SMALL_BYTES)
     return rows.select("message_id", F.length("content").cast("long").alias("size_bytes"))
 
 
