@@ -102,10 +102,11 @@ def recurring_lines(texts: DataFrame, scratch: Scratch, min_contexts: int = MIN_
     kinds = scratch.keep(kinds, "clusters")
 
     member = some.join(kinds, "h").select("th", "context", "cluster")
-    # Only clusters with enough lines get the sketches of their contexts and texts.
+    # Only clusters with enough lines are counted, exactly: distinct rows of a cluster meet by
+    # context and by text, so one that has a third of all lines spreads over all tasks.
     many = member.groupBy("cluster").agg(F.count("*").alias("k")).where(F.col("k") >= min_contexts).select("cluster")
     stats = member.join(many, "cluster").groupBy("cluster").agg(
-        F.approx_count_distinct("context", 0.02).alias("contexts"), F.approx_count_distinct("th", 0.02).alias("texts")
+        F.count_distinct("context").alias("contexts"), F.count_distinct("th").alias("texts")
     )
     again = stats.where((F.col("contexts") >= min_contexts) & (F.col("contexts") >= spread * F.col("texts"))).select("cluster")
     drop = kinds.join(again, "cluster").select("h")
