@@ -5,15 +5,18 @@ TF-IDF vectors over hashed words; document frequencies cover all documents. A ra
 SVD, summed over Spark partitions of a bounded sample of passages beside all items,
 projects the benchmark's vocabulary to a latent space of DIMENSIONS. The sample counts a
 tenth as much as the items, whose rare words would else fall out of the leading
-directions. Every passage of every document is compared there with every passage of the
+directions. Items share a space only up to DIMENSIONS passages, and item passages that
+the leading directions hold less than HELD of are spanned by directions of their own, so
+that no item is lost, however many there are. Every passage of every document is compared there with every passage of the
 items, as matrix products of blocks, its length being that of its whole TF-IDF vector.
 (Projecting never lengthens, so a passage whose words in the vocabulary have less than
 the wanted share of its length needs no product.) Candidates with enough cosine are confirmed in the same task by the longest common subsequence of words of item and
 surroundings; of those that match in part, the answer, that is the end of the item, must
 be found too.
 
-The items and their projection go to every task. Their number is checked: more than
-ITEM_BLOCK items are searched for in several passes.
+The items and their projections go to every task. Their number is checked: more than
+ITEM_BLOCK items are searched for in several passes. An item is never split: one of more
+than DIMENSIONS passages has a space alone, with as many directions as it needs.
 """
 
 from __future__ import annotations
@@ -32,9 +35,10 @@ DIMENSIONS, EXTRA, POWER = 384, 16, 2
 SAMPLE_WEIGHT = 0.1  # of the sample's squared length against the items'
 FIT_PASSAGES = 20_000  # expected sample of document passages for the SVD
 COSINE = 0.4
+HELD = 0.95  # least share of an item passage's length that its space must hold
 FULL, PART, ANSWER = 0.7, 0.5, 0.8  # shares of the item in order; of its answer
 ANSWER_WORDS = 8
-ITEM_BLOCK = 1000
+ITEM_BLOCK = 1000  # items searched for in one pass over the documents
 FIT_TASKS = 8
 _MARKS = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in range(256))
 
@@ -86,7 +90,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 
 
 class Index:
-    """What a task needs to find the items of one block of the benchmark."""
+    """What a task needs to find the items that share one latent space."""
 
     def __init__(self, items: list[tuple[int, np.ndarray]], idf: np.ndarray) -> None:
         self.items, self.idf = items, idf
@@ -161,7 +165,7 @@ class Index:
         return np.maximum(np.sqrt(mass.sum(axis=1)), 1e-12), np.sqrt((mass * known).sum(axis=1))
 
     def finish(self, basis: np.ndarray) -> None:
-        self.basis = np.ascontiguousarray(basis, np.float32)
+        self.basis = np.ascontiguousarray(self._spanning(basis), np.float32)
         of, queries = [], []
         for k, (_, names) in enumerate(self.items):
             if len(names):
@@ -171,9 +175,24 @@ class Index:
         if queries:
             self.of, self.queries = np.array(of), np.concatenate(queries)
 
-    def leaks(self, text: str | None) -> list[tuple[int, float, float, float]]:
-        """(item_id, cosine, share of the item in order, share of its answer) of the items found in a text."""
-        names = names_of(text)
+    def _spanning(self, basis: np.ndarray) -> np.ndarray:
+        """The basis, with the parts outside it of the item passages that it holds less than HELD of."""
+        rest = []
+        for _, names in self.items:
+            for s in starts_of(len(names)):
+                at, x = self.sparse(names, s)
+                held = x @ basis[at]
+                if held @ held < HELD * HELD * (x @ x):
+                    part = -basis @ held
+                    part[at] += x
+                    rest.append(part)
+        if not rest:
+            return basis
+        more, size, _ = np.linalg.svd(np.array(rest).T, full_matrices=False)
+        return np.concatenate([basis, more[:, size > 1e-6 * size[0]]], axis=1)
+
+    def leaks(self, names: np.ndarray) -> list[tuple[int, float, float, float]]:
+        """(item_id, cosine, share of the item in order, share of its answer) of the items found in a text's words."""
         if not len(names) or not len(self.queries):
             return []
         best: dict[int, tuple[float, int, int]] = {}
@@ -211,11 +230,15 @@ class Index:
         return best
 
 
-def _fit(index: Index, docs: DataFrame, total: int) -> None:
+def leaks_of(part: list[Index], text: str | None) -> list[tuple[int, float, float, float]]:
+    """What the indexes of one pass find in a text."""
+    names = names_of(text)
+    return [leak for index in part for leak in index.leaks(names)]
+
+
+def _fit(index: Index, some: DataFrame) -> None:
     """Randomised SVD: Q spans A^T A ... A^T G for the TF-IDF rows A of the sample; the basis are its best directions."""
     size, width = len(index.vocabulary), min(DIMENSIONS + EXTRA, max(len(index.vocabulary), 1))
-    share = min(1.0, FIT_PASSAGES / 8 / max(total, 1))  # up to eight passages of each sampled document
-    some = docs.where(F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1 << 20)) < int(share * (1 << 20))).select("text")
 
     def passages(texts):
         for text in texts:
@@ -269,21 +292,36 @@ def _fit(index: Index, docs: DataFrame, total: int) -> None:
     held.unpersist()
 
 
-def indexes(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_block: int = ITEM_BLOCK) -> list[Index]:
-    """One fitted index per block of at most ``item_block`` items; items without words or id are left out."""
+def _spaces(items: list[tuple[int, np.ndarray]]) -> list[list[tuple[int, np.ndarray]]]:
+    """The items in runs of at most DIMENSIONS passages; a longer item is a run alone."""
+    out, held = [], DIMENSIONS
+    for item in items:
+        size = len(starts_of(len(item[1])))
+        if held + size > DIMENSIONS:
+            out.append([])
+            held = 0
+        out[-1].append(item)
+        held += size
+    return out
+
+
+def indexes(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_block: int = ITEM_BLOCK) -> list[list[Index]]:
+    """The fitted indexes of each pass, of at most ``item_block`` items; items without words or id are left out."""
     docs = docs.select(F.col(text_col).alias("text"))
-    items = benchmark.select("item_id", "text").where("item_id IS NOT NULL")
-    blocks = max(1, -(-items.count() // item_block))
+    pdf = benchmark.select("item_id", "text").where("item_id IS NOT NULL").toPandas()
+    items = [(int(i), n) for i, t in zip(pdf["item_id"], pdf["text"]) if len(n := names_of(t))]
+    if not items:
+        return []
     df, total = document_frequencies(docs)
     idf = np.log((total + 1) / (df + 1)) + 0.1
+    share = min(1.0, FIT_PASSAGES / 8 / max(total, 1))  # up to eight passages of each sampled document
+    some = docs.where(F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1 << 20)) < int(share * (1 << 20))).select("text").persist()
     out = []
-    for k in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        pdf = part.toPandas()
-        index = Index([(int(i), n) for i, t in zip(pdf["item_id"], pdf["text"]) if len(n := names_of(t))], idf)
-        if index.items:
-            _fit(index, docs, total)
-            out.append(index)
+    for k in range(0, len(items), item_block):
+        out.append([Index(part, idf) for part in _spaces(items[k : k + item_block])])
+        for index in out[-1]:
+            _fit(index, some)
+    some.unpersist()
     return out
 
 
@@ -298,28 +336,28 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
     read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     schema = f"doc_id {kind}, item_id long, cosine double, item_share double, answer_share double"
 
-    def search(index: Index):
+    def search(part: list[Index]):
         def found(batches):
             for pdf in batches:
-                rows = [(d, *leak) for d, t in zip(pdf["doc_id"], pdf["text"]) for leak in index.leaks(t)]
+                rows = [(d, *leak) for d, t in zip(pdf["doc_id"], pdf["text"]) for leak in leaks_of(part, t)]
                 if rows:
                     yield pd.DataFrame(rows, columns=["doc_id", "item_id", "cosine", "item_share", "answer_share"])
 
         return read.mapInPandas(found, schema)
 
     out = docs.sparkSession.createDataFrame([], schema)
-    for index in indexes(read, benchmark):
-        out = out.unionByName(search(index))
+    for part in indexes(read, benchmark):
+        out = out.unionByName(search(part))
     return out.withColumnRenamed("doc_id", id_col)
 
 
 def drop_leaking(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, that hold no benchmark item."""
     out = docs
-    for index in indexes(docs, benchmark, text_col):
+    for part in indexes(docs, benchmark, text_col):
 
-        def leaking(texts: pd.Series, index: Index = index) -> pd.Series:
-            return pd.Series([bool(index.leaks(t)) for t in texts], dtype=bool)
+        def leaking(texts: pd.Series, part: list[Index] = part) -> pd.Series:
+            return pd.Series([bool(leaks_of(part, t)) for t in texts], dtype=bool)
 
         name = free_name(out, "leaks")
         flag = F.pandas_udf(lambda texts, f=leaking: f(texts), "boolean")

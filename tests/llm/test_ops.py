@@ -215,6 +215,19 @@ def test_leaks_are_found_and_decoys_left(spark, sf_dir):
     assert benchmark_leaks(docs, bench.limit(0)).count() == 0 and drop_leaking(docs.limit(0), bench).count() == 0
 
 
+def test_all_items_of_a_large_benchmark_are_found(spark):
+    rng = np.random.default_rng(21)
+    items = [[f"i{x}" for x in rng.integers(0, 30_000, n)] for n in rng.integers(15, 60, 1000)]
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    docs = [(k, " ".join(tokens(40, k) + w + tokens(40, 5000 + k))) for k, w in enumerate(items)]
+    got = benchmark_leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(k, k) for k in range(1000)]
+    long = tokens(8000, 22)  # more passages than directions
+    bench = spark.createDataFrame([(1, " ".join(long)), (2, " ".join(items[0]))], "item_id long, text string")
+    docs = [(1, " ".join(tokens(40, 23) + long)), (2, " ".join(tokens(90, 24) + items[0]))]
+    assert sorted((r.doc_id, r.item_id) for r in benchmark_leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()) == [(1, 1), (2, 2)]
+
+
 def test_recurring_lines_go_and_copies_stay(spark):
     rows = [(k, "\n".join([" ".join(tokens(9, 100 + k)), f"Page {k} of the book by us", " ".join(tokens(9, 300 + k)), ""])) for k in range(30)]
     copy = "\n".join(" ".join(tokens(8, 900 + k)) for k in range(4))
