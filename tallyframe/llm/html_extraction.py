@@ -11,7 +11,8 @@ with a third of all pages is a handful of small wrappers by then.
 
 The wrapper names the host's main slots: those in the innermost element that holds most
 of the text, without navigation, forms, notices and the like, and without slots whose
-words are the same on all pages. Pages are then read against their host's wrapper.
+words are the same on all pages. Pages are then read against their host's wrapper. Where
+the wrapper has a slot of links, blocks of its path go if they are links themselves.
 """
 
 from __future__ import annotations
@@ -207,17 +208,18 @@ def is_template(slot: dict, pages: int) -> bool:
 
 
 def main_slots(wrapper: dict) -> dict:
-    """{"main": the main element's path, "drop": {path: words of the template, or null for any}}."""
+    """{"main": the main element's path, "drop": {path: words of its template slots}, "menus": paths that some slot of links has}."""
     weight: dict[str, int] = {}
-    drop: dict[str, str | None] = {}
+    drop: dict[str, set[str]] = {}
+    menus: set[str] = set()
     for slot in wrapper["slots"]:
         steps = slot["path"].split("/")
         if slot["away"]:
             continue
         if is_template(slot, wrapper["pages"]) and not re.search(r"(^|/)(article|main)\b", slot["path"]):
-            drop[slot["path"]] = slot["same"]
+            drop.setdefault(slot["path"], set()).add(slot["same"])
         elif slot["links"] >= LINK_SHARE * slot["chars"]:
-            drop[slot["path"]] = None
+            menus.add(slot["path"])
         else:
             for k in range(len(steps)):
                 part = "/".join(steps[: k + 1])
@@ -226,11 +228,11 @@ def main_slots(wrapper: dict) -> dict:
     if named:
         main = max(named, key=lambda p: (weight[p], -len(p)))
         if weight[main] >= 0.3 * max(weight.values()):
-            return {"main": main, "drop": drop}
+            return {"main": main, "drop": drop, "menus": menus}
     whole = max(weight.values(), default=0)
     leaf = re.compile(r"/(p|h[1-6]|li|ul|ol|dl|dt|dd|pre|blockquote|table|tbody|tr|td|th|figure|figcaption)(\.[^/]*)?$")
     inner = [p for p, w in weight.items() if w >= MAIN_SHARE * whole and not leaf.search(p)]
-    return {"main": max(inner, key=len, default=""), "drop": drop}
+    return {"main": max(inner, key=len, default=""), "drop": drop, "menus": menus}
 
 
 def main_text(page: str | None, wrapper: dict | None) -> str:
@@ -240,10 +242,12 @@ def main_text(page: str | None, wrapper: dict | None) -> str:
         if known is None:
             continue
         main, out = known["main"], []
-        for path, away, text, _ in blocks:
+        for path, away, text, links in blocks:
             if away or not (path == main or path.startswith(f"{main}/") or not main):
                 continue
-            if path in known["drop"] and known["drop"][path] in (None, hash_of(text)):
+            if path in known["menus"] and links >= LINK_SHARE * len(text):
+                continue
+            if path in known["drop"] and hash_of(text) in known["drop"][path]:
                 continue
             out.append(text)
         if out:

@@ -14,7 +14,7 @@ from tallyframe.llm import queries as Q
 from tallyframe.llm.common import read_table
 from tallyframe.llm.decontaminate import benchmark_leaks, drop_leaking, lcs
 from tallyframe.llm.embedding_neardup import embedding_neardup, quantised
-from tallyframe.llm.html_extraction import extract_main_text, main_slots, main_text, page_wrapper, blocks_of
+from tallyframe.llm.html_extraction import aligned, extract_main_text, main_slots, main_text, page_wrapper, blocks_of
 from tallyframe.llm.licenses import license_scan
 from tallyframe.llm.line_dedup import line_dedup
 from tallyframe.llm.ngram_join import ngram_jaccard_join, one_of_each_group
@@ -215,6 +215,20 @@ def test_leaks_are_found_and_decoys_left(spark, sf_dir):
     assert benchmark_leaks(docs, bench.limit(0)).count() == 0 and drop_leaking(docs.limit(0), bench).count() == 0
 
 
+def test_one_link_does_not_take_a_hosts_paragraphs(spark):
+    page = "<body><div><p>Our motto</p><hr><h4>Part {k}</h4><p>Our address</p></div><article><h1>Head {k}</h1><p>First {k}</p><h2>Sub {k}</h2><p>Last {k}</p>{more}</article></body>"
+    more = {7: "<h2>On</h2><p><a href=/x>Read more</a></p>"}
+    rows = [(k, "http://a/x", page.format(k=k, more=more.get(k, ""))) for k in range(60)]
+    got = extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    want = {k: f"Head {k}\nFirst {k}\nSub {k}\nLast {k}" + ("\nOn" if k == 7 else "") for k in range(60)}
+    assert {r.page_id: r.text for r in got} == want
+    alone = "<body><div><p>Our motto</p><h4>Part {k}</h4><p>Our address</p><h4>Text {k}</h4></div></body>"
+    wrapper = page_wrapper(list(blocks_of(alone.format(k=0))))
+    for k in range(1, 5):
+        wrapper = aligned(wrapper, page_wrapper(list(blocks_of(alone.format(k=k)))))
+    assert main_text(alone.format(k=2), main_slots(wrapper)) == "Part 2\nText 2"
+
+
 def test_all_items_of_a_large_benchmark_are_found(spark):
     rng = np.random.default_rng(21)
     items = [[f"i{x}" for x in rng.integers(0, 30_000, n)] for n in rng.integers(15, 60, 1000)]
