@@ -11,6 +11,9 @@ A template recurs if it stands in at least MIN_CONTEXTS contexts (the lines befo
 after) and in at least SPREAD as many as there are different texts that hold it. Exact
 and near copies of one document repeat their lines in the same surroundings, so they do
 not count as recurrence: they are left for the near-duplicate stage.
+Lines within a block always have the same neighbours, so a template also recurs if it
+stands in MIN_CONTEXTS different texts that are mostly their own: at most COMMON of such
+a text is lines in leaves with enough lines, while copies consist of them.
 
 All counts pre-aggregate before they are shuffled, so a line that stands in a third of
 all documents is one row per task.
@@ -28,6 +31,7 @@ FIXED = 0.6
 SIMILAR = 0.7
 MIN_CONTEXTS = 10
 SPREAD = 0.3
+COMMON = 0.5
 
 
 MAP_BITS = 1 << 19  # of the maps that spare rows a shuffle; 64 KB at any input size, as they stand in plans
@@ -67,13 +71,13 @@ def hash_map(df: DataFrame, column: str) -> Column:
 
 
 def _lines(texts: DataFrame) -> DataFrame:
-    """(th, place, line, context) of the lines with tokens; th names the text, context its neighbours."""
-    parts = texts.select("th", F.split("text", "\n", -1).alias("parts"))
+    """(th, total, place, line, context) of the lines with tokens; th names the text, total is its length, context its neighbours."""
+    parts = texts.select("th", F.octet_length("text").alias("total"), F.split("text", "\n", -1).alias("parts"))
     # F.get gives null beyond either end
     around = lambda i: F.xxhash64(F.get("parts", i - 1), F.get("parts", i + 1))
     placed = F.transform("parts", lambda x, i: F.struct(i.alias("place"), x.alias("line"), around(i).alias("context")))
-    rows = parts.select("th", F.explode(placed).alias("r"))
-    return rows.select("th", "r.place", F.trim("r.line").alias("line"), "r.context").where("line <> ''")
+    rows = parts.select("th", "total", F.explode(placed).alias("r"))
+    return rows.select("th", "total", "r.place", F.trim("r.line").alias("line"), "r.context").where("line <> ''")
 
 
 def recurring_lines(texts: DataFrame, scratch: Scratch, min_contexts: int = MIN_CONTEXTS, spread: float = SPREAD) -> DataFrame:
@@ -84,7 +88,7 @@ def recurring_lines(texts: DataFrame, scratch: Scratch, min_contexts: int = MIN_
     leaves = scratch.keep(leaves.where(F.col("k") >= min_contexts).select("leaf"), "leaves")
     lines = _lines(texts).withColumn("leaf", leaf_of(F.col("line"))).where(hash_map(leaves, "leaf"))
     lines = lines.withColumn("masked", masked(F.col("line")))
-    lines = lines.select("th", "place", "context", "leaf", F.xxhash64("masked").alias("h"), "masked")
+    lines = lines.select("th", "total", F.octet_length("line").alias("size"), "place", "context", "leaf", F.xxhash64("masked").alias("h"), "masked")
     some = scratch.keep(lines.join(leaves, "leaf"), "lines")
 
     kinds = some.groupBy("leaf", "h").agg(F.count("*").alias("k"), F.min("masked").alias("masked"))
@@ -109,6 +113,12 @@ def recurring_lines(texts: DataFrame, scratch: Scratch, min_contexts: int = MIN_
         F.count_distinct("context").alias("contexts"), F.count_distinct("th").alias("texts")
     )
     again = stats.where((F.col("contexts") >= min_contexts) & (F.col("contexts") >= spread * F.col("texts"))).select("cluster")
+    # Copies of a row have the same places, each counted once.
+    once = some.groupBy("th", "place").agg(F.max("size").alias("size"), F.max("total").alias("total"))
+    common = once.groupBy("th").agg(F.sum("size").alias("size"), F.max("total").alias("total"))
+    own_texts = common.where(F.col("size") <= COMMON * F.col("total")).select("th")
+    spread_out = member.join(many, "cluster").select("th", "cluster").distinct().join(own_texts, "th").groupBy("cluster").agg(F.count("*").alias("k"))
+    again = again.unionByName(spread_out.where(F.col("k") >= min_contexts).select("cluster")).distinct()
     drop = kinds.join(again, "cluster").select("h")
     return some.join(drop, "h").groupBy("th").agg(F.collect_set("place").alias("places"))
 

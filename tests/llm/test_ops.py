@@ -259,6 +259,20 @@ def test_recurring_lines_go_and_copies_stay(spark):
     assert line_dedup(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("size", [2, 3, 4, 5])
+def test_constant_blocks_go_and_near_copies_stay(spark, size):
+    prose = lambda n, seed: " ".join(tokens(n, seed)).translate(str.maketrans("0123456789", "abcdefghij"))
+    head, foot = ([prose(6, 10 * end + k) for k in range(size)] for end in (1, 2))
+    body = {k: [prose(14, 1000 + 10 * k + i) for i in range(8)] for k in range(30)}
+    same = [prose(14, 5000 + i) for i in range(8)]
+    rows = [(k, "\n".join([*head, *body[k], *foot])) for k in range(30)]
+    rows += [(100 + k, "\n".join([*same[:4], prose(14, 6000 + k), *same[4:]])) for k in range(30)]
+    got = {r.doc_id: r.text for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[k] == "\n".join(body[k]) for k in range(30))
+    # the lines beside the one that differs have contexts of their own; the others stay
+    assert all(set(same[:3] + same[5:]) <= set(got[100 + k].split("\n")) for k in range(30))
+
+
 def test_native_queries_run_no_python(spark, sf_dir):
     for query in (Q.op8_line_dedup, Q.op9_license_scan):
         plan = query(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
