@@ -24,7 +24,7 @@ def _rows(rows, names):
 
 
 _TYPES = {
-    "bigint": "BIGINT", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN",
+    "bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN",
     "timestamp_ntz": "TIMESTAMP",
 }
 
