@@ -57,7 +57,8 @@ class Scratch:
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.names = spark, {}
 
-    def keep(self, df: DataFrame, label: str) -> DataFrame:
+    def keep(self, df: DataFrame, label: str, bucket_by: str | None = None) -> DataFrame:
+        """Writes ``df`` as a table and reads it back; with ``bucket_by``, joins on that column need no shuffle of it."""
         shared = self.spark.sparkContext.getConf().get("spark.checkpoint.dir") or self.spark.conf.get(
             "spark.checkpoint.dir", None
         )
@@ -65,7 +66,12 @@ class Scratch:
         self.spark.sql(f"CREATE DATABASE IF NOT EXISTS {DATABASE}{place}")
         self.drop(label)
         self.names[label] = f"{DATABASE}.{label}_{uuid.uuid4().hex}"
-        df.write.format("parquet").option("compression", "zstd").saveAsTable(self.names[label])
+        if bucket_by:
+            n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            writer = df.repartition(n, bucket_by).write.bucketBy(n, bucket_by)
+        else:
+            writer = df.write
+        writer.format("parquet").option("compression", "zstd").saveAsTable(self.names[label])
         return self.spark.table(self.names[label])
 
     def drop(self, *labels: str) -> None:

@@ -57,8 +57,62 @@ kept AS (SELECT r, count(*) FILTER (WHERE gone) AS k, coalesce(string_agg(w, ' '
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(k, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM texts LEFT JOIN kept ON kept.r = texts.r"""
 
+
+# Every string of 400 bytes by its place; repeated ones merge into runs, and what lies between runs is kept.
+SUFFIX_DEDUP = r"""
+WITH texts AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+strings AS MATERIALIZED (SELECT r, p, md5(b[p:p + 399]) AS h FROM (SELECT r, b, unnest(range(1, n - 398)) AS p FROM texts WHERE n >= 400) t),
+again AS (SELECT h FROM strings GROUP BY h HAVING count(*) > 1),
+starts AS (SELECT r, p, p > 400 + lag(p) OVER (PARTITION BY r ORDER BY p) AS apart FROM strings WHERE h IN (SELECT h FROM again)),
+runs AS (
+  SELECT r, k, min(p) AS lo, max(p) + 399 AS hi FROM (
+    SELECT r, p, count(*) FILTER (WHERE apart) OVER (PARTITION BY r ORDER BY p) AS k FROM starts) t GROUP BY r, k),
+pieces AS (
+  SELECT r, k, coalesce(lag(hi) OVER (PARTITION BY r ORDER BY k), 0) + 1 AS a, lo - 1 AS z FROM runs
+  UNION ALL SELECT r, 1 + max(k), max(hi) + 1, NULL FROM runs GROUP BY r),
+kept AS (SELECT r, string_agg(hex(b[a:coalesce(z, n)]), '' ORDER BY k) AS t FROM pieces JOIN texts USING (r) WHERE a <= coalesce(z, n) GROUP BY r),
+gone AS (SELECT r, sum(hi - lo + 1) AS n_removed, count(*) AS n_spans FROM runs GROUP BY r)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  CASE WHEN n_removed IS NULL THEN sha256(b) ELSE sha256(unhex(coalesce(t, ''))) END AS kept_sha256
+FROM texts LEFT JOIN gone USING (r) LEFT JOIN kept USING (r)"""
+
+
+def _clustering(rounds: int = 10, k: int = 8) -> str:
+    """One query: every round is an assignment a<r> and new centroids c<r>, written out in full."""
+    parts = [
+        """ints AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, [CAST(floor(1024 * CAST(e AS DOUBLE)) AS BIGINT) FOR e IN embedding] AS x
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0)""",
+        f"""c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), x) - 1 AS c, x AS m FROM ints WHERE vec_id IS NOT NULL
+  ORDER BY sha256('3:' || vec_id), x LIMIT {k})""",
+    ]
+    far = "CAST(list_sum(list_transform(list_zip(x, m), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT)"
+    for turn in range(rounds + 1):
+        parts.append(f"d{turn} AS MATERIALIZED (SELECT r, c, {far} AS d FROM ints CROSS JOIN c{turn})")
+        parts.append(f"a{turn} AS MATERIALIZED (SELECT r, min(row(d, c)) AS best FROM d{turn} GROUP BY r)")
+        if turn < rounds:
+            parts.append(
+                f"""c{turn + 1} AS MATERIALIZED (
+  SELECT o.c, coalesce(n.m, o.m) AS m FROM c{turn} o LEFT JOIN (
+    SELECT c, list(CAST(floor(CAST(s AS DOUBLE) / n) AS BIGINT) ORDER BY p) AS m FROM (
+      SELECT best[2] AS c, p, sum(v) AS s, count(*) AS n FROM a{turn} JOIN (SELECT r, unnest(x) AS v, generate_subscripts(x, 1) AS p FROM ints) u USING (r)
+      GROUP BY best[2], p) t GROUP BY c) n ON n.c = o.c)"""
+            )
+    return (
+        "WITH "
+        + ",\n".join(parts)
+        + f"""
+SELECT vec_id, CAST(best[2] AS INTEGER) AS cluster, best[1] AS distance, CAST(sum(best[1]) OVER (PARTITION BY best[2]) AS BIGINT) AS cluster_inertia,
+  CAST(sum(best[1]) OVER () AS BIGINT) AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM a{rounds} JOIN ints USING (r) JOIN c{rounds} ON c{rounds}.c = best[2]"""
+    )
+
+
 SQL = {
     "op1_ngram_jaccard_join": NGRAM_JACCARD_JOIN,
     "op2_embedding_neardup": EMBEDDING_NEARDUP,
     "op10_substring_dedup": SUBSTRING_DEDUP,
+    "op11_centroid_clustering": _clustering(),
+    "op12_suffix_dedup": SUFFIX_DEDUP,
 }

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyframe.llm.centroid_clustering import centroid_clustering
 from tallyframe.llm.common import read_table
 from tallyframe.llm.decontaminate import benchmark_leaks
 from tallyframe.llm.embedding_neardup import embedding_neardup
@@ -17,15 +18,18 @@ from tallyframe.llm.oracle import SQL
 from tallyframe.llm.packing import best_fit_packing
 from tallyframe.llm.quality import quality_scores
 from tallyframe.llm.substring_dedup import substring_dedup
+from tallyframe.llm.suffix_dedup import suffix_dedup
+from tallyframe.llm.token_alignment import align_tokenizers
 from tallyframe.llm.toxicity import toxicity_scores
 
 TOKENIZER = "word_bpe_49k.json"
+BYTE_TOKENIZER, PIECE_TOKENIZER = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(name)
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,12 +72,25 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(read_table(spark, sf_dir, "documents"), texts=False)
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clustering(read_table(spark, sf_dir, "embeddings"))
+
+
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(read_table(spark, sf_dir, "documents"), texts=False)
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokenizers(read_table(spark, sf_dir, "documents"), tokenizer_path(BYTE_TOKENIZER), tokenizer_path(PIECE_TOKENIZER))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
     ops = (
         op1_ngram_jaccard_join, op2_embedding_neardup, op3_quality_classifier, op4_best_fit_packing, op5_html_extraction,
         op6_toxicity, op7_benchmark_decontamination, op8_line_dedup, op9_license_scan, op10_substring_dedup,
+        op11_centroid_clustering, op12_suffix_dedup, op13_token_alignment,
     )
     return {op.__name__: op for op in ops} | {"pipeline": corpus_pipeline.run}
 
