@@ -15,7 +15,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from tallyframe.plans.registry import all_queries  # noqa: E402
-from tallyframe.session import local_session  # noqa: E402
+from tallyframe.session import clear_scratch, local_session  # noqa: E402
 
 HEADLINE = [
     "math_validation", "duplicate_by_hash", "duplicate_by_key", "first_wins", "compliance_issues",
@@ -29,7 +29,7 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "1"))
+    runs = int(os.environ.get("BENCH_RUNS", "3"))
     wanted = os.environ.get("BENCH_QUERIES", "")
     queries = all_queries()
     keys = list(queries) if wanted == "all" else wanted.split(",") if wanted else HEADLINE
@@ -44,6 +44,7 @@ def main() -> None:
     times = {}
     for key in keys:
         times[key] = round(statistics.median(run(key) for _ in range(runs)), 3)
+        clear_scratch(spark)
         print(f"{key} {times[key]}", file=sys.stderr, flush=True)
     print(
         json.dumps(

@@ -56,10 +56,6 @@ class MailRules:
 class Limits:
     mismatch_tolerance: float = 1.0
     sla_days: int = 3
-    # A key counts as hot above this many rows. The list of hot keys therefore
-    # has at most rows / hot_rows entries, which is what makes it safe to broadcast:
-    # 10^12 input rows give at most 10^6 keys (about 16 MB).
-    hot_rows: int = 1_000_000
 
 
 RISK = RiskWeights()

@@ -1,4 +1,4 @@
-"""Ranks over all rows or within keys, at any size of a key.
+"""Ranks and running totals over all rows or within keys, at any size of a key.
 
 Rows are dealt to range partitions by the order itself and sorted there, so a key that
 holds a large share of all rows spreads over many tasks. A row's rank is its place in its
@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.session import stored
@@ -30,28 +30,39 @@ def _dealt(df: DataFrame, order: list[str], keep: Keep) -> DataFrame:
     ).drop("_place")
 
 
-def _before(counts: DataFrame, key: list[str]) -> DataFrame:
-    """Rows of the key in the partitions before; a key has at most one row a partition here."""
-    earlier = Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-
-
 def rank_rows(df: DataFrame, order: list[str], name: str, keep: Keep | None = None) -> DataFrame:
     """Adds 0, 1, ... over all rows by ``order``; ``keep`` writes a table and reads it back."""
     rows = _dealt(df, order, keep or (lambda d: stored(d, "ranked")))
-    counts = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).withColumn("_one", F.lit(1))
-    offsets = _before(counts, ["_one"]).select("_part", "_before")  # one row a partition
+    counts = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).withColumn("_one", F.lit(1))  # one row a partition
+    earlier = Window.partitionBy("_one").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     return rows.join(offsets, "_part").withColumn(name, F.col("_at") + F.col("_before")).drop("_part", "_at", "_before")
 
 
+def _totals_before(rows: DataFrame, key: str, sums: dict[str, Column]) -> DataFrame:
+    """Adds, to dealt rows, the sums over the rows before each in its key."""
+    per_part = rows.groupBy("_part", key).agg(*[F.sum(c).alias(f"_sum{i}") for i, c in enumerate(sums.values())])
+    # The partitions that a key reaches are few; of the keys of one, only the first can have rows before it.
+    earlier = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    reached = per_part.withColumns({f"_base{i}": F.sum(f"_sum{i}").over(earlier) for i in range(len(sums))})
+    bases = reached.where("_base0 IS NOT NULL").select(
+        F.col("_part").alias("_base_part"), F.col(key).alias("_base_key"), *[f"_base{i}" for i in range(len(sums))]
+    )
+    within = Window.partitionBy("_part", key).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    local = rows.withColumns({f"_here{i}": F.sum(c).over(within) for i, c in enumerate(sums.values())})
+    joined = local.join(bases, (F.col("_part") == F.col("_base_part")) & F.col(key).eqNullSafe(F.col("_base_key")), "left")
+    zero = F.lit(0)
+    return joined.withColumns({n: F.coalesce(f"_here{i}", zero) + F.coalesce(f"_base{i}", zero) for i, n in enumerate(sums)})
+
+
+def totals_before(df: DataFrame, key: str, order: list[str], sums: dict[str, Column], keep: Keep | None = None) -> DataFrame:
+    """Adds for each name in ``sums`` the sum of its column (never null) over the rows before, within ``key`` by ``order``."""
+    rows = _dealt(df, [key, *order], keep or (lambda d: stored(d, "totals")))
+    return _totals_before(rows, key, sums).select(*df.columns, *sums)
+
+
 def number_rows(df: DataFrame, key: str, order: list[str], name: str, keep: Keep | None = None) -> DataFrame:
     """Adds the row number 1, 2, ... within ``key`` by ``order``; rows with a null key are numbered as a key of their own."""
     rows = _dealt(df, [key, *order], keep or (lambda d: stored(d, "numbered")))
-    counts = rows.groupBy("_part", key).agg(F.count(F.lit(1)).alias("_n"))
-    # Only the first key of a partition can have rows in partitions before it.
-    offsets = _before(counts, [key]).where("_before > 0").select("_part", F.col(key).alias("_key"), "_before")
-    numbered = rows.withColumn("_at", F.row_number().over(Window.partitionBy("_part", key).orderBy("_at")))
-    same = (numbered["_part"] == offsets["_part"]) & numbered[key].eqNullSafe(offsets["_key"])
-    joined = numbered.join(offsets, same, "left").drop(offsets["_part"])
-    number = (F.col("_at") + F.coalesce("_before", F.lit(0))).cast("long")
-    return joined.withColumn(name, number).drop("_part", "_at", "_before", "_key")
+    numbered = _totals_before(rows, key, {name: F.lit(1)})
+    return numbered.withColumn(name, (F.col(name) + 1).cast("long")).select(*df.columns, name)

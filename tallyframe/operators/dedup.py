@@ -61,17 +61,18 @@ def first_wins(
 
 
 def keep_first(df: DataFrame, keys: list[str], place: Column) -> DataFrame:
-    """Per key the row lowest in ``place``; rows with a null in the key all stay.
+    """Per key the row lowest in ``place`` (unique); rows with a null in the key all stay.
 
     A grouped minimum combines on the map side, so a hot key ends as one row per map
     task before it is shuffled; a row_number window would sort the whole group in one task.
+    Rows with a null are groups of their own, so ``df`` is read once.
     """
     known = all_of([F.col(k).isNotNull() for k in keys])
     rest = [c for c in df.columns if c not in keys]
     first = (
-        df.filter(known)
-        .groupBy(*keys)
+        df.withColumn("_own", F.when(~known, place))
+        .groupBy(*keys, "_own")
         .agg(F.min_by(F.struct(*rest), place).alias("row"))
         .select(*keys, *[F.col("row")[c].alias(c) for c in rest])
     )
-    return first.select(*df.columns).unionByName(df.filter(~known))
+    return first.select(*df.columns)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.config import RISK, RiskWeights
 from tallyframe.functions.columns import MONEY, compact
+from tallyframe.functions.ranking import totals_before
 from tallyframe.operators.dedup import duplicate_by_key
 from tallyframe.operators.validation import math_validation
 
@@ -30,10 +31,9 @@ def vendor_anomaly(invoices: DataFrame, vendors: DataFrame, weights: RiskWeights
 def vendor_anomaly_asof(invoices: DataFrame, approvals: DataFrame, weights: RiskWeights = RISK) -> DataFrame:
     """As ``vendor_anomaly`` with the mean of approvals strictly before ``created_at``.
 
-    Events are first summed per (vendor, moment), which combines on the map side. The
-    running sum is then split by day: one window inside each (vendor, day) and one over
-    day totals, so a vendor with a third of all rows is spread over its days and no
-    window sees more than one day's moments or one row per day.
+    Events are first summed per (vendor, moment), which combines on the map side. The sums
+    before each moment are prefix sums over range partitions of (vendor, moment), so a
+    vendor with a third of all rows spreads over tasks, even with all of them in one day.
     """
     moments = (
         approvals.select("vendor_name", F.col("approved_at").alias("ts"), "total_amount", F.lit(1).alias("one"))
@@ -45,38 +45,15 @@ def vendor_anomaly_asof(invoices: DataFrame, approvals: DataFrame, weights: Risk
                 F.lit(0).alias("one"),
             )
         )
-        .filter(F.col("vendor_name").isNotNull())
+        .filter(F.col("vendor_name").isNotNull() & F.col("ts").isNotNull())
         .groupBy("vendor_name", "ts")
         .agg(F.sum("total_amount").cast("decimal(28,2)").alias("value"), F.sum("one").alias("n"))
-        .withColumn("day", F.to_date("ts"))
     )
-    earlier = Window.partitionBy("vendor_name").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    days = (
-        moments.groupBy("vendor_name", "day")
-        .agg(F.sum("value").alias("day_value"), F.sum("n").alias("day_n"))
-        .select(
-            "vendor_name",
-            "day",
-            F.coalesce(F.sum("day_value").over(earlier), F.lit(0)).alias("base_value"),
-            F.coalesce(F.sum("day_n").over(earlier), F.lit(0)).alias("base_n"),
-        )
-    )
-    same_day = Window.partitionBy("vendor_name", "day").orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
-    known = (
-        moments.withColumns(
-            {
-                "part_value": F.coalesce(F.sum("value").over(same_day), F.lit(0)),
-                "part_n": F.coalesce(F.sum("n").over(same_day), F.lit(0)),
-            }
-        )
-        .join(days, ["vendor_name", "day"])
-        .select(
-            "vendor_name",
-            F.col("ts").alias("created_at"),
-            (F.col("part_value") + F.col("base_value")).cast("double").alias("value"),
-            (F.col("part_n") + F.col("base_n")).alias("n"),
-        )
-        .select("vendor_name", "created_at", F.when(F.col("n") > 0, F.col("value") / F.col("n")).alias("vendor_avg"))
+    sums = {"value_before": F.coalesce("value", F.lit(0).cast("decimal(28,2)")), "n_before": F.col("n")}
+    known = totals_before(moments, "vendor_name", ["ts"], sums).select(
+        "vendor_name",
+        F.col("ts").alias("created_at"),
+        F.when(F.col("n_before") > 0, F.col("value_before").cast("double") / F.col("n_before")).alias("vendor_avg"),
     )
     joined = invoices.join(known, ["vendor_name", "created_at"], "left")
     return joined.withColumn("anomaly", _over_average(F.col("vendor_avg"), weights))

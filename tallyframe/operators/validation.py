@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +17,7 @@ from tallyframe.functions.columns import (
     parse_number,
     strip,
 )
+from tallyframe.session import stored
 
 _SUM = "decimal(38,6)"
 
@@ -107,11 +110,13 @@ def compliance_issues(df: DataFrame, tolerance: float = LIMITS.mismatch_toleranc
     """Adds ``issues`` to rows that carry their own ``line_items`` array. Narrow: no shuffle.
 
     Uses vendor_name, invoice_date, total_amount, currency and line_items with
-    description, quantity, unit_price and total_price; values may be unchecked text.
+    description, quantity, unit_price and total_price, as structs or maps; values may be unchecked text.
     Every value is parsed once, in a step of its own, before the rules use it.
     """
     types = _types(df.schema)
-    line_types = _types(types["line_items"].elementType)
+    element = types["line_items"].elementType
+    # lines as maps of text (all keys of an extraction) or as structs
+    line_types = dict.fromkeys(_LINE, element.valueType) if isinstance(element, T.MapType) else _types(element)
 
     def parsed_line(x: Column) -> Column:
         exact, special = _sum_parts(x["total_price"], line_types["total_price"])
@@ -151,64 +156,61 @@ def compliance_issues(df: DataFrame, tolerance: float = LIMITS.mismatch_toleranc
     return summed.withColumn("issues", issues).drop("_amount", "_lines", "_sums")
 
 
+def line_facts(lines: DataFrame) -> DataFrame:
+    """What rules need from a line table, in one pass over it: (invoice_id, line_number, rule, issue, exact, special).
+
+    A row with a rule is a broken rule of a line; the one without is the sums of its
+    invoice (see ``_mismatch``). Both come out of one grouping, in which sums combine
+    before the shuffle, so an invoice of very many lines sends one row a task and its hits.
+    """
+    types = _types(lines.schema)
+    parsed = lines.select("invoice_id", "line_number", "description", *[_number(F.col(f), types[f]).alias(f) for f in _LINE[1:]], F.col("total_price").alias("_total"))
+    exact, special = _sum_parts(F.col("_total"), types["total_price"])
+    none = F.lit(None).cast("string")
+    fact = lambda rule, number, text, e, s: F.struct(
+        number.cast("long").alias("line_number"), rule.alias("rule"), text.alias("issue"), e.cast("decimal(38,6)").alias("exact"), s.alias("special")
+    )
+    zero = (F.lit(0), F.lit(0.0))
+    rules = _line_rules(F.col("line_number"), *[F.col(f) for f in _LINE])
+    hits = [F.when(text.isNotNull(), fact(F.lit(rule), F.col("line_number"), text, *zero)) for rule, text in rules]
+    sums = fact(none, F.lit(None), none, exact, special)
+    # The outer form: Spark would copy the rules of a plain explode below it and evaluate them again there.
+    rows = parsed.select("invoice_id", F.explode_outer(compact([sums, *hits])).alias("fact")).select("invoice_id", "fact.*")
+    return rows.groupBy("invoice_id", "line_number", "rule", "issue").agg(
+        F.sum("exact").cast(_SUM).alias("exact"), F.sum("special").alias("special")
+    )
+
+
 def compliance_issue_rows(
-    headers: DataFrame, lines: DataFrame, line_key: str = "id", tolerance: float = LIMITS.mismatch_tolerance
-) -> DataFrame:
+    headers: DataFrame, lines: DataFrame, line_key: str = "id", tolerance: float = LIMITS.mismatch_tolerance,
+    keep: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """The same issues for a line table, one row each: (id, section, line_number, rule, issue).
 
     Section 0 is the header, 1 the lines, 2 the total; order by (section, line_number,
-    rule position) gives the list of ``compliance_issues``. Lines are never gathered per
-    invoice: line rules are row-wise and the total check needs only grouped sums.
+    rule position) gives the list of ``compliance_issues``. Lines are read once and never
+    gathered per invoice; what came out of them (``line_facts``) is written and joined to
+    the headers, hits by an inner join that Spark can split where an invoice has very many.
     """
-
-    def hits(rules: list[tuple[str, Column]]) -> Column:
-        # The outer form, filtered afterwards: Spark would copy the rules of a plain
-        # explode (or of a filter on them) below it and evaluate them again there.
-        tagged = [F.when(c.isNotNull(), F.struct(F.lit(r).alias("rule"), c.alias("issue"))) for r, c in rules]
-        return F.explode_outer(compact(tagged)).alias("hit")
-
-    types, line_types = _types(headers.schema), _types(lines.schema)
-    read = headers.withColumn("_amount", _number(F.col("total_amount"), types["total_amount"]))
-    head = read.select(
-        "id",
-        F.lit(0).alias("section"),
-        F.lit(0).cast("long").alias("line_number"),
-        hits(_header_rules(F.col("vendor_name"), F.col("invoice_date"), F.col("_amount"), F.col("currency"))),
-    )
-    parsed = lines.select(
-        F.col("invoice_id").alias(line_key),
-        "line_number",
-        "description",
-        *[_number(F.col(f), line_types[f]).alias(f) for f in _LINE[1:]],
-    )
-    flagged = parsed.select(
-        line_key, "line_number", hits(_line_rules(F.col("line_number"), *[F.col(f) for f in _LINE]))
-    ).filter(F.col("hit").isNotNull())
+    facts = (keep or (lambda df: stored(df, "line-facts")))(line_facts(lines))
+    names = {"invoice_id": line_key}
+    hits = facts.filter(F.col("rule").isNotNull()).withColumnsRenamed(names)
     keys = headers.select("id", line_key) if line_key != "id" else headers.select("id")
-    body = keys.join(flagged, line_key).select("id", F.lit(1).alias("section"), "line_number", "hit")
-
-    exact, special = _sum_parts(F.col("total_price"), line_types["total_price"])
-    sums = lines.groupBy(F.col("invoice_id").alias(line_key)).agg(
-        F.sum(exact).alias("exact"), F.sum(special).alias("special")
-    )
-    wrong = _mismatch(F.col("_amount"), F.col("exact").cast(_SUM), F.col("special"), tolerance)
-    trailer = read.join(sums, line_key, "left").select(
-        "id",
-        F.lit(2).alias("section"),
-        F.lit(0).cast("long").alias("line_number"),
-        hits(
-            [
-                ("C6", F.when(F.col("exact").isNull(), F.lit(_NO_LINES_TEXT))),
-                ("C13", F.when(F.col("exact").isNotNull() & wrong, F.lit(_MISMATCH_TEXT))),
-            ]
-        ),
-    )
-    return (
-        head.unionByName(body)
-        .unionByName(trailer)
-        .filter(F.col("hit").isNotNull())
-        .select("id", "section", "line_number", F.col("hit.rule").alias("rule"), F.col("hit.issue").alias("issue"))
+    body = hits.join(keys, line_key).select("id", F.lit(1).alias("section"), "line_number", "rule", "issue")
+
+    types = _types(headers.schema)
+    sums = facts.filter(F.col("rule").isNull()).select(F.col("invoice_id").alias(line_key), "exact", "special")
+    read = headers.withColumn("_amount", _number(F.col("total_amount"), types["total_amount"])).join(sums, line_key, "left")
+    wrong = _mismatch(F.col("_amount"), F.col("exact"), F.col("special"), tolerance)
+    issue = lambda section, rule, text: F.when(
+        text.isNotNull(),
+        F.struct(F.lit(section).alias("section"), F.lit(0).cast("long").alias("line_number"), F.lit(rule).alias("rule"), text.alias("issue")),
     )
+    own = [issue(0, rule, text) for rule, text in _header_rules(F.col("vendor_name"), F.col("invoice_date"), F.col("_amount"), F.col("currency"))]
+    own.append(issue(2, "C6", F.when(F.col("exact").isNull(), F.lit(_NO_LINES_TEXT))))
+    own.append(issue(2, "C13", F.when(F.col("exact").isNotNull() & wrong, F.lit(_MISMATCH_TEXT))))
+    rest = read.select("id", F.explode_outer(compact(own)).alias("hit")).filter(F.col("hit").isNotNull()).select("id", "hit.*")
+    return rest.unionByName(body)
 
 
 def compliance_verdict(df: DataFrame) -> DataFrame:

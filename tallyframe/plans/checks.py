@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyframe.operators import dedup, risk, validation, vendors
 from tallyframe.plans.fixture_sql import with_tables
 from tallyframe.plans.registry import query
-from tallyframe.plans.tables import number, scored
+from tallyframe.plans.tables import base, number, scored
 from tallyframe.sources import derived
 
 
@@ -63,7 +63,7 @@ def _by_key(spark: SparkSession, sf: str) -> DataFrame:
 )
 def _first(spark: SparkSession, sf: str) -> DataFrame:
     cols = ["id", "created_at", "document_hash", *dedup.BUSINESS_KEY]
-    inv = derived.invoices(spark, sf)
+    inv = base(spark, sf)
     stored = inv.filter(F.col("approval_stage") == "AUDITED")
     batch = inv.filter(F.col("approval_stage") != "AUDITED").select(*cols)
     return dedup.first_wins(batch, stored, ["created_at", "id"]).select("id", "document_hash")
@@ -147,7 +147,7 @@ def _anomaly(spark: SparkSession, sf: str) -> DataFrame:
     ),
 )
 def _anomaly_asof(spark: SparkSession, sf: str) -> DataFrame:
-    inv = derived.invoices(spark, sf)
+    inv = base(spark, sf)
     return risk.vendor_anomaly_asof(inv, derived.approvals(inv)).select("id", "vendor_avg", "anomaly")
 
 

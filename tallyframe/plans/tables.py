@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyframe import session
 from tallyframe.operators.risk import score_invoices
 from tallyframe.operators.vendors import vendor_profile
 from tallyframe.sources import derived
@@ -21,8 +22,13 @@ def number(column: str) -> Column:
     return F.col(column).cast("double").alias(column)
 
 
+def base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The invoices, worked out and written once for the steps of a run that read them several times."""
+    return session.stored(derived.invoices(spark, sf_dir), "invoices")
+
+
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    inv = derived.invoices(spark, sf_dir)
+    inv = base(spark, sf_dir)
     profile = vendor_profile(derived.approvals(inv))
     return score_invoices(inv, derived.line_amounts(spark, sf_dir), profile, "src_key")
 

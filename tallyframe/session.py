@@ -46,17 +46,36 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") ->
     return configure(spark)
 
 
+_made: dict[str, list[str]] = {}  # scratch folders by application
+
+
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A new folder below the cluster's shared checkpoint folder.
 
     Every executor must be able to read what another one wrote. Where no such folder is
-    set, as in tests, it is the warehouse.
+    set, as in tests, it is the warehouse; on a cluster only if that is not a local folder.
     """
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get(
-        "spark.checkpoint.dir", None
-    )
-    place = shared or f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch"
-    return f"{place.rstrip('/')}/tallyframe-{label}-{uuid.uuid4().hex}"
+    conf = spark.sparkContext.getConf()
+    shared = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        on_disk = "://" not in warehouse or warehouse.startswith("file:")
+        if on_disk and not (conf.get("spark.master") or "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = f"{warehouse}/scratch"
+    path = f"{shared.rstrip('/')}/tallyframe-{label}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Remove all scratch folders of this application; results that read them must have been used by then."""
+    from tallyframe.sources import files
+
+    made = _made.pop(spark.sparkContext.applicationId, [])
+    for path in made:
+        files.remove(spark, path)
+    return len(made)
 
 
 def store(df: DataFrame, label: str) -> str:

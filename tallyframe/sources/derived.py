@@ -5,12 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.config import LIMITS
 from tallyframe.functions.columns import MONEY
-from tallyframe.functions.skew import number_rows
+from tallyframe.functions.ranking import number_rows
 
 RESUBMITTED = 1_000_000_000
-PAGE_LINES = 50
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,9 +29,8 @@ def line_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def lines(spark: SparkSession, sf_dir: str, hot_rows: int = LIMITS.hot_rows) -> DataFrame:
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part")
-    part_top = parts.select(F.max("p_partkey") + 1).scalar()
     items = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"
     )
@@ -41,9 +38,7 @@ def lines(spark: SparkSession, sf_dir: str, hot_rows: int = LIMITS.hot_rows) ->
         items,
         "l_orderkey",
         ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"],
-        [F.col("l_linenumber"), F.floor(F.col("l_partkey") * 1024 / part_top)],
         "line_number",
-        hot_rows,
     )
     part_text = parts.select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_retailprice")
     return numbered.join(part_text, "l_partkey").select(
@@ -258,12 +253,15 @@ def _field(value: Column, confidence: float) -> Column:
     return F.struct(value.alias("value"), F.lit(confidence).alias("confidence"))
 
 
-def _payload_text(header: dict[str, Column], items: Column, bare: Column, extra: dict[str, Column]) -> Column:
-    """JSON text with each field bare or as {value, confidence}."""
+def _payload_text(header: dict[str, Column], items: Column, names: dict[str, str], bare: Column, extra: dict[str, Column]) -> Column:
+    """JSON text with each field bare or as {value, confidence}; a line's number is always bare.
+
+    ``names`` gives the fields of a line with their types.
+    """
     keep = {"ignoreNullFields": "false"}
     flat = F.to_json(F.struct(*[c.alias(k) for k, c in header.items()], items.alias("line_items")), keep)
-    names = ("description", "quantity", "unit_price", "total_price")
-    deep_items = F.transform(items, lambda x: F.struct(*[_field(x[n], 0.9).alias(n) for n in names]))
+    own = lambda x: [x["line_number"].alias("line_number")] if "line_number" in names else []
+    deep_items = F.transform(items, lambda x: F.struct(*own(x), *[_field(x[n], 0.9).alias(n) for n in names if n != "line_number"]))
     deep = F.to_json(
         F.struct(*[_field(c, 0.9).alias(k) for k, c in header.items()], deep_items.alias("line_items")), keep
     )
@@ -272,41 +270,45 @@ def _payload_text(header: dict[str, Column], items: Column, bare: Column, extra:
     return F.concat(F.regexp_replace(body, r"\}$", ""), tail, F.lit("}"))
 
 
-def _wrap(text: Column, fenced: Column, cut: Column) -> Column:
+def _wrap(text: Column, fenced: Column, spoiled: Column) -> Column:
+    """Some texts in a code fence, some with a stray brace before them, which makes them unreadable."""
     fence = F.concat(F.lit(" ```json\n"), text, F.lit("\n``` "))
-    return F.when(cut, F.substring(text, 1, 40)).when(fenced, fence).otherwise(text)
+    return F.when(spoiled, F.concat(F.lit("{"), text)).when(fenced, fence).otherwise(text)
+
 
+PART_LINES = 10_000  # lines in a part of an extraction result
+_LINE = {
+    "line_number": "bigint", "description": "string", "quantity": "double", "unit_price": "decimal(18,2)",
+    "total_price": "decimal(18,2)", "sku": "string",
+}
 
-def payloads(inv: DataFrame, items: DataFrame) -> DataFrame:
-    """Extraction text per invoice page: (id, page, src_key, document_hash, payload).
 
-    A page holds at most 50 lines, so no invoice is gathered whole in one row
-    however many lines it has; every page repeats the header fields.
+def payloads(inv: DataFrame, items: DataFrame, part_lines: int = PART_LINES) -> DataFrame:
+    """Extraction text per invoice: the columns of ``inv`` and (part, payload).
+
+    A result is one part unless it has more than ``part_lines`` lines; then the lines follow
+    in order in further parts, which repeat no header. Every line carries its number, so
+    what the parts give together does not depend on how they are cut.
     """
-    pages = (
-        items.withColumn("page", F.floor((F.col("line_number") - 1) / PAGE_LINES))
-        .groupBy(F.col("invoice_id").alias("src_key"), "page")
-        .agg(
-            F.array_sort(
-                F.collect_list(F.struct("line_number", "description", "quantity", "unit_price", "total_price"))
-            ).alias("page_lines")
-        )
-    )
-    rows = inv.join(pages, "src_key", "left").withColumns(
-        {"page": F.coalesce("page", F.lit(0)), "page_lines": F.col("page_lines")}
+    cut = (
+        items.withColumns({"part": F.floor((F.col("line_number") - 1) / part_lines), "sku": F.concat(F.lit("L-"), "invoice_id", F.lit("-"), "line_number")})
+        .groupBy(F.col("invoice_id").alias("src_key"), "part")
+        .agg(F.array_sort(F.collect_list(F.struct(*_LINE))).alias("part_lines"))
     )
-    empty = F.expr("CAST(array() AS array<struct<description:string,quantity:double,unit_price:decimal(18,2),total_price:decimal(18,2)>>)")
-    listed = F.coalesce(F.transform("page_lines", lambda x: x.dropFields("line_number")), empty)
+    rows = inv.join(cut, "src_key", "left").withColumn("part", F.coalesce("part", F.lit(0)))
+    empty = F.expr("CAST(array() AS array<struct<" + ",".join(f"{n}:{t}" for n, t in _LINE.items()) + ">>)")
+    listed = F.coalesce("part_lines", empty)
     k = F.col("src_key")
     header = {c: F.col(c) for c in ("vendor_name", "invoice_date", "currency", "total_amount")}
     extra = {
         "overall_confidence": F.when(k % 17 == 0, "null").when(k % 19 != 0, F.col("confidence_score").cast("string")),
         "explanations": F.lit('{"vendor_name":"Top left","invoice_date":"Next to label","total_amount":"Last line"}'),
+        "layout": F.concat(F.lit('{"page":{"area":{"corner":{"top":{"left":{"x":'), (k % 100).cast("string"), F.lit("}}}}}}")),
     }
-    text = _payload_text(header, listed, k % 7 == 0, extra)
-    return rows.select(
-        "id", "page", "src_key", "document_hash", _wrap(text, k % 11 == 0, k % 53 == 0).alias("payload")
-    )
+    first = _payload_text(header, listed, _LINE, k % 7 == 0, extra)
+    later = _payload_text({}, listed, _LINE, k % 7 == 0, {})
+    text = F.when(F.col("part") == 0, first).otherwise(later)
+    return rows.select(*inv.columns, "part", _wrap(text, k % 11 == 0, k % 53 == 0).alias("payload"))
 
 
 def mail_payloads(docs: DataFrame) -> DataFrame:
@@ -336,5 +338,6 @@ def mail_payloads(docs: DataFrame) -> DataFrame:
         "currency": F.when(n % 10 == 0, "brl").otherwise(F.lit("USD")),
         "total_amount": amount,
     }
-    text = _payload_text(header, items, n % 7 == 0, {"overall_confidence": F.lit("0.8")})
+    names = {"description": "string", "quantity": "double", "unit_price": MONEY, "total_price": MONEY}
+    text = _payload_text(header, items, names, n % 7 == 0, {"overall_confidence": F.lit("0.8")})
     return per_text.select("content_key", "document_hash", _wrap(text, n % 11 == 0, n % 53 == 0).alias("payload"))

@@ -8,7 +8,7 @@ import pytest
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path[:0] = [ROOT, os.path.join(ROOT, "tests")]
 
-from tallyframe.session import local_session  # noqa: E402
+from tallyframe.session import clear_scratch, local_session  # noqa: E402
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -17,6 +17,7 @@ SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 def spark():
     session = local_session("4", partitions=4, memory="4g")
     yield session
+    clear_scratch(session)
     session.stop()
 
 
