@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyframe.functions.columns import MONEY, parse_number, sanitize_value, strip
 
 HEADER_FIELDS = ("vendor_name", "invoice_date", "currency", "total_amount")
-LINE_FIELDS = ("description", "quantity", "unit_price", "total_price")
+LINE_FIELDS = ("description", "quantity", "unit_price", "total_price")  # the keys that rules and reports name
 
 
 def strip_fences(text: Column) -> Column:
@@ -30,27 +30,55 @@ def parse_payload(df: DataFrame, column: str = "payload") -> DataFrame:
     )
 
 
-def unwrap(value: Column, field: str) -> Column:
-    """Text of a field that is either a bare value or an object holding ``value``."""
-    node = F.try_variant_get(value, f"$.{field}", "variant")
+def _value_text(node: Column) -> Column:
+    """Text of a value that is either bare or an object holding ``value``; an array as JSON."""
     wrapped = F.schema_of_variant(node).startswith("OBJECT")
-    return F.when(wrapped, F.try_variant_get(value, f"$.{field}.value", "string")).otherwise(
-        F.try_variant_get(value, f"$.{field}", "string")
-    )
+    return F.when(wrapped, F.try_variant_get(node, "$.value", "string")).otherwise(F.try_variant_get(node, "$", "string"))
 
 
 def flatten_header(df: DataFrame) -> DataFrame:
     """Adds the four header fields as text columns from ``parsed``."""
-    return df.withColumns({f: unwrap(F.col("parsed"), f) for f in HEADER_FIELDS})
+    return df.withColumns({f: _value_text(F.try_variant_get("parsed", f"$.{f}", "variant")) for f in HEADER_FIELDS})
+
+
+def line_map(line: Column) -> Column:
+    """All keys of a line, whatever they are, with unwrapped values: map<string,string>; null where a line is no object."""
+    fields = F.try_variant_get(line, "$", "map<string,variant>")
+    return F.transform_values(F.when(F.schema_of_variant(line).startswith("OBJECT"), fields), lambda _, v: _value_text(v))
 
 
 def flatten_lines(df: DataFrame) -> DataFrame:
-    """Adds ``line_items``: array of text structs from ``parsed``; absent or not an array gives null."""
+    """Adds ``line_items``: array<map<string,string>> from ``parsed``; absent or not an array gives null."""
     items = F.try_variant_get("parsed", "$.line_items", "array<variant>")
-    return df.withColumn(
-        "line_items",
-        F.transform(items, lambda x: F.struct(*[unwrap(x, f).alias(f) for f in LINE_FIELDS])),
-    )
+    return df.withColumn("line_items", F.transform(items, line_map))
+
+
+def line_rows(df: DataFrame, *passed: str, items: Column | None = None) -> DataFrame:
+    """One row per line: the ``passed`` columns, ``line_number`` and ``line`` (VARIANT).
+
+    A line that knows its number (key ``line_number``) keeps it, so the lines of a result
+    that is stored in several parts go on from part to part; any other is numbered by its
+    place, from 1. No result's lines are gathered.
+    """
+    found = F.try_variant_get("parsed", "$.line_items", "array<variant>") if items is None else items
+    # outer plus filter: a plain explode would have the payload parsed again to test its size
+    rows = df.select(*passed, F.posexplode_outer(found).alias("_at", "line")).filter(F.col("_at").isNotNull())
+    own = F.try_variant_get("line", "$.line_number", "long")
+    return rows.select(*passed, F.coalesce(own, (F.col("_at") + 1).cast("long")).alias("line_number"), "line")
+
+
+def whole_results(rows: DataFrame, key: str = "id", part: str = "part") -> DataFrame:
+    """Rows of the parts of results to one row per result, of whatever size.
+
+    A large result is stored in parts: the first holds the header fields, all hold lines
+    (see ``line_rows``). Here every column keeps its first part's value; if any part is
+    unreadable, the result is FAILED. Rows combine before they are shuffled.
+    """
+    values = [c for c in rows.columns if c not in (key, part, "parse_status")]
+    bad = F.max(F.col("parse_status") == "FAILED")
+    merged = rows.groupBy(key).agg(F.min_by(F.struct(*values), F.col(part)).alias("_first"), bad.alias("_bad"))
+    status = F.when(F.col("_bad"), "FAILED").otherwise("OK")
+    return merged.select(key, status.alias("parse_status"), *[F.col("_first")[c].alias(c) for c in values])
 
 
 def _present(field: str) -> Column:
@@ -157,13 +185,18 @@ CURRENT_FIELDS = (
 
 
 def hydrate(df: DataFrame, default_version: str) -> DataFrame:
-    """Stored JSON (``ai_raw_data``) overlaid with the current columns, which win.
+    """Stored JSON (``ai_raw_data``) overlaid with the current columns, which win: one row per invoice.
 
-    Columns other than the raw text pass through; a missing version falls back to the given one.
+    Columns other than the raw text pass through; a missing version falls back to the given
+    one. With a column ``part``, ``df`` has a row per part of the stored JSON. The lines of
+    an invoice are rows of their own, see ``line_rows``.
     """
-    parsed = flatten_lines(flatten_header(parse_payload(df.drop(*HEADER_FIELDS), "ai_raw_data")))
+    parsed = flatten_header(parse_payload(df.drop(*HEADER_FIELDS), "ai_raw_data"))
     version = F.when(F.col("ai_version") != "", F.col("ai_version")).otherwise(F.lit(default_version))
-    passed = [c for c in df.columns if c not in (*CURRENT_FIELDS, *HEADER_FIELDS, "ai_raw_data")]
-    return parsed.withColumn("ai_version", version).select(
-        *CURRENT_FIELDS, *HEADER_FIELDS, "line_items", *[c for c in passed if c != "line_items"]
-    )
+    passed = [c for c in df.columns if c not in (*CURRENT_FIELDS, *HEADER_FIELDS, "ai_raw_data", "part")]
+    rows = parsed.withColumn("ai_version", version)
+    if "part" not in df.columns:
+        return rows.select(*CURRENT_FIELDS, *HEADER_FIELDS, *passed)
+    whole = whole_results(rows.select("part", "parse_status", *CURRENT_FIELDS, *HEADER_FIELDS, *passed))
+    read = F.col("parse_status") == "OK"
+    return whole.select(*CURRENT_FIELDS, *[F.when(read, F.col(f)).alias(f) for f in HEADER_FIELDS], *passed)

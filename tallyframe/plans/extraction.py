@@ -5,112 +5,84 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.functions.columns import MONEY, parse_number, strip
 from tallyframe.operators import extraction as ops
 from tallyframe.plans.fixture_sql import with_tables
 from tallyframe.plans.registry import query
 from tallyframe.plans.tables import as_of, with_workflow_columns
 from tallyframe.sources import derived
 
-# one row per invoice page of at most 50 lines, see derived.payloads
-_PAGES = {
-    "paged": """
-SELECT inv.*, coalesce(p.page, 0) AS page, src_key % 53 = 0 AS bad FROM inv
-LEFT JOIN (SELECT DISTINCT invoice_id, (line_number - 1) // 50 AS page FROM lines) p ON p.invoice_id = src_key""",
-}
-
 
 def _payloads(spark: SparkSession, sf: str) -> DataFrame:
-    return derived.payloads(derived.invoices(spark, sf), derived.lines(spark, sf))
+    inv = derived.invoices(spark, sf)
+    return derived.payloads(inv, derived.lines(spark, sf))
 
 
 def _parsed(spark: SparkSession, sf: str) -> DataFrame:
     return ops.parse_payload(_payloads(spark, sf))
 
 
-@query("strip_fences", with_tables("SELECT id, page, true AS starts_with_brace, 0::bigint AS fences FROM paged", **_PAGES))
-def _strip(spark: SparkSession, sf: str) -> DataFrame:
-    text = ops.strip_fences(F.col("payload"))
-    return _payloads(spark, sf).select(
-        "id",
-        "page",
-        strip(text).startswith("{").alias("starts_with_brace"),
-        F.regexp_count(text, F.lit("```")).cast("long").alias("fences"),
-    )
+def _whole(rows: DataFrame, *columns: str) -> DataFrame:
+    """One row per result of any size."""
+    return ops.whole_results(rows.select("id", "part", "parse_status", *columns))
 
 
 @query(
-    "parse_payload",
-    with_tables("SELECT id, page, CASE WHEN bad THEN 'FAILED' ELSE 'OK' END AS parse_status FROM paged", **_PAGES),
+    "strip_fences",
+    """SELECT conv_id, turn, replace(replace(regexp_replace(concat('  ```json', chr(10), text, chr(10), '``` '), '^\\s+|\\s+$', '', 'g'), '```json', ''), '```', '') AS payload
+FROM conversations""",
 )
+def _strip(spark: SparkSession, sf: str) -> DataFrame:
+    answer = F.concat(F.lit("  ```json\n"), "text", F.lit("\n``` "))
+    return derived.table(spark, sf, "conversations").select("conv_id", "turn", ops.strip_fences(answer).alias("payload"))
+
+
+@query("parse_payload", with_tables("SELECT id, CASE WHEN bad THEN 'FAILED' ELSE 'OK' END AS parse_status FROM payload"))
 def _parse(spark: SparkSession, sf: str) -> DataFrame:
-    return _parsed(spark, sf).select("id", "page", "parse_status")
+    return _whole(_parsed(spark, sf).withColumn("read", F.col("parsed").isNotNull()), "read").select("id", "parse_status")
 
 
 @query(
     "flatten_header",
     with_tables(
-        """SELECT id, page, CASE WHEN NOT bad THEN vendor_name END AS vendor_name, CASE WHEN NOT bad THEN invoice_date END AS invoice_date,
-  CASE WHEN NOT bad THEN currency END AS currency, CASE WHEN NOT bad THEN CAST(total_amount AS double) END AS amount FROM paged""",
-        **_PAGES,
+        """SELECT id, CASE WHEN NOT bad THEN vendor_name END AS vendor_name, CASE WHEN NOT bad THEN invoice_date END AS invoice_date,
+  CASE WHEN NOT bad THEN currency END AS currency, CASE WHEN NOT bad THEN CAST(total_amount AS double) END AS amount FROM payload"""
     ),
 )
 def _header(spark: SparkSession, sf: str) -> DataFrame:
-    out = ops.typed_header(ops.flatten_header(_parsed(spark, sf)))
-    return out.select("id", "page", "vendor_name", "invoice_date", "currency", F.col("amount").cast("double").alias("amount"))
+    out = ops.typed_header(_whole(ops.flatten_header(_parsed(spark, sf)), *ops.HEADER_FIELDS))
+    return out.select("id", "vendor_name", "invoice_date", "currency", F.col("amount").cast("double").alias("amount"))
 
 
 @query(
     "flatten_lines",
     with_tables(
-        """SELECT inv.id, line_number, description, quantity, CAST(unit_price AS double) AS unit_price, CAST(total_price AS double) AS total_price
-FROM inv JOIN lines ON invoice_id = src_key WHERE src_key % 53 <> 0"""
+        """SELECT inv.id, line_number, t.field, t.value FROM inv JOIN lines ON invoice_id = src_key,
+  LATERAL (VALUES ('line_number', CAST(line_number AS varchar)), ('description', description), ('quantity', regexp_replace(CAST(quantity AS varchar), '\\.?0+$', '')),
+    ('unit_price', regexp_replace(CAST(unit_price AS varchar), '\\.?0+$', '')), ('total_price', regexp_replace(CAST(total_price AS varchar), '\\.?0+$', '')),
+    ('sku', concat('L-', invoice_id, '-', line_number))) t(field, value) WHERE src_key % 53 <> 0"""
     ),
 )
 def _lines(spark: SparkSession, sf: str) -> DataFrame:
-    rows = ops.flatten_lines(_parsed(spark, sf)).select("id", "page", F.posexplode_outer("line_items").alias("pos", "line"))
-    rows = rows.filter(F.col("pos").isNotNull())
-    money = lambda c: parse_number(F.col(f"line.{c}")).cast(MONEY).cast("double").alias(c)
-    return rows.select(
-        "id",
-        (F.col("page") * derived.PAGE_LINES + F.col("pos") + 1).alias("line_number"),
-        F.col("line.description").alias("description"),
-        parse_number(F.col("line.quantity")).alias("quantity"),
-        money("unit_price"),
-        money("total_price"),
-    )
+    rows = ops.line_rows(_parsed(spark, sf), "id")
+    fields = rows.select("id", "line_number", F.explode_outer(ops.line_map(F.col("line"))).alias("field", "value"))
+    return fields.filter(F.col("field").isNotNull())
 
 
 @query(
     "pick_confidence",
     with_tables(
-        """SELECT id, page, CASE WHEN bad OR src_key % 17 = 0 THEN NULL WHEN src_key % 19 = 0 THEN 0.0::double ELSE confidence_score END AS confidence_score
-FROM paged""",
-        **_PAGES,
+        """SELECT id, CASE WHEN bad OR src_key % 17 = 0 THEN NULL WHEN src_key % 19 = 0 THEN 0.0::double ELSE confidence_score END AS confidence_score
+FROM payload"""
     ),
 )
 def _confidence(spark: SparkSession, sf: str) -> DataFrame:
-    return ops.pick_confidence(_parsed(spark, sf)).select("id", "page", "confidence_score")
+    return _whole(ops.pick_confidence(_parsed(spark, sf)), "confidence_score").select("id", "confidence_score")
 
 
-@query(
-    "keep_raw",
-    with_tables(
-        """SELECT id, page, NOT bad AS has_raw, CASE WHEN NOT bad AND src_key % 7 <> 0 THEN 0.9::double END AS vendor_confidence,
-  CASE WHEN NOT bad THEN vendor_name END AS vendor_name FROM paged""",
-        **_PAGES,
-    ),
-)
+@query("keep_raw", with_tables("SELECT id, CASE WHEN NOT bad THEN json END AS ai_structured_output FROM payload"))
 def _raw(spark: SparkSession, sf: str) -> DataFrame:
-    out = ops.flatten_header(ops.keep_raw(_parsed(spark, sf)))
-    kept = F.try_parse_json("ai_structured_output")
-    return out.select(
-        "id",
-        "page",
-        F.col("ai_structured_output").isNotNull().alias("has_raw"),
-        F.try_variant_get(kept, "$.vendor_name.confidence", "double").alias("vendor_confidence"),
-        "vendor_name",
-    )
+    # the copy of a result in several parts has as many rows
+    return ops.keep_raw(_parsed(spark, sf)).select("id", "ai_structured_output")
 
 
 @query(
@@ -154,13 +126,12 @@ def _sanitize(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "explanations_long",
     with_tables(
-        """SELECT id, page, t.field, t.explanation FROM paged, (VALUES ('Vendor Name', 'Top left'), ('Invoice Date', 'Next to label'), ('Total Amount', 'Last line')) t(field, explanation)
-WHERE NOT bad""",
-        **_PAGES,
-    ).replace("id, page, t.field", "id, t.field"),
+        """SELECT id, t.field, t.explanation FROM payload, (VALUES ('Vendor Name', 'Top left'), ('Invoice Date', 'Next to label'), ('Total Amount', 'Last line')) t(field, explanation)
+WHERE NOT bad"""
+    ),
 )
 def _explanations(spark: SparkSession, sf: str) -> DataFrame:
-    return ops.explanations_long(ops.explanation_map(_parsed(spark, sf)))
+    return ops.explanations_long(_whole(ops.explanation_map(_parsed(spark, sf)), "ai_explanations"))
 
 
 @query(
@@ -187,19 +158,16 @@ def _reprocessed(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "hydrate",
     with_tables(
-        """SELECT id, page, CASE WHEN NOT bad THEN vendor_name END AS vendor_name, created_by, approval_stage, approval_timestamp, processing_status,
-  document_hash, confidence_score, 'v2' AS ai_version FROM paged""",
-        **_PAGES,
+        """SELECT id, CASE WHEN NOT bad THEN vendor_name END AS vendor_name, CASE WHEN NOT bad THEN currency END AS currency, created_by, approval_stage,
+  approval_timestamp, processing_status, document_hash, confidence_score, 'v2' AS ai_version FROM payload"""
     ),
 )
 def _hydrate(spark: SparkSession, sf: str) -> DataFrame:
-    inv = with_workflow_columns(derived.invoices(spark, sf)).withColumn("ai_version", F.lit(""))
-    pages = _payloads(spark, sf).select("id", "page", F.col("payload").alias("ai_raw_data"))
-    rows = inv.withColumns(
-        {"risk_level": F.lit("LOW"), "risk_score": F.lit(0), "flag_reason": F.lit(None).cast("string")}
-    ).join(pages, "id")
-    out = ops.hydrate(rows, "v2")
-    return out.select(
-        "id", "page", "vendor_name", "created_by", "approval_stage", "approval_timestamp", "processing_status",
+    inv = with_workflow_columns(derived.invoices(spark, sf)).withColumns(
+        {"ai_version": F.lit(""), "risk_level": F.lit("LOW"), "risk_score": F.lit(0), "flag_reason": F.lit(None).cast("string")}
+    )
+    rows = derived.payloads(inv, derived.lines(spark, sf)).withColumnRenamed("payload", "ai_raw_data")
+    return ops.hydrate(rows, "v2").select(
+        "id", "vendor_name", "currency", "created_by", "approval_stage", "approval_timestamp", "processing_status",
         "document_hash", "confidence_score", "ai_version",
     )

@@ -112,6 +112,37 @@ SELECT id, vendor_name, invoice_date, total_amount, currency, status, processing
   CASE WHEN created_by = 'MAIL_BOT' OR upper(processing_status) LIKE '%INGEST%' THEN 'INGESTED_EMAIL' ELSE 'MANUAL_UPLOAD' END AS source,
   CASE WHEN approval_stage = 'APPROVED' THEN 0 ELSE CAST(floor(epoch(TIMESTAMP '2001-08-05 00:00:00' - created_at) / 86400) AS bigint) END AS days_pending
 FROM scored""",
+    # JSON of an extraction result as it reads after parsing: keys sorted, no zeros at the end of fractions
+    "line_json": r"""
+SELECT invoice_id, line_number, bare, concat('{"description":', f(CAST(to_json(description) AS varchar), bare), ',"line_number":', line_number,
+  ',"quantity":', f(regexp_replace(CAST(quantity AS varchar), '\.?0+$', ''), bare), ',"sku":', f(concat('"L-', invoice_id, '-', line_number, '"'), bare),
+  ',"total_price":', f(regexp_replace(CAST(total_price AS varchar), '\.?0+$', ''), bare),
+  ',"unit_price":', f(regexp_replace(CAST(unit_price AS varchar), '\.?0+$', ''), bare), '}') AS line
+FROM (SELECT *, invoice_id % 7 = 0 AS bare FROM lines) l""",
+    "lines_json": """
+SELECT invoice_id, concat('[', string_agg(line, ',' ORDER BY line_number), ']') AS items FROM line_json GROUP BY invoice_id""",
+    "payload": r"""
+SELECT *, concat('{"currency":', f(CAST(to_json(currency) AS varchar), bare),
+  ',"explanations":{"invoice_date":"Next to label","total_amount":"Last line","vendor_name":"Top left"},"invoice_date":', f(CAST(to_json(invoice_date) AS varchar), bare),
+  ',"layout":{"page":{"area":{"corner":{"top":{"left":{"x":', src_key % 100, '}}}}}},"line_items":', items,
+  CASE WHEN src_key % 17 = 0 THEN ',"overall_confidence":null' WHEN src_key % 19 <> 0 THEN concat(',"overall_confidence":', confidence_text) ELSE '' END,
+  ',"total_amount":', f(total_text, bare), ',"vendor_name":', f(CAST(to_json(vendor_name) AS varchar), bare), '}') AS json
+FROM (SELECT inv.*, src_key % 7 = 0 AS bare, src_key % 53 = 0 AS bad, coalesce(items, '[]') AS items,
+  regexp_replace(CAST(total_amount AS varchar), '\.?0+$', '') AS total_text, regexp_replace(CAST(confidence_score AS varchar), '\.?0+$', '') AS confidence_text
+  FROM inv LEFT JOIN lines_json ON invoice_id = src_key) p""",
+    # every leaf of the payloads kept as raw data; those with src_key % 5 = 0 are kept as the structured copy only
+    "leaves": """
+SELECT id AS invoice_id, unnest(list_concat(
+  list_transform([('currency', currency), ('invoice_date', invoice_date), ('total_amount', total_text), ('vendor_name', vendor_name)],
+    lambda t: {'path': CASE WHEN bare THEN t[1] ELSE concat(t[1], '.value') END, 'value': t[2]}),
+  CASE WHEN bare THEN [] ELSE list_transform(['currency', 'invoice_date', 'total_amount', 'vendor_name'],
+    lambda n: {'path': concat(n, '.confidence'), 'value': '0.9'}) END,
+  [{'path': 'explanations.invoice_date', 'value': 'Next to label'}, {'path': 'explanations.total_amount', 'value': 'Last line'},
+   {'path': 'explanations.vendor_name', 'value': 'Top left'}, {'path': 'layout.page.area.corner.top.left.x', 'value': CAST(src_key % 100 AS varchar)},
+   {'path': 'line_items', 'value': items}],
+  CASE WHEN src_key % 17 = 0 THEN [{'path': 'overall_confidence', 'value': NULL}]
+    WHEN src_key % 19 <> 0 THEN [{'path': 'overall_confidence', 'value': confidence_text}] ELSE [] END)) AS leaf
+FROM payload WHERE NOT bad AND src_key % 5 <> 0""",
     # stage x stage x role rule table; '' = the record does not exist yet
     "rules": """
 SELECT * FROM (VALUES ('', 'UPLOADED', 'MAIL_BOT'), ('', 'UPLOADED', 'AP_CLERK'), ('', 'REVIEWED', 'AP_CLERK'),
@@ -122,9 +153,23 @@ SELECT * FROM (VALUES ('', 'UPLOADED', 'MAIL_BOT'), ('', 'UPLOADED', 'AP_CLERK')
 }
 
 
+def _wrapped(body: str) -> str:
+    """Write ``f(value, bare)`` out: a JSON value as it is, or as {confidence, value}; null text counts as null."""
+    while (at := re.search(r"\bf\(", body)) is not None:
+        depth, comma, end = 1, 0, at.end()
+        while depth:
+            depth += {"(": 1, ")": -1}.get(body[end], 0)
+            comma = end if body[end] == "," and depth == 1 else comma
+            end += 1
+        value = f"coalesce({body[at.end() : comma]}, 'null')"
+        flag = body[comma + 1 : end - 1].strip()
+        body = f"""{body[: at.start()]}CASE WHEN {flag} THEN {value} ELSE concat('{{"confidence":0.9,"value":', {value}, '}}') END{body[end:]}"""
+    return body
+
+
 def with_tables(sql: str, **extra: str) -> str:
     """Prefix ``sql`` with every derived table it names, in dependency order."""
-    tables = {**CTES, **extra}
+    tables = {name: _wrapped(body) for name, body in {**CTES, **extra}.items()}
     order: list[str] = []
 
     open_names: set[str] = set()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.functions.columns import MONEY, parse_number
+from tallyframe import session
 from tallyframe.operators import extraction, reports
 from tallyframe.operators.vendors import vendor_profile
 from tallyframe.plans.fixture_sql import with_tables
@@ -13,13 +13,6 @@ from tallyframe.plans.registry import query
 from tallyframe.plans.tables import as_of, ledger
 from tallyframe.sources import derived
 
-_PAGES = {
-    "paged": """
-SELECT inv.*, coalesce(p.page, 0) AS page, src_key % 53 = 0 AS bad FROM inv
-LEFT JOIN (SELECT DISTINCT invoice_id, (line_number - 1) // 50 AS page FROM lines) p ON p.invoice_id = src_key""",
-}
-
-
 @query(
     "serialize_nested",
     """SELECT event_id, CAST(to_json({'user_id': user_id, 'event_type': event_type}) AS varchar) AS who,
@@ -43,20 +36,16 @@ def _view(spark: SparkSession, sf: str) -> DataFrame:
     return reports.workflow_view(ledger(spark, sf)).withColumn("risk_score", F.col("risk_score").cast("long"))
 
 
-def payload_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """(id, vendor_name, page, src_key, ai_raw_data, ai_structured_output) per payload page.
+def payload_rows(spark: SparkSession, sf: str, inv: DataFrame | None = None) -> DataFrame:
+    """(id, vendor_name, ai_raw_data, ai_structured_output), a row per stored part.
 
     Every fifth invoice keeps its payload only as the structured copy.
     """
-    inv = derived.invoices(spark, sf)
-    read = extraction.keep_raw(extraction.parse_payload(derived.payloads(inv, derived.lines(spark, sf))))
-    names = inv.select("id", "vendor_name")
+    read = extraction.keep_raw(extraction.parse_payload(derived.payloads(inv or derived.invoices(spark, sf), derived.lines(spark, sf))))
     only_copy = F.col("src_key") % 5 == 0
-    return read.join(names, "id").select(
+    return read.select(
         "id",
         "vendor_name",
-        "page",
-        "src_key",
         F.when(~only_copy, F.col("ai_structured_output")).alias("ai_raw_data"),
         F.when(only_copy, F.col("ai_structured_output")).alias("ai_structured_output"),
     )
@@ -65,62 +54,44 @@ def payload_rows(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "line_items_long",
     with_tables(
-        """SELECT inv.id AS invoice_id, vendor_name, line_number, src_key % 7 <> 0 AS wrapped,
-  CASE WHEN src_key % 7 = 0 THEN description END AS description, CASE WHEN src_key % 7 = 0 THEN quantity END AS quantity,
-  CASE WHEN src_key % 7 = 0 THEN CAST(unit_price AS double) END AS unit_price, CASE WHEN src_key % 7 = 0 THEN CAST(total_price AS double) END AS total_price
-FROM inv JOIN lines ON invoice_id = src_key WHERE src_key % 53 <> 0"""
+        """SELECT inv.id AS invoice_id, vendor_name, line_number, json_extract_string(line, CASE WHEN bare THEN '$.sku' ELSE '$.sku.value' END) AS sku,
+  CASE WHEN bare THEN l.description ELSE concat('{"confidence":0.9,"value":', to_json(l.description), '}') END AS description,
+  CASE WHEN bare THEN q ELSE concat('{"confidence":0.9,"value":', q, '}') END AS quantity,
+  CASE WHEN bare THEN u ELSE concat('{"confidence":0.9,"value":', u, '}') END AS unit_price,
+  CASE WHEN bare THEN t ELSE concat('{"confidence":0.9,"value":', t, '}') END AS total_price
+FROM inv JOIN line_json ON invoice_id = src_key JOIN (SELECT invoice_id AS i, line_number AS n, description, regexp_replace(CAST(quantity AS varchar), '\\.?0+$', '') AS q,
+  regexp_replace(CAST(unit_price AS varchar), '\\.?0+$', '') AS u, regexp_replace(CAST(total_price AS varchar), '\\.?0+$', '') AS t FROM lines) l ON i = invoice_id AND n = line_number
+WHERE src_key % 53 <> 0"""
     ),
 )
 def _long(spark: SparkSession, sf: str) -> DataFrame:
     rows = reports.line_items_long(payload_rows(spark, sf))
-    wrapped = F.col("quantity").startswith("{")
-    shown = lambda c: F.when(~wrapped, parse_number(F.col(c)).cast(MONEY).cast("double")).alias(c)
-    return rows.select(
-        "invoice_id",
-        "vendor_name",
-        (F.col("page") * derived.PAGE_LINES + F.col("line_number")).alias("line_number"),
-        wrapped.alias("wrapped"),
-        F.when(~wrapped, F.col("description")).alias("description"),
-        F.when(~wrapped, parse_number(F.col("quantity"))).alias("quantity"),
-        shown("unit_price"),
-        shown("total_price"),
-    )
+    sku = F.col("other_fields")["sku"]
+    return rows.withColumn("sku", F.coalesce(F.get_json_object(F.when(sku.startswith("{"), sku), "$.value"), sku)).drop("other_fields")
+
+
+FLAT_COLUMNS = (
+    "currency", "currency.confidence", "currency.value", "explanations.invoice_date", "explanations.total_amount", "explanations.vendor_name",
+    "invoice_date", "invoice_date.confidence", "invoice_date.value", "layout.page.area.corner.top.left.x", "line_items", "overall_confidence",
+    "total_amount", "total_amount.confidence", "total_amount.value", "vendor_name", "vendor_name.confidence", "vendor_name.value",
+)
 
 
 @query(
     "ai_flattened",
     with_tables(
-        """SELECT id AS invoice_id, CASE WHEN live AND src_key % 7 = 0 THEN vendor_name END AS vendor_name,
-  CASE WHEN live AND src_key % 7 <> 0 THEN vendor_name END AS vendor_value, CASE WHEN live AND src_key % 7 <> 0 THEN 0.9::double END AS vendor_confidence,
-  CASE WHEN live THEN 'Top left' END AS explained, live AS has_lines
-FROM (SELECT *, NOT bad AND src_key % 5 <> 0 AS live FROM paged) t""",
-        **_PAGES,
+        "SELECT id AS invoice_id, "
+        + ", ".join(f"""any_value(leaf.value) FILTER (leaf.path = '{c}') AS "{c}\"""" for c in FLAT_COLUMNS)
+        + " FROM inv LEFT JOIN leaves ON invoice_id = id GROUP BY id"
     ),
 )
 def _flat(spark: SparkSession, sf: str) -> DataFrame:
-    flat = reports.ai_flattened(payload_rows(spark, sf))
-    return flat.select(
-        "invoice_id",
-        "vendor_name",
-        F.col("`vendor_name.value`").alias("vendor_value"),
-        F.col("`vendor_name.confidence`").cast("double").alias("vendor_confidence"),
-        F.col("`explanations.vendor_name`").alias("explained"),
-        F.col("line_items").isNotNull().alias("has_lines"),
-    )
+    return reports.ai_flattened(payload_rows(spark, sf))
 
 
-@query(
-    "ai_flattened_long",
-    with_tables(
-        """SELECT id AS invoice_id, t.path, CASE t.path WHEN 'explanations.vendor_name' THEN 'Top left' ELSE vendor_name END AS value
-FROM paged JOIN (VALUES ('vendor_name', true), ('vendor_name.value', false), ('explanations.vendor_name', true), ('explanations.vendor_name', false)) t(path, bare)
-  ON t.bare = (src_key % 7 = 0) WHERE NOT bad AND src_key % 5 <> 0""",
-        **_PAGES,
-    ),
-)
+@query("ai_flattened_long", with_tables("SELECT invoice_id, leaf.path AS path, leaf.value AS value FROM leaves"))
 def _flat_long(spark: SparkSession, sf: str) -> DataFrame:
-    rows = reports.ai_flattened_long(payload_rows(spark, sf))
-    return rows.filter(F.col("path").isin("vendor_name", "vendor_name.value", "explanations.vendor_name"))
+    return reports.ai_flattened_long(payload_rows(spark, sf))
 
 
 @query(
@@ -157,11 +128,8 @@ def _extract(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def transparency(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
-    base = ledger(spark, sf)
-    inv = derived.invoices(spark, sf)
+    inv = session.stored(ledger(spark, sf), "ledger")  # eight tables, one base
     profile = vendor_profile(derived.approvals(inv))
     return reports.transparency_tables(
-        base, derived.edits(inv), derived.audits(inv), profile, payload_rows(spark, sf), as_of()
+        inv, derived.edits(inv), derived.audits(inv), profile, payload_rows(spark, sf, inv), as_of()
     )
-
-

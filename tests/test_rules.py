@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallyframe.config import STAGES
 from tallyframe.functions.columns import parse_iso_date, parse_number
 from tallyframe.operators import extraction, mail, metrics, risk, validation, workflow
+from tallyframe.sources import derived
 
 ALLOWED = {
     ("new", "UPLOADED"): {"MAIL_BOT", "AP_CLERK"},
@@ -257,7 +258,41 @@ def test_confidence_absent_null_and_own_key(spark):
 def test_lines_of_either_shape_side_by_side(spark):
     text = '{"line_items": [{"description": "a", "quantity": {"value": 2, "confidence": 1}}, {"description": {"value": "b"}, "total_price": 3}]}'
     row = extraction.extract(spark.createDataFrame([(text,)], "payload string")).first()
-    assert [tuple(x) for x in row.line_items] == [("a", "2", None, None), ("b", None, None, "3")]
+    assert row.line_items == [{"description": "a", "quantity": "2"}, {"description": "b", "total_price": "3"}]
+
+
+def test_every_key_of_a_line_and_lines_that_are_no_objects(spark):
+    text = '{"line_items": [{"sku": {"value": "S1"}, "tax": null, "tags": [1, 2], "deep": {"x": 1}}, "loose", {}]}'
+    row = extraction.extract(spark.createDataFrame([(text,)], "payload string")).first()
+    assert row.line_items == [{"sku": "S1", "tax": None, "tags": "[1,2]", "deep": None}, None, {}]
+
+
+@pytest.mark.parametrize("part_lines", [7, 50, 10_000])
+def test_a_result_of_many_lines_is_one_result(spark, part_lines):
+    """An invoice of 120 lines beside a small one and one without lines, stored in parts of any size."""
+    inv = spark.sql(
+        "SELECT id, id AS src_key, 'V' AS vendor_name, '2024-01-05' AS invoice_date, 10.00BD AS total_amount, 'USD' AS currency, 0.8D AS confidence_score, "
+        "'h' AS document_hash FROM VALUES (1L), (2L), (53L), (4L) t(id)"
+    )
+    lines = spark.sql(
+        "SELECT invoice_id, explode(sequence(1L, n)) AS line_number FROM VALUES (1L, 120), (2L, 3), (53L, 120) t(invoice_id, n)"
+    ).selectExpr("*", "concat('d', line_number) AS description", "1D AS quantity", "2.50BD AS unit_price", "2.50BD AS total_price")
+    stored = derived.payloads(inv, lines, part_lines)
+    assert stored.count() == {7: 18 + 1 + 18 + 1, 50: 3 + 1 + 3 + 1, 10_000: 4}[part_lines]
+    parsed = extraction.parse_payload(stored)
+    full = extraction.explanation_map(extraction.pick_confidence(extraction.flatten_header(parsed)))
+    whole = extraction.whole_results(full.select("id", "part", "parse_status", "vendor_name", "confidence_score", "ai_explanations"))
+    got = {r.id: (r.parse_status, r.vendor_name, r.confidence_score, len(r.ai_explanations or {})) for r in whole.collect()}
+    ok = ("OK", "V", 0.8, 3)
+    assert got == {1: ok, 2: ok, 4: ok, 53: ("FAILED", None, None, 0)}
+    rows = extraction.line_rows(parsed, "id").select("id", "line_number", extraction.line_map(F.col("line")).alias("m")).collect()
+    assert sorted((r.id, r.line_number) for r in rows) == [(1, n) for n in range(1, 121)] + [(2, n) for n in range(1, 4)]
+    assert all(r.m["description"] == f"d{r.line_number}" and r.m["sku"] == f"L-{r.id}-{r.line_number}" for r in rows)
+    assert extraction.hydrate(
+        stored.withColumnRenamed("payload", "ai_raw_data").selectExpr(
+            "*", *[f"CAST(NULL AS string) AS {c}" for c in extraction.CURRENT_FIELDS if c not in stored.columns]
+        ), "v1",
+    ).count() == 4
 
 
 def test_stamps_of_an_audit_keep_or_erase_the_approver(spark):
@@ -275,6 +310,10 @@ def test_header_words_and_file_names(spark):
     assert "�" in mail.decode_words("=?ascii?B?w6k=?=")
     assert mail.decode_words("=?no-such-set?B?YQ==?=") == "a"
     assert mail.decode_words(None) == ""
+    for charset in ("hex", "rot13", "base64", "idna", "undefined", "zlib", "u\0tf", "utf-8*en"):
+        assert mail.decode_words(f"=?{charset}?B?YQ==?= b").endswith(" b"), charset
+    assert mail.decode_words("=?hex?B?YQ==?=") == "a" and mail.decode_words("=?utf-8?Q?a b?=") == "a b"
+    assert mail.decode_words("=?utf-8?B?é?=") == "=?utf-8?B?é?="
     df = spark.createDataFrame([("a b/ü.pdf",), ("",), ("x" * 200,)], "n string")
     got = [r[0] for r in df.select(mail.safe_filename(F.col("n"), F.expr("TIMESTAMP_NTZ '2024-01-02 03:04:05'"))).collect()]
     assert got == ["a_b_ü.pdf", "invoice_20240102_030405.bin", "x" * 150]
