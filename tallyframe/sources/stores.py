@@ -8,11 +8,30 @@ from pyspark.sql import types as T
 
 from tallyframe import schemas
 from tallyframe.config import FILE_EXTENSIONS
+from tallyframe.sources import files
 
 
-def read_table(spark: SparkSession, folder: str, name: str, schema: T.StructType | None = None) -> DataFrame:
-    reader = spark.read if schema is None else spark.read.schema(schema)
-    return reader.parquet(f"{folder}/{name}")
+def read_table(
+    spark: SparkSession, folder: str, name: str, schema: T.StructType | None = None, time: str | None = None,
+    since: str | None = None, until: str | None = None,
+) -> DataFrame:
+    """A stored table in its schema; with ``since`` or ``until`` (dates, the end excluded) the rows of that period.
+
+    Tables written by ``sinks.write_table`` lie in folders by month: other months are not read.
+    """
+    if schema is None:
+        return spark.read.parquet(f"{folder}/{name}")
+    by_month = time is not None and any(n.startswith("month=") for n in files.names(spark, f"{folder}/{name}"))
+    fields = [*schema.fields, T.StructField("month", T.StringType())] if by_month else schema.fields
+    rows = spark.read.schema(T.StructType(fields)).parquet(f"{folder}/{name}")
+    for bound, later in ((since, True), (until, False)):
+        if bound is None:
+            continue
+        at, month = F.lit(bound).cast("timestamp_ntz"), bound[:7]
+        rows = rows.filter(F.col(time) >= at if later else F.col(time) < at)
+        if by_month:
+            rows = rows.filter(F.col("month") >= month if later else F.col("month") <= month)
+    return rows.select(*schema.names)
 
 
 def newest_first(df: DataFrame, time: str, tie: str) -> DataFrame:
@@ -24,16 +43,16 @@ def oldest_first(df: DataFrame, time: str, tie: str) -> DataFrame:
     return df.orderBy(F.col(time).asc_nulls_last(), F.col(tie))
 
 
-def scan_invoices(spark: SparkSession, folder: str) -> DataFrame:
-    return newest_first(read_table(spark, folder, "invoices", schemas.INVOICES), "created_at", "id")
+def scan_invoices(spark: SparkSession, folder: str, since: str | None = None, until: str | None = None) -> DataFrame:
+    return newest_first(read_table(spark, folder, "invoices", schemas.INVOICES, "created_at", since, until), "created_at", "id")
 
 
-def scan_edits(spark: SparkSession, folder: str) -> DataFrame:
-    return newest_first(read_table(spark, folder, "invoice_edits", schemas.EDITS), "edited_at", "invoice_id")
+def scan_edits(spark: SparkSession, folder: str, since: str | None = None, until: str | None = None) -> DataFrame:
+    return newest_first(read_table(spark, folder, "invoice_edits", schemas.EDITS, "edited_at", since, until), "edited_at", "invoice_id")
 
 
-def scan_audits(spark: SparkSession, folder: str) -> DataFrame:
-    return newest_first(read_table(spark, folder, "invoice_audits", schemas.AUDITS), "audited_at", "invoice_id")
+def scan_audits(spark: SparkSession, folder: str, since: str | None = None, until: str | None = None) -> DataFrame:
+    return newest_first(read_table(spark, folder, "invoice_audits", schemas.AUDITS, "audited_at", since, until), "audited_at", "invoice_id")
 
 
 def scan_vendors(spark: SparkSession, folder: str) -> DataFrame:
@@ -45,35 +64,47 @@ def edits_for(edits: DataFrame, ids: DataFrame) -> DataFrame:
     return edits.join(ids.select("invoice_id"), "invoice_id", "left_semi")
 
 
-def scan_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Documents below ``path`` as (path, file_name, extension, size_bytes, content).
+def _files(spark: SparkSession, path: str, extensions: tuple[str, ...]) -> DataFrame:
+    """(path, name, content) of files below ``path`` with one of the extensions, in either case.
 
-    Extensions match in either case. Spark lists no rows for files of zero bytes.
+    A file is named by itself, or by its folder ``name=<name>`` if ``sinks.write_text_files`` wrote it.
     """
-    either_case = ["".join(f"[{c}{c.upper()}]" for c in extension) for extension in FILE_EXTENSIONS]
-    files = (
+    either_case = ["".join(f"[{c}{c.upper()}]" for c in extension) for extension in extensions]
+    found = (
         spark.read.format("binaryFile")
-        .option("pathGlobFilter", "*.{" + ",".join(either_case) + "}")
+        .option("pathGlobFilter", "*.{txt," + ",".join(either_case) + "}")
         .option("recursiveFileLookup", "true")
         .load(path)
     )
-    return document_intake(files)
+    own = F.element_at(F.split("path", "/"), -1)
+    folder = F.regexp_extract("path", r"/name=([^/]+)/[^/]+\.txt$", 1)
+    name = F.when(folder != "", F.url_decode(folder)).otherwise(own)
+    return found.select("path", name.alias("name"), "content").filter(
+        F.col("name").rlike(r"(?i)\.(" + "|".join(extensions) + ")$")
+    )
+
+
+def scan_documents(spark: SparkSession, path: str) -> DataFrame:
+    """Documents below ``path`` as (path, file_name, extension, size_bytes, content).
+
+    Extensions match in either case. Spark lists no rows for files of zero bytes.
+    """
+    return document_intake(_files(spark, path, FILE_EXTENSIONS))
 
 
-def document_intake(files: DataFrame) -> DataFrame:
-    """Name, type and size columns for rows of (path, content)."""
-    name = F.element_at(F.split("path", "/"), -1)
-    return files.select(
+def document_intake(files_read: DataFrame) -> DataFrame:
+    """Name, type and size columns for rows of (path, name, content)."""
+    return files_read.select(
         "path",
-        name.alias("file_name"),
-        F.lower(F.element_at(F.split(name, r"\."), -1)).alias("extension"),
+        F.col("name").alias("file_name"),
+        F.lower(F.element_at(F.split("name", r"\."), -1)).alias("extension"),
         F.length("content").cast("long").alias("size_bytes"),
         "content",
     )
 
 
 def scan_messages(spark: SparkSession, path: str) -> DataFrame:
-    """Stored ``.eml`` files as (message_id, raw); the file name is the message id."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.eml").load(path)
-    name = F.element_at(F.split("path", "/"), -1)
-    return files.select(F.regexp_replace(name, r"\.eml$", "").alias("message_id"), F.col("content").alias("raw"))
+    """Stored ``<message id>.eml`` files as (message_id long, raw); files named otherwise have a null id."""
+    found = _files(spark, path, ("eml",))
+    number = F.regexp_replace("name", r"(?i)\.eml$", "").try_cast("long")
+    return found.select(number.alias("message_id"), F.col("content").alias("raw"))

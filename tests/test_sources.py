@@ -91,10 +91,19 @@ def test_documents_and_messages_from_files(spark, tmp_path):
     box = tmp_path / "box"
     box.mkdir()
     (box / "7.eml").write_bytes(PLAIN)
-    raw = stores.scan_messages(spark, str(box)).withColumn("message_id", F.col("message_id").cast("long"))
+    (box / "x.eml").write_bytes(PLAIN)
+    raw = stores.scan_messages(spark, str(box)).filter("message_id IS NOT NULL")
+    assert raw.schema["message_id"].dataType == mail.parse_messages(raw).schema["message_id"].dataType
     assert [(r.message_id, r.subject) for r in mail.parse_messages(raw).collect()] == [(7, "no parts")]
 
 
+def test_texts_written_as_files_are_scanned_like_files(spark, tmp_path):
+    rows = spark.createDataFrame([("a b/1.PDF", "é"), ("c.txt", "no"), ("d.png", "two\nlines")], "name string, content string")
+    sinks.write_text_files(rows, f"{tmp_path}/docs")
+    got = {(r.file_name, r.extension, bytes(r.content)) for r in stores.scan_documents(spark, f"{tmp_path}/docs").collect()}
+    assert got == {("a b/1.PDF", "pdf", "é\n".encode()), ("d.png", "png", b"two\nlines\n")}
+
+
 def test_intake_stream_sees_each_message_once(spark, messages, tmp_path):
     source, out, mark = f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/cp"
     messages.coalesce(1).write.parquet(source)
@@ -120,28 +129,67 @@ def test_stored_tables_scan_in_display_order(spark, tmp_path):
     assert [r.invoice_id for r in stores.scan_edits(spark, str(tmp_path)).collect()] == [2, 1]
 
 
+def rows_of(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
 def test_upsert_versions_and_refusals(spark, tmp_path):
-    root = f"{tmp_path}/inv"
-    sinks.write_version(spark.createDataFrame([(1, "a"), (2, "b")], "id long, v string"), root)
-    changes = spark.createDataFrame([(2, "B", False), (3, "c", True), (9, "z", False)], "id long, v string, is_new boolean")
-    result, refused = sinks.upsert_invoices(sinks.read_version(spark, root), changes)
-    assert [tuple(r) for r in refused.collect()] == [(9, "z")]
-    assert sinks.write_version(result, root) == 2
-    (tmp_path / "inv" / "version=3").mkdir()  # an unfinished write is not seen
-    assert sorted(tuple(r) for r in sinks.read_version(spark, root).collect()) == [(1, "a"), (2, "B"), (3, "c")]
-    assert sorted(tuple(r) for r in spark.read.parquet(f"{root}/version=1").collect()) == [(1, "a"), (2, "b")]
+    table = sinks.InvoiceTable(spark, f"{tmp_path}/inv")
+    assert table.create(spark.createDataFrame([(1, "a"), (2, "b")], "id long, v string"), buckets=4) == 1
+    changes = spark.createDataFrame(
+        [(2, "B", False), (3, "c", True), (9, "z", False), (1, "again", True)], "id long, v string, is_new boolean"
+    )
+    version, refused = table.upsert(changes)
+    assert version == 2 and rows_of(refused) == [(1, "again"), (9, "z")]
+    assert rows_of(table.read()) == [(1, "a"), (2, "B"), (3, "c")]
+    assert rows_of(table.read(version=1)) == [(1, "a"), (2, "b")]
+    assert table.versions() == [1, 2]
+    none = changes.limit(0)
+    assert table.upsert(none)[0] == 3 and rows_of(table.read()) == [(1, "a"), (2, "B"), (3, "c")]
+
+
+def test_upsert_leaves_other_buckets_alone(spark, tmp_path):
+    table = sinks.InvoiceTable(spark, f"{tmp_path}/inv")
+    table.create(spark.range(200).withColumn("v", F.lit("old")), buckets=8)
+    before = set(table.read().inputFiles())
+    table.upsert(spark.createDataFrame([(7, "new", False)], "id long, v string, is_new boolean"))
+    after = set(table.read().inputFiles())
+    assert len(before - after) == 1 and len(after - before) == 1
+    assert table.read().filter("v = 'new'").count() == 1 and table.read().count() == 200
+
+
+def test_two_writers_cannot_take_one_version(spark, tmp_path):
+    table, other = (sinks.InvoiceTable(spark, f"{tmp_path}/inv") for _ in range(2))
+    table.create(spark.createDataFrame([(1, "a")], "id long, v string"))
+    change = lambda v: spark.createDataFrame([(1, v, False)], "id long, v string, is_new boolean")
+    assert table.upsert(change("first"), base=1)[0] == 2
+    with pytest.raises(sinks.VersionTaken):
+        other.upsert(change("second"), base=1)
+    assert rows_of(other.read()) == [(1, "first")] and other.upsert(change("second"))[0] == 3
+    assert rows_of(table.read()) == [(1, "second")]
 
 
 def test_log_appends_and_prunes(spark, tmp_path):
     rows = spark.sql("SELECT 1L AS invoice_id, explode(array(TIMESTAMP_NTZ '2024-01-01 05:00:00', TIMESTAMP_NTZ '2024-01-02 06:00:00')) AS edited_at")
     path = f"{tmp_path}/log"
-    sinks.append_log(rows, path, "edited_at")
-    sinks.append_log(rows, path, "edited_at")
+    for run in ("run-1", "run-2", "run-2", "run-1"):  # a run that is repeated adds nothing
+        sinks.append_log(rows, path, "edited_at", run)
     day = spark.read.parquet(path).filter("log_date = DATE '2024-01-02'")
     assert day.count() == 2
     assert "PartitionFilters: [isnotnull(log_date" in day._jdf.queryExecution().executedPlan().toString()
 
 
+def test_stored_tables_are_read_by_period(spark, tmp_path):
+    rows = spark.sql(
+        "SELECT id AS invoice_id, 'A' AS audited_by, 'n' AS audit_note, TIMESTAMP_NTZ '2024-01-01' + make_dt_interval(id) AS audited_at FROM range(100)"
+    )
+    sinks.write_table(rows, str(tmp_path), "invoice_audits", schemas.AUDITS, "audited_at")
+    assert [r.invoice_id for r in stores.scan_audits(spark, str(tmp_path)).collect()] == list(range(99, -1, -1))
+    some = stores.scan_audits(spark, str(tmp_path), since="2024-02-10", until="2024-02-12")
+    assert [r.invoice_id for r in some.collect()] == [41, 40]
+    assert "(month#" in some._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1]
+
+
 def test_outbox_text(spark):
     df = spark.createDataFrame([(1, None)], "id long, vendor_name string")
     assert json.loads(sinks.crm_outbox(df, "DELETE").first().value) == {
@@ -160,24 +208,36 @@ def test_sanitize_at_any_depth(spark):
 
 
 def test_long_lines_fall_back_to_the_structured_copy(spark):
-    raw = '{"line_items": [{"description": "a", "quantity": 2}, "loose text"]}'
+    raw = '{"line_items": [{"description": "a", "quantity": 2, "sku": "s", "tax": {"value": 7}}, "loose text"]}'
     deep = '{"line_items": [{"description": {"value": "b", "confidence": 1}}]}'
     df = spark.createDataFrame(
         [(1, "v", raw, deep), (2, "v", '{"line_items": []}', deep), (3, "v", None, None)],
         "id long, vendor_name string, ai_raw_data string, ai_structured_output string",
     )
     got = [tuple(r) for r in reports.line_items_long(df).orderBy("invoice_id", "line_number").collect()]
-    assert got[0] == (1, "v", 1, "a", "2", None, None)
-    assert got[1] == (1, "v", 2, "loose text", None, None, None)
+    assert got[0] == (1, "v", 1, "a", "2", None, None, {"sku": "s", "tax": '{"value":7}'})
+    assert got[1] == (1, "v", 2, "loose text", None, None, None, None)
     assert got[2][:3] == (2, "v", 1) and json.loads(got[2][3]) == {"value": "b", "confidence": 1}
     assert len(got) == 3
 
 
-def test_flattened_payload_keeps_what_lies_deeper(spark):
-    text = '{"a": {"b": {"c": {"d": {"e": 1}}}}, "n": null, "l": [1, 2], "s": "x"}'
-    df = spark.createDataFrame([(1, text)], "id long, ai_raw_data string")
-    got = {r.path: r.value for r in reports.ai_flattened_long(df).collect()}
-    assert got == {"a.b.c.d": '{"e":1}', "n": None, "l": "[1,2]", "s": "x"}
+DEEP = '{"a": {"b": {"c": {"d": {"e": {"f": {"g": 1, "h": [{"x": {"y": 2}}]}}}}}}, "n": null, "l": [1, 2], "s": "x", "none": {}}'
+
+
+def test_flattened_payload_opens_every_level(spark):
+    df = spark.createDataFrame([(1, DEEP), (2, "[1]"), (3, None), (4, "{broken"), (5, '{"s": {"t": true}}')], "id long, ai_raw_data string")
+    got = {(r.invoice_id, r.path): r.value for r in reports.ai_flattened_long(df).collect()}
+    leaves = {"a.b.c.d.e.f.g": "1", "a.b.c.d.e.f.h": '[{"x":{"y":2}}]', "n": None, "l": "[1,2]", "s": "x"}
+    assert got == {(1, p): v for p, v in leaves.items()} | {(5, "s.t"): "true"}
+    wide = {r["invoice_id"]: r.asDict() for r in reports.ai_flattened(df).collect()}
+    assert set(wide) == {1, 2, 3, 4, 5} and list(wide[1]) == ["invoice_id", *sorted([*leaves, "s.t"])]
+    assert wide[1] == {"invoice_id": 1, "s.t": None, **leaves} and wide[5]["s.t"] == "true" and set(wide[3].values()) == {3, None}
+
+
+def test_flattened_payload_of_nothing(spark):
+    df = spark.createDataFrame([(1, None)], "id long, ai_raw_data string")
+    assert reports.ai_flattened_long(df).count() == 0
+    assert [tuple(r) for r in reports.ai_flattened(df).collect()] == [(1,)]
 
 
 def test_record_defaults_only_where_absent(spark):
