@@ -61,8 +61,7 @@ def _profile(spark: SparkSession, sf: str) -> DataFrame:
     out, checkpoint = _folders(spark, "profile")
     source = session.store(derived.approvals(derived.invoices(spark, sf)), "approvals")
     jobs.stream_vendor_profile(jobs.table_stream(spark, source, files_per_batch=4), out, checkpoint)
-    columns = ["avg_invoice_value", "invoice_count", "last_invoice_date"]
-    return jobs.latest(jobs.batches(spark, f"{out}/profiles"), "vendor_name", columns)
+    return jobs.current(spark, jobs.profiles(out))
 
 
 @query(
@@ -76,5 +75,4 @@ def _trend(spark: SparkSession, sf: str) -> DataFrame:
     out, checkpoint = _folders(spark, "trend")
     source = session.store(derived.invoice_status(spark, sf).select("created_at", "confidence_score"), "invoices")
     jobs.stream_confidence_trend(jobs.table_stream(spark, source), out, checkpoint)
-    days = jobs.latest(jobs.batches(spark, f"{out}/days"), "day", ["avg_confidence"])
-    return days.select(F.col("day").cast("string").alias("day"), F.round("avg_confidence", 6).alias("avg_confidence"))
+    return jobs.current(spark, jobs.days(out)).select(F.col("day").cast("string").alias("day"), F.round("avg_confidence", 6).alias("avg_confidence"))

@@ -13,11 +13,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyframe import schemas
 from tallyframe.functions.columns import finite_or_null
 from tallyframe.config import MailRules
 from tallyframe.operators.dedup import keep_first
 from tallyframe.operators.mail import parse_messages, screen
 from tallyframe.operators.workflow import latest_stage, replay_requests
+from tallyframe.sources import files
+from tallyframe.streaming.levels import Levels, newest_of
 
 
 def table_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
@@ -77,21 +80,43 @@ def stream_intake(messages: DataFrame, rules: MailRules, as_of: Column, out: str
     run_available(messages, checkpoint, each)
 
 
-def stream_dedup(documents: DataFrame, order: list[str], out: str, checkpoint: str) -> None:
+PREFIX = 2  # characters of a hash: 256 folders in each part of the history
+
+
+def known_hashes(out: str, prefix: int = PREFIX) -> Levels:
+    """The history of ``stream_dedup``: all hashes, in folders by their first characters."""
+    schema = T.StructType([T.StructField("document_hash", T.StringType()), T.StructField("prefix", T.StringType())])
+
+    def merge(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("document_hash", "prefix").agg(F.min("batch_id").alias("batch_id")).select("document_hash", "prefix", "batch_id")
+
+    return Levels(f"{out}/known", schema, merge, split_by="prefix")
+
+
+def stream_dedup(documents: DataFrame, order: list[str], out: str, checkpoint: str, prefix: int = PREFIX) -> None:
     """First arrival per document_hash over all time.
 
     Copies inside a micro-batch go by a grouped minimum, which combines before the
-    shuffle; copies of earlier batches by anti-join to what is stored. No watermark is
-    needed, so a copy that comes much later is still recognised.
+    shuffle; copies of earlier batches by anti-join to the hashes stored. These lie in
+    folders by their first ``prefix`` characters, merged in levels: a batch opens only
+    folders of characters its own hashes begin with, of at most a few parts a level. No
+    watermark is needed, so a copy that comes much later is still recognised.
     """
-    spark_schema = documents.schema
+    names = documents.schema.names
+    history = known_hashes(out, prefix)
+    begin = F.substring("document_hash", 1, prefix)
 
     def each(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
         first = keep_first(batch, ["document_hash"], F.struct(*order))
-        stored = _earlier(batch.sparkSession, f"{out}/first", spark_schema, batch_id)
-        if stored is not None:
-            first = first.join(stored.select("document_hash").filter("document_hash IS NOT NULL"), "document_hash", "left_anti")
-        _write_batch(first.select(*spark_schema.names), f"{out}/first", batch_id)
+        if batch_id > 0:
+            # at most 16^prefix values, whatever the batch holds
+            begins = [r["p"] for r in batch.select(begin.alias("p")).where("p IS NOT NULL").distinct().collect()]
+            stored = history.read(spark, batch_id, F.col("prefix").isin(begins))
+            first = first.join(stored.select("document_hash"), "document_hash", "left_anti")
+        _write_batch(first.select(*names), f"{out}/first", batch_id)
+        new = spark.read.schema(documents.schema).parquet(f"{out}/first/batch_id={batch_id}").filter("document_hash IS NOT NULL")
+        history.add(new.select("document_hash", begin.alias("prefix")), batch_id)
 
     run_available(documents, checkpoint, each)
 
@@ -139,8 +164,26 @@ def stream_guard(requests: DataFrame, out: str, checkpoint: str, snapshot_every:
     run_available(requests, checkpoint, each)
 
 
+_DAY = T.StructType([T.StructField("day", T.DateType()), T.StructField("avg_confidence", T.DoubleType())])
+
+
+def profiles(out: str) -> Levels:
+    return Levels(f"{out}/profiles", schemas.VENDORS, newest_of("vendor_name"))
+
+
+def days(out: str) -> Levels:
+    return Levels(f"{out}/days", _DAY, newest_of("day"))
+
+
+def current(spark: SparkSession, levels: Levels) -> DataFrame:
+    """What a job has written so far, the last state of each key, from a few folders."""
+    written = files.names(spark, f"{levels.folder}/level=0")
+    done = [int(n.removeprefix("part=")) for n in written if files.exists(spark, f"{levels.folder}/level=0/{n}/_SUCCESS")]
+    return levels.read(spark, max(done) + 1 if done else 0).drop("batch_id")
+
+
 def stream_vendor_profile(approvals: DataFrame, out: str, checkpoint: str) -> None:
-    """Running vendor profile; each batch writes the vendors it changed."""
+    """Running vendor profile; each batch writes the vendors it changed, merged in levels (see ``profiles``, ``current``)."""
     totals = (
         approvals.filter(F.col("vendor_name").isNotNull())
         .groupBy("vendor_name")
@@ -152,19 +195,17 @@ def stream_vendor_profile(approvals: DataFrame, out: str, checkpoint: str) -> No
     )
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        profile = batch.select(
-            "vendor_name",
-            (F.col("value_sum") / F.col("invoice_count")).alias("avg_invoice_value"),
-            "invoice_count",
-            "last_invoice_date",
-        )
-        _write_batch(profile, f"{out}/profiles", batch_id)
+        average = (F.col("value_sum") / F.col("invoice_count")).alias("avg_invoice_value")
+        profiles(out).add(batch.select("vendor_name", average, "invoice_count", "last_invoice_date"), batch_id)
 
     run_available(totals, checkpoint, each, mode="update")
 
 
 def stream_confidence_trend(invoices: DataFrame, out: str, checkpoint: str, lateness: str = "7 days") -> None:
-    """Mean confidence per day; rows later than ``lateness`` behind the newest are dropped."""
+    """Mean confidence per day; rows later than ``lateness`` behind the newest are dropped.
+
+    Each batch writes the days it changed, merged in levels (see ``days``, ``current``).
+    """
     daily = (
         invoices.withColumn("created_at", F.col("created_at").cast("timestamp"))
         .withWatermark("created_at", lateness)
@@ -174,6 +215,6 @@ def stream_confidence_trend(invoices: DataFrame, out: str, checkpoint: str, late
     )
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        _write_batch(batch, f"{out}/days", batch_id)
+        days(out).add(batch, batch_id)
 
     run_available(daily, checkpoint, each, mode="update")

@@ -6,11 +6,15 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tallyframe.functions.skew import number_rows, split_hot
+from tallyframe.functions.ranking import number_rows, rank_rows, totals_before
 from tallyframe.operators import dedup, mail, risk, vendors, workflow
+from tallyframe.session import stored
 from tallyframe.streaming import jobs
+from tallyframe.streaming.levels import Levels, newest_of
 from test_rules import ALLOWED, ROLES
 
 STAGES = ("UPLOADED", "REVIEWED", "APPROVED", "REJECTED", "AUDITED")
@@ -134,17 +138,42 @@ def test_ingest_outcome(spark, seed):
     assert {(r.message_id, r.idx): r.outcome for r in got} == outcome_model(rows, results, stored)
 
 
-def test_hot_rows_are_numbered_like_the_others(spark):
+def test_rows_of_any_key_are_numbered_like_row_number(spark):
     df = spark.range(3000).select(
-        F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50).alias("k"),
-        F.hash("id").alias("a"),
+        F.when(F.col("id") % 3 == 0, 0).when(F.col("id") % 7 == 0, None).otherwise(F.col("id") % 50).alias("k"),
+        F.floor(F.hash("id") % 5).alias("a"),
         F.col("id").alias("b"),
     )
-    cut = [F.floor(F.col("a") / 1_000_000_00)]
-    plain = number_rows(df, "k", ["a", "b"], cut, "n")
-    sliced = number_rows(df, "k", ["a", "b"], cut, "n", hot_rows=100)
-    assert split_hot(df, "k", 100)[1].count() > 900
-    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, sliced.collect()))
+    window = Window.partitionBy("k").orderBy("a", "b")
+    want = df.withColumn("n", F.row_number().over(window).cast("long"))
+    got = number_rows(df, "k", ["a", "b"], "n")
+    assert got.columns == want.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert number_rows(df.limit(0), "k", ["a"], "n").count() == 0
+
+
+@pytest.fixture
+def small_partitions(spark):
+    """Adaptive execution would merge the small partitions of a test into one."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_a_hot_key_is_numbered_in_several_tasks(spark, small_partitions):
+    df = spark.range(20_000).select(F.lit(1).alias("k"), F.xxhash64("id").alias("a"))
+    got = number_rows(df, "k", ["a"], "n")
+    assert got.agg(F.min("n"), F.max("n"), F.countDistinct("n")).first() == (1, 20_000, 20_000)
+    kept = []
+    number_rows(df, "k", ["a"], "n", lambda d: kept.append(d) or stored(d, "test"))
+    parts = kept[0].groupBy(F.spark_partition_id()).count().collect()
+    assert len(parts) > 1 and max(r["count"] for r in parts) < 15_000
+
+
+def test_ranks_over_all_rows(spark):
+    df = spark.range(1000).select(F.xxhash64("id").alias("h"))
+    got = [r.n for r in rank_rows(df, ["h"], "n").orderBy("h").collect()]
+    assert got == list(range(1000))
 
 
 @pytest.fixture(scope="module")
@@ -171,6 +200,21 @@ def test_average_as_of_each_invoice(history):
         assert got[id_] == (mean, mean is not None and total > 2 * mean)
 
 
+def test_one_vendor_in_one_day_spreads_over_tasks(spark, small_partitions):
+    """As many approvals of one vendor within a day as seconds: the running sums are cut by time, not by day."""
+    at = F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id)")
+    money = F.lit(1).cast("decimal(18,2)").alias("total_amount")
+    approved = spark.range(40_000).select(F.lit("v").alias("vendor_name"), money, at.alias("approved_at"))
+    moments = approved.groupBy("vendor_name", F.col("approved_at").alias("ts")).agg(F.sum("total_amount").alias("value"))
+    held = []
+    sums = totals_before(moments, "vendor_name", ["ts"], {"before": F.col("value")}, lambda d: held.append(stored(d, "test")) or held[0])
+    assert sums.filter("before <> unix_seconds(CAST(ts AS timestamp)) - unix_seconds(timestamp'2024-01-01')").count() == 0
+    sizes = [r["count"] for r in held[0].groupBy(F.shiftright("_place", 33)).count().collect()]
+    assert len(sizes) > 1 and max(sizes) < 30_000
+    invoice = spark.sql("SELECT 1L AS id, 'v' AS vendor_name, 5BD AS total_amount, TIMESTAMP_NTZ '2024-01-01 05:00:00' AS created_at")
+    assert risk.vendor_anomaly_asof(invoice, approved).first().vendor_avg == 1.0
+
+
 def test_as_of_after_all_approvals_equals_stored_profile(history):
     _, _, a, i = history
     late = i.withColumn("created_at", F.expr("TIMESTAMP_NTZ '2030-01-01'"))
@@ -233,12 +277,42 @@ def test_dedup_stream_remembers_and_resumes(spark, tmp_path):
     assert {r.document_hash: r.doc_id for r in got} == first and len(got) == len(first)
 
 
+def test_dedup_batch_opens_only_folders_of_its_own_hashes(spark, tmp_path):
+    df = spark.range(64).select(F.col("id").alias("doc_id"), F.sha2(F.col("id").cast("string"), 256).alias("document_hash"))
+    df.coalesce(1).write.parquet(f"{tmp_path}/in")
+    out = f"{tmp_path}/out"
+    jobs.stream_dedup(jobs.table_stream(spark, f"{tmp_path}/in"), ["doc_id"], out, f"{tmp_path}/cp")
+    all_files = jobs.known_hashes(out).read(spark, 1).inputFiles()
+    some = jobs.known_hashes(out).read(spark, 1, F.col("prefix").isin("5f", "d4"))
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert len(all_files) > 40 and "PartitionFilters: [prefix" in plan
+    scan = jobs.known_hashes(out)._read(spark, jobs.known_hashes(out).parts(1)).filter(F.col("prefix").isin("5f", "d4"))
+    assert {f.split("prefix=")[1][:2] for (f,) in scan.select(F.input_file_name()).distinct().collect()} <= {"5f", "d4"}
+
+
+def test_levels_hold_the_newest_state_in_few_folders(spark, tmp_path):
+    def levels(fan):
+        return Levels(f"{tmp_path}/l", T.StructType([T.StructField("k", T.LongType()), T.StructField("v", T.LongType())]), newest_of("k"), fan)
+
+    short, rng, want = levels(3), random.Random(4), {}
+    for b in range(14):
+        rows = {rng.randrange(6): rng.randrange(100) for _ in range(3)}
+        want.update(rows)
+        short.add(spark.createDataFrame(list(rows.items()), "k long, v long").coalesce(1), b)
+        if b == 8:
+            short.add(spark.createDataFrame(list(rows.items()), "k long, v long").coalesce(1), b)  # run again after a failure
+        assert {r.k: r.v for r in short.read(spark, b + 1).collect()} == want
+    assert short.parts(14) == [f"{tmp_path}/l/level={p}" for p in ("2/part=0", "1/part=3", "0/part=12", "0/part=13")]
+    assert max(len(levels(16).parts(n)) for n in range(501)) <= 2 * 15 + 1
+    covered = lambda path: 16 ** int(path.split("level=")[1][0])
+    assert all(sum(map(covered, levels(16).parts(n))) == n for n in range(501))
+
+
 def test_profile_stream_equals_batch(spark, history, tmp_path):
     _, _, a, _ = history
     source = in_files(a, f"{tmp_path}/in", "id")
     jobs.stream_vendor_profile(jobs.table_stream(spark, source, files_per_batch=1), f"{tmp_path}/out", f"{tmp_path}/cp")
-    columns = ["avg_invoice_value", "invoice_count", "last_invoice_date"]
-    got = jobs.latest(jobs.batches(spark, f"{tmp_path}/out/profiles"), "vendor_name", columns)
+    got = jobs.current(spark, jobs.profiles(f"{tmp_path}/out"))
     assert {tuple(r) for r in got.collect()} == {tuple(r) for r in vendors.vendor_profile(a).collect()}
 
 
@@ -250,5 +324,5 @@ def test_trend_stream_drops_rows_behind_the_watermark(spark, tmp_path):
     for rows in ([(day(1), 0.5)], [(day(20), 0.9)], [(day(19), 0.7)], [(day(1), 0.1)]):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
     jobs.stream_confidence_trend(jobs.table_stream(spark, path, files_per_batch=1), f"{tmp_path}/out", f"{tmp_path}/cp")
-    got = jobs.latest(jobs.batches(spark, f"{tmp_path}/out/days"), "day", ["avg_confidence"]).collect()
+    got = jobs.current(spark, jobs.days(f"{tmp_path}/out")).collect()
     assert {(r.day.day, r.avg_confidence) for r in got} == {(1, 0.5), (19, 0.7), (20, 0.9)}
