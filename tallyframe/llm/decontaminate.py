@@ -7,16 +7,22 @@ projects the benchmark's vocabulary to a latent space of DIMENSIONS. The sample
 tenth as much as the items, whose rare words would else fall out of the leading
 directions. Items share a space only up to DIMENSIONS passages, and item passages that
 the leading directions hold less than HELD of are spanned by directions of their own, so
-that no item is lost, however many there are. Every passage of every document is compared there with every passage of the
-items, as matrix products of blocks, its length being that of its whole TF-IDF vector.
-(Projecting never lengthens, so a passage whose words in the vocabulary have less than
-the wanted share of its length needs no product.) Candidates with enough cosine are confirmed in the same task by the longest common subsequence of words of item and
-surroundings; of those that match in part, the answer, that is the end of the item, must
-be found too.
+that no item is lost, however many there are. Every passage of every document is compared
+there with every passage of the items, as matrix products of blocks, its length being that
+of its whole TF-IDF vector. A product is spared where a bound rules all items out: the sum
+over the passage's words of the most that a word adds to the cosine with any item, over a
+length it surely has. Candidates with enough cosine are confirmed in the same task by the
+longest common subsequence of words of item and surroundings; of those that match in part,
+the answer, that is the end of the item, must be found too.
+
+An item shorter than a passage is a small part of one, so its cosine may be low even where
+it stands word by word: wherever its rarest word stands is a candidate as well. Of fewer
+than EXACT_WORDS words, in which a chance match in part is likely, all must stand in a row.
 
 The items and their projections go to every task. Their number is checked: more than
-ITEM_BLOCK items are searched for in several passes. An item is never split: one of more
-than DIMENSIONS passages has a space alone, with as many directions as it needs.
+ITEM_BLOCK items are searched for in several passes. An item of more than LONGEST words is
+searched for in pieces of so many, any of which counts as the item, so no space outgrows
+DIMENSIONS passages.
 """
 
 from __future__ import annotations
@@ -40,6 +46,8 @@ FULL, PART, ANSWER = 0.7, 0.5, 0.8  # shares of the item in order; of its answer
 ANSWER_WORDS = 8
 ITEM_BLOCK = 1000  # items searched for in one pass over the documents
 FIT_TASKS = 8
+LONGEST = (DIMENSIONS - 1) * STEP + WORDS  # words of DIMENSIONS passages
+EXACT_WORDS = 8
 _MARKS = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in range(256))
 
 
@@ -99,6 +107,8 @@ class Index:
         self.slots[self.vocabulary & (1 << BITS) - 1] = True
         self.basis = np.zeros((len(self.vocabulary), 0), np.float32)
         self.of, self.queries = np.empty(0, np.int64), np.zeros((0, 0), np.float32)
+        self.most = np.zeros(max(len(self.vocabulary), 1))
+        self._rarest()
 
     def columns(self, names: np.ndarray) -> np.ndarray:
         """Places of words in the items' vocabulary, -1 for others."""
@@ -127,7 +137,7 @@ class Index:
         start = starts_of(len(names))
         at, w = self.columns(names), self.weights(names)
         if least:
-            start = self._possible(w, at >= 0, start, least)
+            start = self._possible(w, at, start, least)
         whole, inner = self._lengths(names, w, at >= 0, start)
         some = inner >= least * whole
         start, whole = start[some], whole[some]
@@ -139,17 +149,17 @@ class Index:
             out[k] = w[s : s + size][inside].astype(np.float32) @ self.basis[a[inside]]
         return start, out / whole[:, None].astype(np.float32)
 
-    def _possible(self, w: np.ndarray, inside: np.ndarray, start: np.ndarray, least: float) -> np.ndarray:
-        """Starts whose passages may have that share, by bounds that are sums over words.
+    def _possible(self, w: np.ndarray, at: np.ndarray, start: np.ndarray, least: float) -> np.ndarray:
+        """Starts whose passages may have that cosine with an item passage.
 
-        The length inside the vocabulary is at most the sum of the weights there, and the
-        length outside at least that of the single words.
+        A word adds at most ``most`` times its weight, and the length is at least that of
+        the passage's words taken as different.
         """
         end = np.minimum(start + WORDS, len(w))
-        inner = np.concatenate([[0], np.cumsum(np.where(inside, w, 0))])
-        outer = np.concatenate([[0], np.cumsum(np.where(inside, 0, w * w))])
-        inner, outer = inner[end] - inner[start], outer[end] - outer[start]
-        return start[inner * inner * (1 - least * least) >= least * least * outer - 1e-6]
+        gain = np.concatenate([[0], np.cumsum(np.where(at >= 0, w * self.most[at], 0))])
+        mass = np.concatenate([[0], np.cumsum(w * w)])
+        gain, mass = gain[end] - gain[start], mass[end] - mass[start]
+        return start[gain * gain >= (least - 1e-3) ** 2 * mass - 1e-6]
 
     def _lengths(self, names: np.ndarray, w: np.ndarray, inside: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Lengths of the passages' vectors, whole and in the vocabulary only."""
@@ -174,6 +184,21 @@ class Index:
                 queries.append(found / np.maximum(np.linalg.norm(found, axis=1, keepdims=True), 1e-12))
         if queries:
             self.of, self.queries = np.array(of), np.concatenate(queries)
+            for k in range(0, len(self.queries), 64):
+                part = (self.basis @ self.queries[k : k + 64].T).max(axis=1)
+                self.most = np.maximum(self.most, part)
+
+    def _rarest(self) -> None:
+        """For items shorter than a passage: the column of the word in the fewest documents, the item, the word's place in it."""
+        rare = []
+        for k, (_, names) in enumerate(self.items):
+            if 0 < len(names) < WORDS:
+                place = int(np.argmax(self.weights(names)))
+                rare.append((int(self.columns(names[place : place + 1])[0]), k, place))
+        rare = np.array(sorted(rare), np.int64).reshape(-1, 3)
+        self.rare, self.rare_item, self.rare_place = (np.ascontiguousarray(rare[:, c]) for c in range(3))
+        self.has_rare = np.zeros(max(len(self.vocabulary), 1), bool)
+        self.has_rare[self.rare] = True
 
     def _spanning(self, basis: np.ndarray) -> np.ndarray:
         """The basis, with the parts outside it of the item passages that it holds less than HELD of."""
@@ -192,10 +217,14 @@ class Index:
         return np.concatenate([basis, more[:, size > 1e-6 * size[0]]], axis=1)
 
     def leaks(self, names: np.ndarray) -> list[tuple[int, float, float, float]]:
-        """(item_id, cosine, share of the item in order, share of its answer) of the items found in a text's words."""
+        """(item number, cosine, share of the item in order, share of its answer) of the items found in a text's words.
+
+        The cosine is 0 where a short item was found by its rarest word alone.
+        """
         if not len(names) or not len(self.queries):
             return []
-        best: dict[int, tuple[float, int, int]] = {}
+        best: dict[int, float] = {}
+        places: dict[int, list[int]] = {}
         if len(names) < 1 << 15:
             blocks = [self.project(names, COSINE)]
         else:  # very long texts, by overlapping stretches, so that memory is bounded
@@ -204,17 +233,44 @@ class Index:
             near = x @ self.queries.T
             rows, cols = np.nonzero(near >= COSINE)
             for r, c in zip(rows.tolist(), cols.tolist()):
-                k, at = int(self.of[c]), int(start[r])
-                cos, first, last = best.get(k, (0.0, at, at))
-                best[k] = max(cos, float(near[r, c])), min(first, at), max(last, at)
+                k = int(self.of[c])
+                best[k] = max(best.get(k, 0.0), float(near[r, c]))
+                places.setdefault(k, []).append(int(start[r]))
+        if len(self.rare):
+            column = self.columns(names)
+            for p in np.flatnonzero((column >= 0) & self.has_rare[column]).tolist():
+                for r in range(*np.searchsorted(self.rare, [column[p], column[p] + 1])):
+                    k = int(self.rare_item[r])
+                    best.setdefault(k, 0.0)
+                    places.setdefault(k, []).append(p - int(self.rare_place[r]))
         out = []
-        for k, (cos, first, last) in best.items():
-            item_id, item = self.items[k]
-            share, answer = self._confirm(item, names, first, last)
+        for k, cos in best.items():
+            number, item = self.items[k]
+            share, answer = self._found(item, names, sorted(places[k]))
             if share >= FULL or (share >= PART and answer >= ANSWER):
-                out.append((item_id, cos, share, answer))
+                out.append((number, cos, share, answer))
         return out
 
+    def _found(self, item: np.ndarray, names: np.ndarray, places: list[int]) -> tuple[float, float]:
+        """The best shares around the candidates; those near each other are one stretch."""
+        if len(item) < EXACT_WORDS:
+            exact = any(p >= 0 and np.array_equal(names[p : p + len(item)], item) for p in self._aligned(item, names, places))
+            return (1.0, 1.0) if exact else (0.0, 0.0)
+        best, start = (0.0, 0.0), 0
+        for k in range(1, len(places) + 1):
+            if k == len(places) or places[k] - places[k - 1] > 2 * len(item) + WORDS:
+                best = max(best, self._confirm(item, names, places[start], places[k - 1]))
+                start = k
+            if best[0] == 1.0:
+                break
+        return best
+
+    @staticmethod
+    def _aligned(item: np.ndarray, names: np.ndarray, places: list[int]) -> list[int]:
+        """Where a short item may start, around candidates: places of its first word."""
+        near = {p for c in places for p in range(max(c - WORDS, 0), min(c + WORDS, len(names)))}
+        return [p for p in near if names[p] == item[0]]
+
     def _confirm(self, item: np.ndarray, names: np.ndarray, first: int, last: int) -> tuple[float, float]:
         """The best share of the item, and of its answer, in any stretch around the candidates."""
         size, best = len(item), (0.0, 0.0)
@@ -231,9 +287,15 @@ class Index:
 
 
 def leaks_of(part: list[Index], text: str | None) -> list[tuple[int, float, float, float]]:
-    """What the indexes of one pass find in a text."""
+    """What the indexes of one pass find in a text; of an item in several pieces, the piece found best."""
     names = names_of(text)
-    return [leak for index in part for leak in index.leaks(names)]
+    best: dict[int, tuple[int, float, float, float]] = {}
+    for index in part:
+        for leak in index.leaks(names):
+            held = best.get(leak[0])
+            if held is None or leak[2:] > held[2:]:
+                best[leak[0]] = leak
+    return list(best.values())
 
 
 def _fit(index: Index, some: DataFrame) -> None:
@@ -293,7 +355,7 @@ def _fit(index: Index, some: DataFrame) -> None:
 
 
 def _spaces(items: list[tuple[int, np.ndarray]]) -> list[list[tuple[int, np.ndarray]]]:
-    """The items in runs of at most DIMENSIONS passages; a longer item is a run alone."""
+    """The items in runs of at most DIMENSIONS passages."""
     out, held = [], DIMENSIONS
     for item in items:
         size = len(starts_of(len(item[1])))
@@ -305,32 +367,41 @@ def _spaces(items: list[tuple[int, np.ndarray]]) -> list[list[tuple[int, np.ndar
     return out
 
 
-def indexes(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_block: int = ITEM_BLOCK) -> list[list[Index]]:
-    """The fitted indexes of each pass, of at most ``item_block`` items; items without words or id are left out."""
+def indexes(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_block: int = ITEM_BLOCK) -> tuple[list[list[Index]], list[int]]:
+    """The fitted indexes of each pass, of about ``item_block`` items or pieces, and the items' ids by number.
+
+    Items without words or id are left out.
+    """
     docs = docs.select(F.col(text_col).alias("text"))
     pdf = benchmark.select("item_id", "text").where("item_id IS NOT NULL").toPandas()
     items = [(int(i), n) for i, t in zip(pdf["item_id"], pdf["text"]) if len(n := names_of(t))]
     if not items:
-        return []
+        return [], []
+    passes: list[list[tuple[int, np.ndarray]]] = [[]]
+    for number, (_, n) in enumerate(items):
+        if len(passes[-1]) >= item_block:
+            passes.append([])
+        passes[-1] += [(number, n[k : k + LONGEST]) for k in range(0, len(n), LONGEST)]
     df, total = document_frequencies(docs)
     idf = np.log((total + 1) / (df + 1)) + 0.1
     share = min(1.0, FIT_PASSAGES / 8 / max(total, 1))  # up to eight passages of each sampled document
     some = docs.where(F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1 << 20)) < int(share * (1 << 20))).select("text").persist()
     out = []
-    for k in range(0, len(items), item_block):
-        out.append([Index(part, idf) for part in _spaces(items[k : k + item_block])])
+    for pieces in passes:
+        out.append([Index(part, idf) for part in _spaces(pieces)])
         for index in out[-1]:
             _fit(index, some)
     some.unpersist()
-    return out
+    return out, [i for i, _ in items]
 
 
 def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, cosine, item_share, answer_share) of every item found in every row of ``docs``.
 
     Null and empty texts hold nothing; null ids are returned as such; a repeated row or
-    item is reported as often as it stands. Other columns are not read. An empty table on
-    either side gives no rows.
+    item is reported as often as it stands; of an item of more than LONGEST words the piece
+    found best is reported. Other columns are not read. An empty table on either side gives
+    no rows.
     """
     kind = dict(docs.dtypes)[id_col]
     read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -339,14 +410,15 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
     def search(part: list[Index]):
         def found(batches):
             for pdf in batches:
-                rows = [(d, *leak) for d, t in zip(pdf["doc_id"], pdf["text"]) for leak in leaks_of(part, t)]
+                rows = [(d, ids[k], *rest) for d, t in zip(pdf["doc_id"], pdf["text"]) for k, *rest in leaks_of(part, t)]
                 if rows:
                     yield pd.DataFrame(rows, columns=["doc_id", "item_id", "cosine", "item_share", "answer_share"])
 
         return read.mapInPandas(found, schema)
 
     out = docs.sparkSession.createDataFrame([], schema)
-    for part in indexes(read, benchmark):
+    passes, ids = indexes(read, benchmark)
+    for part in passes:
         out = out.unionByName(search(part))
     return out.withColumnRenamed("doc_id", id_col)
 
@@ -354,7 +426,7 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
 def drop_leaking(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, that hold no benchmark item."""
     out = docs
-    for part in indexes(docs, benchmark, text_col):
+    for part in indexes(docs, benchmark, text_col)[0]:
 
         def leaking(texts: pd.Series, part: list[Index] = part) -> pd.Series:
             return pd.Series([bool(leaks_of(part, t)) for t in texts], dtype=bool)
