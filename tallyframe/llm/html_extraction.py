@@ -61,6 +61,7 @@ _TAG = re.compile(
 )
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+_QUALIFIED = re.compile(r"(?i)\b(?:has|with|without|no|non|hide|is-not)[-_][a-z_-]+|\b[a-z]+[-_]free\b|\blong[-_]?form\b")
 
 
 def _is_away(name: str, attributes: dict[str, str]) -> bool:
@@ -69,25 +70,44 @@ def _is_away(name: str, attributes: dict[str, str]) -> bool:
     if name in ("html", "body", "main", "article"):
         return False
     said = attributes.get("class", "") + " " + attributes.get("id", "")
+    said = _QUALIFIED.sub(" ", said)  # "has-sidebar" says what stands beside, not what this is
     return any(w.lower() in AWAY_WORDS for w in _WORD.findall(said))
 
 
 def blocks_of(page: str) -> Iterator[tuple[str, bool, str, int]]:
     """(path, away, text, characters in links) of the blocks of a page, in order.
 
+    An element that by name or class is not the article, but holds most of the page's text
+    and its heading or main element, such as a form around the whole page, counts as any other.
+    """
+    around: set[int] = set()
+    found = list(_blocks(page, around))
+    size: dict[int, int] = {}
+    for _, away, text, linked in found:
+        for k in away:
+            size[k] = size.get(k, 0) + len(text) - linked
+    whole = sum(len(text) - linked for _, _, text, linked in found)
+    kept = {k for k in around if 2 * size.get(k, 0) > whole}
+    for path, away, text, linked in found:
+        yield path, any(k not in kept for k in away), text, linked
+
+
+def _blocks(page: str, around: set[int]) -> Iterator[tuple[str, tuple[int, ...], str, int]]:
+    """``blocks_of`` with the numbers of the away elements a block stands in; ``around`` gets those that hold a heading or main element.
+
     Unclosed and unopened tags are met as browsers do: a block element ends an open
     paragraph, an end tag ends all that is open inside its element and counts for nothing
     if its element is not open, and what is open at the end of the page ends there.
     """
-    stack: list[tuple[str, str, bool]] = []  # name, step of the path, away
+    stack: list[tuple[str, str, int]] = []  # name, step of the path, number if away, else 0
     parts: list[str] = []
-    in_link = linked = 0
+    in_link = linked = numbered = 0
 
-    def flush() -> Iterator[tuple[str, bool, str, int]]:
+    def flush() -> Iterator[tuple[str, tuple[int, ...], str, int]]:
         nonlocal parts, linked
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            yield "/".join(s[1] for s in stack), any(s[2] for s in stack), text, min(linked, len(text))
+            yield "/".join(s[1] for s in stack), tuple(s[2] for s in stack if s[2]), text, min(linked, len(text))
         parts, linked = [], 0
 
     at, end = 0, len(page)
@@ -144,7 +164,10 @@ def blocks_of(page: str) -> Iterator[tuple[str, bool, str, int]]:
         attributes = {m[0].lower(): html.unescape(m[1] or m[2] or m[3]) for m in _ATTRIBUTE.findall(tag[3] or tag[6] or "")}
         kind = attributes.get("class", "").split()
         step = name + ("." + kind[0] if kind else "") if name not in ("html", "body") else name
-        stack.append((name, step, _is_away(name, attributes)))
+        if name in ("h1", "main"):
+            around.update(s[2] for s in stack if s[2])
+        numbered += 1
+        stack.append((name, step, numbered if _is_away(name, attributes) else 0))
         in_link = 0
     yield from flush()
 
