@@ -143,7 +143,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     names = F.array(*[F.lit(f) for f in families])
     found = scored.withColumn("probability", known).where(F.col("probability") >= KNOWN)
     found = found.select("doc", "paragraph", "text", "words", "probability", F.get(names, F.col("class")).alias("family"))
-    match = found.join(F.broadcast(notices(docs.sparkSession)), "family")
-    match = match.withColumn("template_share", similarity(F.col("words"), F.col("notice_words"))).where(F.col("template_share") >= CONFIRM)
-    out = match.groupBy("doc", "paragraph", "text", "family", "probability").agg(F.max("template_share").alias("template_share"), F.count("*").alias("n"))
+    # the best notice of the family, worked out in the row, so that repeated rows stay apart
+    shares = [F.when(F.col("family") == f, similarity(F.col("words"), F.array_distinct(words_of(F.lit(n))))).otherwise(0.0) for f, n in NOTICES]
+    out = found.withColumn("template_share", F.greatest(*shares)).where(F.col("template_share") >= CONFIRM)
     return out.select(F.col("doc").alias(id_col), F.col("paragraph").cast("long").alias("paragraph"), "family", "probability", "template_share", "text")

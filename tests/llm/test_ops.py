@@ -192,6 +192,19 @@ def test_main_text_without_boilerplate(start, end):
     assert main_text(pages[2], main_slots(page_wrapper(list(blocks_of(pages[2]))))) == want
 
 
+@pytest.mark.parametrize(
+    "around",
+    ['<div class="content has-sidebar">{}</div>', '<div class="long-form">{}</div>', '<div class="post no-comments">{}</div>',
+     '<form id="aspnetForm">{}</form>', '<div class="sidebar">{}</div>'],
+)
+def test_an_element_around_the_whole_article_stays(around):
+    body = "<h1>Title here</h1>" + "".join(f"<p>Paragraph {k} of the article.</p>" for k in range(6))
+    rest = '<p class="alert-free">Not an alert.</p>'
+    page = f'<html><body><header><h1>Site</h1></header>{around.format(body + rest)}<div class="comments"><p>A comment.</p></div><footer>End</footer></body></html>'
+    want = ["Title here", *(f"Paragraph {k} of the article." for k in range(6)), "Not an alert."]
+    assert main_text(page, None).split("\n") == want
+
+
 def test_html_query_and_odd_pages(spark, sf_dir):
     rows = [(1, "http://a/x", None), (2, None, "<p>alone"), (None, "http://a/y", ""), (3, "x", "a < b > c <"), (4, "http://a/z", "<p " + "x" * 50_000)]
     got = extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
@@ -281,10 +294,10 @@ def test_native_queries_run_no_python(spark, sf_dir):
 
 def test_license_paragraphs(spark):
     lines = ["Licensed under the Apache License, Version 2.0.", "Released under the MIT License.", "An ordinary line about nothing.", ""]
-    rows = [(1, "\n".join(lines)), (2, None), (3, ""), (None, "All rights reserved.")] + [(10 + k, " ".join(tokens(20, k))) for k in range(60)]
+    rows = [(1, "\n".join(lines)), (2, None), (3, ""), (None, "All rights reserved."), (4, lines[1]), (4, lines[1])] + [(10 + k, " ".join(tokens(20, k))) for k in range(60)]
     docs = spark.createDataFrame([(i, t, None, "x", 1) for i, t in rows], SCHEMA)
     got = sorted(((r.doc_id, r.paragraph, r.family) for r in license_scan(docs).collect()), key=str)
-    assert got == [(1, 0, "Apache-2.0"), (1, 1, "MIT"), (None, 0, "all-rights-reserved")]
+    assert got == [(1, 0, "Apache-2.0"), (1, 1, "MIT"), (4, 0, "MIT"), (4, 0, "MIT"), (None, 0, "all-rights-reserved")]
 
 
 def test_pipeline_stages_follow_each_other(spark, sf_dir):
