@@ -68,6 +68,9 @@ SELECT doc_id AS message_id, concat(source, '@vendor.example') AS sender,
  concat('file_', CAST(doc_id AS varchar), CASE doc_id % 4 WHEN 0 THEN '.pdf' WHEN 1 THEN '.PNG' WHEN 2 THEN '.txt' ELSE '.docx' END) AS filename,
  CASE WHEN doc_id % 4 = 0 THEN 'application/pdf' WHEN doc_id % 8 = 3 THEN 'image/jpeg' ELSE 'application/octet-stream' END AS mime_type,
  text AS content FROM documents""",
+    "msg_parts": """
+SELECT *, 0::bigint AS part_no FROM msgs
+UNION ALL SELECT message_id, sender, subject, concat('copy_', message_id, '.pdf'), 'application/pdf', content, 1 FROM msgs WHERE message_id % 6 = 0""",
     "hdr": """
 SELECT id, src_key,
   CASE WHEN src_key % 61 = 0 THEN NULL WHEN src_key % 67 = 0 THEN ' ' ELSE vendor_name END AS vendor_name, invoice_date,

@@ -22,8 +22,8 @@ _TYPES = "(mime_type IN ('application/pdf', 'image/png', 'image/jpeg', 'image/jp
 _CTES = {
     "checked": f"""
 SELECT *, sender IN ({_SENDERS}) AS sender_ok, contains(lower(subject), 'invoice') AS subject_ok, {_TYPES} AS type_ok,
-  strlen(content) AS size_bytes, sha256(content) AS document_hash FROM msgs""",
-    "kept": f"SELECT * FROM checked WHERE sender_ok AND subject_ok AND type_ok AND size_bytes > 0 AND size_bytes <= {RULES.max_bytes}",
+  strlen(content) AS size_bytes, sha256(content) AS document_hash FROM msg_parts""",
+    "kept": f"SELECT *, row_number() OVER (PARTITION BY message_id ORDER BY part_no) - 1 AS idx FROM checked WHERE sender_ok AND subject_ok AND type_ok AND size_bytes > 0 AND size_bytes <= {RULES.max_bytes}",
     "firsts": "SELECT text, min(doc_id) AS n FROM documents GROUP BY text",
     "fields": """
 SELECT text, n, n % 53 = 0 AS bad, concat('Vendor ', CAST(n % 8 AS varchar)) AS vendor_name,
@@ -42,20 +42,21 @@ SELECT kept.*, n, bad, vendor_name, invoice_date, total_amount, all_issues, issu
   (vendor_name, invoice_date, total_amount) IN (SELECT (vendor_name, invoice_date, total_amount) FROM stored) AS known_key
 FROM kept JOIN fields ON text = content""",
     "places": """
-SELECT *, min(message_id) FILTER (NOT known_hash AND NOT bad) OVER (PARTITION BY content) AS hp,
-  min(message_id) FILTER (NOT known_hash AND NOT bad) OVER (PARTITION BY vendor_name, invoice_date, total_amount) AS kp FROM joined""",
+SELECT *, min(place) FILTER (NOT known_hash AND NOT bad) OVER (PARTITION BY content) AS hp,
+  min(place) FILTER (NOT known_hash AND NOT bad) OVER (PARTITION BY vendor_name, invoice_date, total_amount) AS kp
+FROM (SELECT *, message_id * 8 + idx AS place FROM joined) j""",
     "outcomes": """
 SELECT *, CASE WHEN known_hash THEN 'DUPLICATE_HASH' WHEN bad THEN 'FAILED_EXTRACTION'
-  WHEN hp < message_id AND NOT known_key AND hp = kp THEN 'DUPLICATE_HASH'
-  WHEN known_key OR kp < message_id THEN 'DUPLICATE_KEY' ELSE 'INGESTED' END AS outcome FROM places""",
+  WHEN hp < place AND NOT known_key AND hp = kp THEN 'DUPLICATE_HASH'
+  WHEN known_key OR kp < place THEN 'DUPLICATE_KEY' ELSE 'INGESTED' END AS outcome FROM places""",
     "summary": f"""
-SELECT (SELECT count(*) FROM checked) AS messages_scanned, (SELECT count(*) FROM kept) AS attachments_found,
-  (SELECT count(*) FROM kept) AS messages_with_attachments,
+SELECT (SELECT count(*) FROM checked WHERE part_no = 0) AS messages_scanned, (SELECT count(*) FROM kept) AS attachments_found,
+  (SELECT count(*) FROM kept WHERE idx = 0) AS messages_with_attachments,
   (SELECT count(*) FROM outcomes WHERE outcome = 'INGESTED') AS ingested,
   (SELECT count(*) FROM outcomes WHERE outcome LIKE 'DUPLICATE%') AS duplicates,
   (SELECT count(*) FROM outcomes WHERE outcome LIKE 'FAILED%') AS failed,
-  (SELECT count(*) FROM checked WHERE NOT sender_ok) AS skipped_sender,
-  (SELECT count(*) FROM checked WHERE sender_ok AND NOT subject_ok) AS skipped_subject,
+  (SELECT count(*) FROM checked WHERE part_no = 0 AND NOT sender_ok) AS skipped_sender,
+  (SELECT count(*) FROM checked WHERE part_no = 0 AND sender_ok AND NOT subject_ok) AS skipped_subject,
   (SELECT count(*) FROM checked WHERE sender_ok AND subject_ok AND NOT type_ok) AS skipped_by_type,
   (SELECT count(*) FROM checked WHERE sender_ok AND subject_ok AND type_ok AND size_bytes > {RULES.max_bytes}) AS skipped_by_size,
   (SELECT count(*) FROM outcomes WHERE outcome LIKE 'FAILED%') AS errors""",
@@ -85,10 +86,10 @@ def _screened(spark: SparkSession, sf: str) -> DataFrame:
 
 def results(docs: DataFrame) -> DataFrame:
     """Extraction results per content: business key, lines, issues."""
-    read = extraction.typed_header(extraction.extract(derived.mail_payloads(docs).drop("document_hash")))
+    read = extraction.typed_header(extraction.extract(derived.mail_payloads(docs)))
     checked = validation.compliance_issues(read)
     return checked.select(
-        "content_key", "parse_status", "vendor_name", "invoice_date", F.col("amount").alias("total_amount"),
+        "content_key", "document_hash", "parse_status", "vendor_name", "invoice_date", F.col("amount").alias("total_amount"),
         "currency", "confidence_score", "line_items", "issues",
     )
 
@@ -109,7 +110,7 @@ def _outcomes(spark: SparkSession, sf: str, screened: DataFrame | None = None) -
     return mail.ingest_outcome(kept, session.stored(results(docs), "results"), stored(docs))
 
 
-@query("newest_messages", _sql("SELECT message_id, sender, subject FROM msgs ORDER BY message_id DESC LIMIT 100"))
+@query("newest_messages", _sql("SELECT message_id, sender, subject FROM msg_parts WHERE message_id IN (SELECT message_id FROM msgs ORDER BY message_id DESC LIMIT 100)"))
 def _newest(spark: SparkSession, sf: str) -> DataFrame:
     newest = mail.newest_messages(derived.raw_messages(_docs(spark, sf)), 100)
     return mail.parse_messages(newest).select("message_id", "sender", "subject")
@@ -120,20 +121,20 @@ def _sender(spark: SparkSession, sf: str) -> DataFrame:
     return mail.filter_sender(_flat(spark, sf), RULES.senders).select("message_id", "sender")
 
 
-@query("filter_subject", _sql("SELECT message_id, subject FROM checked WHERE sender_ok AND subject_ok"))
+@query("filter_subject", _sql("SELECT message_id, subject FROM checked WHERE part_no = 0 AND sender_ok AND subject_ok"))
 def _subject(spark: SparkSession, sf: str) -> DataFrame:
     senders = mail.filter_sender(_flat(spark, sf), RULES.senders)
     return mail.filter_subject(senders, RULES.keywords).select("message_id", "subject")
 
 
-@query("decode_headers", _sql("SELECT message_id, sender, subject FROM msgs"))
+@query("decode_headers", _sql("SELECT message_id, sender, subject FROM msg_parts"))
 def _decode(spark: SparkSession, sf: str) -> DataFrame:
     return _parsed(spark, sf).select("message_id", "sender", "subject")
 
 
 @query(
     "explode_attachments",
-    _sql("SELECT message_id, 0::bigint AS part_no, filename, mime_type, sha256(content) AS document_hash, strlen(content) AS size_bytes FROM msgs"),
+    _sql("SELECT message_id, part_no, filename, mime_type, sha256(content) AS document_hash, strlen(content) AS size_bytes FROM msg_parts"),
 )
 def _attachments(spark: SparkSession, sf: str) -> DataFrame:
     return _parsed(spark, sf).select(
@@ -142,12 +143,12 @@ def _attachments(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("filter_type", _sql("SELECT message_id, filename, mime_type FROM checked WHERE type_ok"))
+@query("filter_type", _sql("SELECT message_id, filename, mime_type FROM checked WHERE part_no = 0 AND type_ok"))
 def _type(spark: SparkSession, sf: str) -> DataFrame:
     return mail.filter_type(_flat(spark, sf)).select("message_id", "filename", "mime_type")
 
 
-@query("filter_size", _sql(f"SELECT message_id, size_bytes FROM checked WHERE size_bytes <= {SMALL_BYTES}"))
+@query("filter_size", _sql(f"SELECT message_id, size_bytes FROM checked WHERE part_no = 0 AND size_bytes <= {SMALL_BYTES}"))
 def _size(spark: SparkSession, sf: str) -> DataFrame:
     rows = mail.filter_size(_flat(spark, sf), SMALL_BYTES)
     return rows.select("message_id", F.length("content").cast("long").alias("size_bytes"))
@@ -166,7 +167,7 @@ def _safe(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "storage_path",
-    _sql("SELECT message_id, concat('mail/20010805/msg_', CAST(message_id AS varchar), '_0_', filename) AS storage_path FROM kept"),
+    _sql("SELECT message_id, concat('mail/20010805/msg_', CAST(message_id AS varchar), '_', CAST(idx AS varchar), '_', filename) AS storage_path FROM kept"),
 )
 def _path(spark: SparkSession, sf: str) -> DataFrame:
     return _screened(spark, sf).filter("kept").select("message_id", "storage_path")
@@ -188,7 +189,7 @@ def _risk(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("ingest_outcome", _sql("SELECT message_id, 0::bigint AS idx, outcome FROM outcomes"))
+@query("ingest_outcome", _sql("SELECT message_id, idx, outcome FROM outcomes"))
 def _outcome(spark: SparkSession, sf: str) -> DataFrame:
     return _outcomes(spark, sf).select("message_id", "idx", "outcome")
 

@@ -79,7 +79,7 @@ def _documents(spark: SparkSession, sf: str) -> DataFrame:
     return stores.scan_documents(spark, path).withColumn("document_hash", F.sha2("content", 256)).drop("content", "path")
 
 
-@query("scan_messages", with_tables("SELECT message_id, sender, subject, filename, sha256(content) AS document_hash FROM msgs"))
+@query("scan_messages", with_tables("SELECT message_id, sender, subject, filename, sha256(content) AS document_hash FROM msg_parts"))
 def _messages(spark: SparkSession, sf: str) -> DataFrame:
     from tallyframe.operators.mail import parse_messages
 

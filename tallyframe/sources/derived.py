@@ -212,20 +212,27 @@ def flat_messages(docs: DataFrame) -> DataFrame:
 
 
 def raw_messages(docs: DataFrame) -> DataFrame:
-    """(message_id, raw bytes): the flat row written as a mail message with one attachment.
+    """(message_id, raw bytes): the flat row written as a mail message with its attachment.
 
-    Every third subject is sent as an encoded header word.
+    Every third subject is sent as an encoded header word. Every sixth message carries the
+    same content a second time, as a part of type PDF.
     """
     flat = flat_messages(docs)
+    number = F.col("message_id").cast("string")
     word = F.concat(F.lit("=?utf-8?B?"), F.base64(F.col("subject").cast("binary")), F.lit("?="))
     subject = F.when(F.col("message_id") % 3 == 0, word).otherwise(F.col("subject"))
-    raw = F.concat(
-        F.lit("From: Billing <"), "sender", F.lit(">\r\nSubject: "), subject,
-        F.lit("\r\nMIME-Version: 1.0\r\nContent-Type: "), "mime_type",
-        F.lit('\r\nContent-Disposition: attachment; filename="'), "filename",
-        F.lit('"\r\nContent-Transfer-Encoding: base64\r\n\r\n'),
-        F.base64(F.col("content").cast("binary")),
+    head = F.concat(F.lit("From: Billing <"), "sender", F.lit(">\r\nSubject: "), subject, F.lit("\r\nMIME-Version: 1.0\r\n"))
+    part = lambda mime, name: F.concat(
+        F.lit("Content-Type: "), mime, F.lit('\r\nContent-Disposition: attachment; filename="'), name,
+        F.lit('"\r\nContent-Transfer-Encoding: base64\r\n\r\n'), F.base64(F.col("content").cast("binary")),
     )
+    first, second = part(F.col("mime_type"), F.col("filename")), part(F.lit("application/pdf"), F.concat(F.lit("copy_"), number, F.lit(".pdf")))
+    border = F.concat(F.lit("\r\n--part-"), number)
+    several = F.concat(
+        head, F.lit('Content-Type: multipart/mixed; boundary="part-'), number, F.lit('"\r\n'), border, F.lit("\r\n"), first, border,
+        F.lit("\r\n"), second, border, F.lit("--\r\n"),
+    )
+    raw = F.when(F.col("message_id") % 6 == 0, several).otherwise(F.concat(head, first))
     return flat.select("message_id", raw.cast("binary").alias("raw"))
 
 

@@ -97,7 +97,7 @@ def test_first_wins(spark, partitions):
 
 def outcome_model(rows, results, stored):
     hashes, keys, out = {h for h, *_ in stored}, {tuple(k) for _, *k in stored}, {}
-    for message_id, idx, content, failed_upload in sorted(rows):
+    for message_id, idx, content, failed_upload, failed_save in sorted(rows):
         h = f"hash-{content}"
         status, *key = results.get(content, ("MISSING", None, None, None))
         known_key = None not in key and tuple(key) in keys
@@ -109,6 +109,8 @@ def outcome_model(rows, results, stored):
             result = "DUPLICATE_KEY"
         elif failed_upload:
             result = "FAILED_UPLOAD"
+        elif failed_save:
+            result = "FAILED_SAVE"
         else:
             result = "INGESTED"
             hashes.add(h)
@@ -121,13 +123,13 @@ def outcome_model(rows, results, stored):
 def test_ingest_outcome(spark, seed):
     rng = random.Random(seed)
     contents = ["hot"] * 12 + [f"c{i}" for i in range(24)]
-    rows = [(m, i, rng.choice(contents), rng.random() < 0.2) for m in range(60) for i in range(rng.randint(1, 3))]
+    rows = [(m, i, rng.choice(contents), rng.random() < 0.2, rng.random() < 0.1) for m in range(60) for i in range(rng.randint(1, 3))]
     results = {
         c: (rng.choice(["OK", "OK", "OK", "FAILED"]), rng.choice(["v1", "v2", None]), rng.choice(["d1", "d2", "d3"]), rng.choice([1, 2, 3]))
         for c in set(contents) - {"c5"}
     }
     stored = [("hash-c1", "v9", "d9", 9), ("hash-x", "v1", "d1", 1)]
-    kept = spark.createDataFrame(rows, "message_id long, idx long, content_key string, upload_failed boolean").withColumn(
+    kept = spark.createDataFrame(rows, "message_id long, idx long, content_key string, upload_failed boolean, save_failed boolean").withColumn(
         "document_hash", F.concat(F.lit("hash-"), "content_key")
     )
     key = "vendor_name string, invoice_date string, total_amount long"
@@ -136,6 +138,10 @@ def test_ingest_outcome(spark, seed):
     got = mail.ingest_outcome(kept, known, old).collect()
     assert len(got) == len(rows)
     assert {(r.message_id, r.idx): r.outcome for r in got} == outcome_model(rows, results, stored)
+    by_hash = known.withColumn("document_hash", F.concat(F.lit("hash-"), "content_key"))
+    assert sorted(map(str, mail.ingest_outcome(kept, by_hash, old).select("message_id", "idx", "outcome").collect())) == sorted(
+        str(r) for r in mail.ingest_outcome(kept, known, old).select("message_id", "idx", "outcome").collect()
+    )
 
 
 def test_rows_of_any_key_are_numbered_like_row_number(spark):
