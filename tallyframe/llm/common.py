@@ -7,6 +7,8 @@ another one wrote, and a lost executor costs a reread, not a recomputation.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -80,6 +82,32 @@ class Scratch:
                 self.spark.sql(f"DROP TABLE IF EXISTS {self.names.pop(label)}")
 
 
+# --- memory ----------------------------------------------------------------------------
+
+
+def release() -> None:
+    """Gives memory that this worker has freed back to the system.
+
+    Spark uses a Python worker again for other functions; without this, one that held a large
+    cache would keep its memory, and those of several stages would add up.
+    """
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def released(run):
+    """Wraps a function over batches so that its worker is small again when the task ends."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        release()
+
+    return wrapped
+
+
 # --- words -----------------------------------------------------------------------------
 
 MIX = np.uint64(0x9E3779B97F4A7C15)

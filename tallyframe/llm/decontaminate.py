@@ -27,13 +27,15 @@ DIMENSIONS passages.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import free_name
+from tallyframe.llm.common import free_name, release, released
 
 BITS = 18  # of the hashed vocabulary whose document frequencies are counted
 WORDS, STEP = 32, 16
@@ -90,7 +92,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         at = np.flatnonzero(df)
         yield pd.DataFrame({"slot": np.append(at, -1), "k": np.append(df[at], n)})
 
-    rows = docs.select("text").mapInPandas(counted, "slot long, k long").groupBy("slot").agg(F.sum("k").alias("k")).toPandas()
+    rows = docs.select("text").mapInPandas(released(counted), "slot long, k long").groupBy("slot").agg(F.sum("k").alias("k")).toPandas()
     df = np.zeros(1 << BITS, np.int64)
     real = rows["slot"] >= 0
     df[rows["slot"][real].to_numpy(np.int64)] = rows["k"][real].to_numpy(np.int64)
@@ -315,7 +317,7 @@ def _fit(index: Index, some: DataFrame) -> None:
             if rows:
                 yield pd.DataFrame({"at": [a for a, _ in rows], "x": [x for _, x in rows]})
 
-    held = some.mapInPandas(gathered, "at array<int>, x array<double>").repartition(FIT_TASKS).persist()
+    held = some.mapInPandas(released(gathered), "at array<int>, x array<double>").repartition(FIT_TASKS).persist()
     own = [index.sparse(n, s) for _, n in index.items for s in starts_of(len(n))]
     mass = held.select(F.sum(F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v))).first()[0] or 0.0
     weight = SAMPLE_WEIGHT * sum(float(x @ x) for _, x in own) / max(mass, 1e-12)
@@ -414,7 +416,7 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
                 if rows:
                     yield pd.DataFrame(rows, columns=["doc_id", "item_id", "cosine", "item_share", "answer_share"])
 
-        return read.mapInPandas(found, schema)
+        return read.mapInPandas(released(found), schema)
 
     out = docs.sparkSession.createDataFrame([], schema)
     passes, ids = indexes(read, benchmark)
@@ -425,13 +427,17 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
 
 def drop_leaking(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, that hold no benchmark item."""
-    out = docs
-    for part in indexes(docs, benchmark, text_col)[0]:
 
-        def leaking(texts: pd.Series, part: list[Index] = part) -> pd.Series:
-            return pd.Series([bool(leaks_of(part, t)) for t in texts], dtype=bool)
+    def flag(part: list[Index]):
+        def leaking(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for texts in batches:
+                yield pd.Series([bool(leaks_of(part, t)) for t in texts], dtype=bool)
+            release()
 
+        return F.pandas_udf(leaking, "boolean", F.PandasUDFType.SCALAR_ITER)
+
+    out = docs
+    for part in indexes(docs, benchmark, text_col)[0]:
         name = free_name(out, "leaks")
-        flag = F.pandas_udf(lambda texts, f=leaking: f(texts), "boolean")
-        out = out.withColumn(name, flag(F.col(text_col))).where(~F.col(name)).drop(name)
+        out = out.withColumn(name, flag(part)(F.col(text_col))).where(~F.col(name)).drop(name)
     return out

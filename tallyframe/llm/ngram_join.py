@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import Scratch, components, free_name, hash_bitmap, in_bitmap, window_hashes, word_hashes
+from tallyframe.llm.common import Scratch, components, free_name, hash_bitmap, in_bitmap, released, window_hashes, word_hashes
 
 WORDS = 5
 PERCENT = 75
@@ -114,9 +114,9 @@ def _sketches(docs: DataFrame, words: int, percent: int) -> DataFrame:
                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)),
                 ],
                 names=["doc", "n", "cls", "prefix"],
-            )
+            ).append_column("key", batch.column(2))
 
-    return docs.mapInArrow(sketch, "doc long, n long, cls long, prefix array<long>")
+    return docs.mapInArrow(released(sketch), "doc long, n long, cls long, prefix array<long>, key long")
 
 
 def _met_rows(sketches: DataFrame, bitmap: np.ndarray) -> DataFrame:
@@ -154,7 +154,7 @@ def _sets(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
             )
 
     read = docs.where("doc IS NOT NULL").withColumn("slot", F.xxhash64("doc"))
-    found = read.mapInArrow(sets, "doc long, cls long, set array<long>")
+    found = read.mapInArrow(released(sets), "doc long, cls long, set array<long>")
     return members.join(found, ["doc", "cls"]).dropDuplicates(["cls"])
 
 
@@ -246,9 +246,9 @@ def _linked(scratch: Scratch, docs: DataFrame, sketches: DataFrame, words: int,
 
 
 def ngram_jaccard_join(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, key: str | None = None
 ) -> DataFrame:
-    """One row per row of ``docs``: its id, n_shingles, component_id and class_id.
+    """One row per row of ``docs``: its id, n_shingles, component_id and class_id, and its text's xxhash64 if ``key`` names it.
 
     Two rows link when 100 * common shingles >= percent * all shingles of both;
     component_id is the smallest id reachable by links, class_id the smallest id with the
@@ -260,7 +260,7 @@ def ngram_jaccard_join(
     spark = docs.sparkSession
     scratch = Scratch(spark)
     read = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("binary").alias("text"))
-    sketches = scratch.keep(_sketches(read, words, percent), "sketches")
+    sketches = scratch.keep(_sketches(read.withColumn("key", F.xxhash64("text")), words, percent), "sketches")
     links = _linked(scratch, read, sketches, words, percent)
     found = components(scratch, links).withColumnRenamed("node", "cls")
 
@@ -269,9 +269,10 @@ def ngram_jaccard_join(
     least = groups.groupBy("component").agg(F.min("class_id").alias("component_id"))
     groups = scratch.keep(groups.join(least, "component").select("cls", "class_id", "component_id"), "groups")
     out = scratch.keep(
-        sketches.select("doc", "n", "cls").join(groups, "cls", "left").select(
+        sketches.select("doc", "n", "cls", "key").join(groups, "cls", "left").select(
             F.col("doc").alias(id_col), F.col("n").alias("n_shingles"),
             F.coalesce("component_id", "doc").alias("component_id"), F.coalesce("class_id", "doc").alias("class_id"),
+            *([F.col("key").alias(key)] if key else []),
         ),
         "out",
     )
@@ -283,14 +284,15 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """The rows of ``docs``, with all their columns, without copies: of each group of linked rows, one with its smallest id.
 
     Rows without shingles link with nothing and all stay, as do rows with a null id,
-    which no group can be named after. Of repeated rows, one stays.
+    which no group can be named after. A row goes by its id and text, so another text that
+    shares the id is judged on its own. Of repeated rows, one stays.
     """
-    joined = ngram_jaccard_join(docs, id_col, text_col, words, percent)
-    lost = joined.where(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias("lost")).distinct()
-    kept = docs.join(lost, F.col(id_col).cast("long") == F.col("lost"), "left_anti")
-    # Rows of one id that all stay are copies of each other, or share the id by chance: equal texts are one.
     again = free_name(docs, "text_hash")
-    named = kept.where(F.col(id_col).isNotNull() & F.col(text_col).rlike("[^\\x20\\x09-\\x0D]")).withColumn(again, F.xxhash64(text_col))
-    return named.dropDuplicates([id_col, again]).drop(again).unionByName(
-        kept.where(F.col(id_col).isNull() | ~F.coalesce(F.col(text_col).rlike("[^\\x20\\x09-\\x0D]"), F.lit(False)))
-    )
+    keyed = docs.withColumn(again, F.xxhash64(F.col(text_col).cast("binary")))
+    lost_id, lost_key = free_name(keyed, "lost"), free_name(keyed, "lost_text")
+    joined = ngram_jaccard_join(docs.select(id_col, text_col), id_col, text_col, words, percent, key=lost_key)
+    lost = joined.where(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias(lost_id), lost_key).distinct()
+    kept = keyed.join(lost, (F.col(id_col).cast("long") == F.col(lost_id)) & (F.col(again) == F.col(lost_key)), "left_anti")
+    # Rows of one id that all stay are copies of each other, or share the id by chance: equal texts are one.
+    some = F.col(id_col).isNotNull() & F.coalesce(F.col(text_col).rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
+    return kept.where(some).dropDuplicates([id_col, again]).unionByName(kept.where(~some)).drop(again)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import Scratch
+from tallyframe.llm.common import Scratch, released
 
 TOKENS = 4096
 GROUP = 8192  # expected items that one task packs together
@@ -146,7 +146,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, size: int = TOKENS) -> Da
                 names=["doc", "piece", "start", "length", "crc", "ids"],
             )
 
-    return docs.select("doc", "text").mapInArrow(cut, f"doc {kind}, piece int, start long, length long, crc long, ids binary")
+    return docs.select("doc", "text").mapInArrow(released(cut), f"doc {kind}, piece int, start long, length long, crc long, ids binary")
 
 
 def best_fit(demand: np.ndarray, capacity: np.ndarray, weights: np.ndarray, rule: str = "norm") -> np.ndarray:

@@ -11,19 +11,21 @@ over the whole text of every row.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import fold_of, free_name, mixed
+from tallyframe.llm.common import fold_of, free_name, mixed, release, released
 from tallyframe.llm.training import SAMPLE_ROWS, Ftrl, labelled_sample, sigmoid
 
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.3
 EPOCHS = 4
-CACHE_WORDS = 200_000
+CACHE_WORDS, CACHE_BYTES = 200_000, 16 << 20
 BIAS = 0  # the feature every text has
 _AROUND = re.compile(r"^(\W*)(.*?)(\W*)$", re.DOTALL)
 
@@ -38,11 +40,15 @@ def word_shape(word: str) -> str:
 
 
 class Words(dict):
-    """word -> (hash of the word, hash of its shape); emptied when it has grown to CACHE_WORDS."""
+    """word -> (hash of the word, hash of its shape); emptied when it has grown to CACHE_WORDS or its words to CACHE_BYTES."""
+
+    size = 0
 
     def __missing__(self, word: str) -> tuple[int, int]:
-        if len(self) >= CACHE_WORDS:
+        self.size += len(word)
+        if len(self) >= CACHE_WORDS or self.size >= CACHE_BYTES:
             self.clear()
+            self.size = len(word)
         h = xxhash.xxh3_64_intdigest
         found = self[word] = h(word.lower()), h(word_shape(word), 7)
         return found
@@ -75,41 +81,65 @@ def features(text: str | None, words: Words) -> tuple[np.ndarray, np.ndarray]:
     return name[order], value[order]
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray, float]], alpha: float = 0.5, l1: float = 0.05, l2: float = 0.01) -> tuple[np.ndarray, np.ndarray]:
-    """Names and weights, without zeros, of a model for rows of (names, values, label); rows are taken in a fixed order."""
-    if not rows:
+def fit(names: np.ndarray, values: np.ndarray, ends: np.ndarray, y: np.ndarray, alpha: float = 0.5, l1: float = 0.05, l2: float = 0.01) -> tuple[np.ndarray, np.ndarray]:
+    """Names and weights, without zeros, of a model for rows laid end to end, row k from ends[k] to ends[k + 1]; they are taken in a fixed order."""
+    if not len(y):
         return np.empty(0, np.uint64), np.empty(0)
-    names, at = np.unique(np.concatenate([r[0] for r in rows]), return_inverse=True)
-    ends = np.cumsum([0, *(len(r[0]) for r in rows)])
-    model = Ftrl(len(names), alpha, 1.0, l1, l2)
+    known, at = np.unique(names, return_inverse=True)
+    at = at.astype(np.int32)
+    model = Ftrl(len(known), alpha, 1.0, l1, l2)
     order = np.random.default_rng(1)
     for _ in range(EPOCHS):
-        for k in order.permutation(len(rows)):
-            i, x = at[ends[k] : ends[k + 1]], rows[k][1]
+        for k in order.permutation(len(y)):
+            i, x = at[ends[k] : ends[k + 1]], values[ends[k] : ends[k + 1]].astype(np.float64)
             w = model.weights(i)
-            model.update(i, (sigmoid(float(w @ x)) - rows[k][2]) * x, w)
+            model.update(i, (sigmoid(float(w @ x)) - y[k]) * x, w)
     w = model.weights()
     used = np.flatnonzero(w)
-    return names[used], w[used]
+    return known[used], w[used]
+
+
+PIECE = 64  # rows handed on together
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = FOLDS, held_out: int = HELD_OUT, rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """The fitted model, whose size is bounded by the sample's."""
+    """The fitted model, whose size is bounded by the sample's.
+
+    Features reach the one task that fits the model in small pieces and are held there as
+    packed arrays, about 12 bytes a feature.
+    """
 
     def described(batches):
         words = Words()
-        for pdf in batches:
-            both = [features(t, words) for t in pdf["text"]]
-            yield pd.DataFrame({"doc": pdf["doc"], "y": pdf["y"], "names": [n.view(np.int64) for n, _ in both], "x": [v.astype(np.float32) for _, v in both]})
-
-    def fitted(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("doc")
-        names, w = fit([(n.view(np.uint64), v.astype(np.float64), y) for n, v, y in zip(pdf["names"], pdf["x"], pdf["y"])])
-        return pd.DataFrame({"name": names.view(np.int64), "w": w})
-
-    sample = labelled_sample(docs, labels, label, folds, held_out, rows)
-    found = sample.mapInPandas(described, "doc long, y double, names array<long>, x array<float>")
-    model = found.groupBy().applyInPandas(fitted, "name long, w double").toPandas().sort_values("name", key=lambda s: s.to_numpy().view(np.uint64))
+        for batch in batches:
+            for start in range(0, batch.num_rows, PIECE):
+                part = batch.slice(start, PIECE)
+                both = [features(t, words) for t in part.column(2).to_pylist()]
+                cut = pa.array(np.cumsum([0, *(len(n) for n, _ in both)]), pa.int32())
+                name = pa.array(np.concatenate([n for n, _ in both]).view(np.int64))
+                value = pa.array(np.concatenate([v for _, v in both]).astype(np.float32))
+                lists = [pa.ListArray.from_arrays(cut, c) for c in (name, value)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *lists], names=["doc", "y", "names", "x"])
+
+    def fitted(batches):
+        names, values, sizes, y = [], [], [], []
+        for batch in batches:
+            names.append(batch.column(2).flatten().to_numpy().view(np.uint64).copy())
+            values.append(batch.column(3).flatten().to_numpy().copy())
+            sizes.append(batch.column(2).value_lengths().to_numpy())
+            y.append(batch.column(1).to_numpy())
+        if not y:
+            return
+        ends = np.concatenate([[0], np.cumsum(np.concatenate(sizes), dtype=np.int64)])
+        packed = np.concatenate(names), np.concatenate(values)
+        names, values = None, None
+        name, w = fit(*packed, ends, np.concatenate(y))
+        yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(w)], names=["name", "w"])
+
+    sample = labelled_sample(docs, labels, label, folds, held_out, rows).select("doc", "y", "text")
+    found = sample.mapInArrow(released(described), "doc long, y double, names array<long>, x array<float>")
+    in_order = found.repartition(1).sortWithinPartitions("doc")
+    model = in_order.mapInArrow(released(fitted), "name long, w double").toPandas().sort_values("name", key=lambda s: s.to_numpy().view(np.uint64))
     return model["name"].to_numpy(np.int64).view(np.uint64), model["w"].to_numpy(np.float64)
 
 
@@ -117,18 +147,20 @@ def scorer(model: tuple[np.ndarray, np.ndarray]):
     """A column function: text -> score from 0 to 1."""
     names, weights = model
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         words = Words()
-        out = np.empty(len(texts))
-        for k, text in enumerate(texts):
-            name, x = features(text, words)
-            at = np.minimum(np.searchsorted(names, name), max(len(names) - 1, 0))
-            hit = names[at] == name if len(names) else np.zeros(len(name), bool)
-            out[k] = sigmoid(float(weights[at[hit]] @ x[hit]))
-        return pd.Series(out)
-
-    return score
+        for texts in batches:
+            out = np.empty(len(texts))
+            for k, text in enumerate(texts):
+                name, x = features(text, words)
+                at = np.minimum(np.searchsorted(names, name), max(len(names) - 1, 0))
+                hit = names[at] == name if len(names) else np.zeros(len(name), bool)
+                out[k] = sigmoid(float(weights[at[hit]] @ x[hit]))
+            yield pd.Series(out)
+        words.clear()
+        release()
+
+    return F.pandas_udf(score, "double", F.PandasUDFType.SCALAR_ITER)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
