@@ -117,6 +117,16 @@ def test_many_texts_lie_in_few_files(spark, tmp_path):
     assert len({r.path for r in found}) == len(want)
 
 
+def test_deep_payloads_take_few_passes(spark, monkeypatch):
+    passes = []
+    monkeypatch.setattr(reports, "stored", lambda df, name: passes.append(name) or df)
+    text = '{"a":{"b":{"c":{"d":{"e":{"f":[{"g":1}]}}},"n":null,"":{"x":2}}},"s":"{}","o":{}}'
+    df = spark.createDataFrame([(1, text), (2, "no"), (3, None)], "id long, ai_raw_data string")
+    got = {(r.invoice_id, r.path): r.value for r in reports.ai_flattened_long(df).collect()}
+    assert got == {(1, "a.b.c.d.e.f"): '[{"g":1}]', (1, "a.b.n"): None, (1, "a.b..x"): "2", (1, "s"): "{}"}
+    assert len(passes) == 2
+
+
 def test_intake_stream_sees_each_message_once(spark, messages, tmp_path):
     source, out, mark = f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/cp"
     messages.coalesce(1).write.parquet(source)
