@@ -26,14 +26,55 @@ def _whole(rows: DataFrame, *columns: str) -> DataFrame:
     return ops.whole_results(rows.select("id", "part", "parse_status", *columns))
 
 
+# the payloads as they are written: keys in their order, no digit dropped, lines in parts
+_RAW = {
+    "raw_line": r"""
+SELECT invoice_id, (line_number - 1) // 10000 AS part, line_number, concat('{"line_number":', line_number, ',"description":', g(CAST(to_json(description) AS varchar)),
+  ',"quantity":', g(CAST(quantity AS varchar)), ',"unit_price":', g(CAST(unit_price AS varchar)), ',"total_price":', g(CAST(total_price AS varchar)),
+  ',"sku":', g(concat('"L-', invoice_id, '-', line_number, '"')), '}') AS line FROM (SELECT *, invoice_id % 7 = 0 AS bare FROM lines) l""",
+    "raw_part": """
+SELECT invoice_id, part, string_agg(line, ',' ORDER BY line_number) AS items FROM raw_line GROUP BY invoice_id, part""",
+    "raw_payload": r"""
+SELECT id, coalesce(part, 0) AS part, src_key, concat('{', CASE WHEN coalesce(part, 0) = 0 THEN concat('"vendor_name":', g(CAST(to_json(vendor_name) AS varchar)),
+    ',"invoice_date":', g(CAST(to_json(invoice_date) AS varchar)), ',"currency":', g(CAST(to_json(currency) AS varchar)), ',"total_amount":', g(CAST(total_amount AS varchar)), ',') ELSE '' END,
+  '"line_items":[', coalesce(items, ''), ']', CASE WHEN coalesce(part, 0) = 0 THEN concat(CASE WHEN src_key % 17 = 0 THEN ',"overall_confidence":null'
+    WHEN src_key % 19 <> 0 THEN concat(',"overall_confidence":', CAST(confidence_score AS varchar)) ELSE '' END,
+    ',"explanations":{"vendor_name":"Top left","invoice_date":"Next to label","total_amount":"Last line"},"layout":{"page":{"area":{"corner":{"top":{"left":{"x":', src_key % 100, '}}}}}}') ELSE '' END, '}') AS text
+FROM (SELECT *, src_key % 7 = 0 AS bare FROM inv) i LEFT JOIN raw_part ON invoice_id = src_key""",
+}
+
+
+def _raw_tables() -> dict[str, str]:
+    """``g(value)``: the value as it is, or as {value, confidence}; null text counts as null."""
+    out = {}
+    for name, body in _RAW.items():
+        while (at := body.find(" g(")) >= 0:
+            end, depth = at + 3, 1
+            while depth:
+                depth += {"(": 1, ")": -1}.get(body[end], 0)
+                end += 1
+            value = f"coalesce({body[at + 3 : end - 1]}, 'null')"
+            body = f"""{body[:at]} CASE WHEN bare THEN {value} ELSE concat('{{"value":', {value}, ',"confidence":0.9}}') END{body[end:]}"""
+        out[name] = body
+    return out
+
+
 @query(
     "strip_fences",
-    """SELECT conv_id, turn, replace(replace(regexp_replace(concat('  ```json', chr(10), text, chr(10), '``` '), '^\\s+|\\s+$', '', 'g'), '```json', ''), '```', '') AS payload
-FROM conversations""",
+    with_tables(
+        """SELECT 'conversation' AS source, conv_id AS id, CAST(turn AS bigint) AS part, replace(replace(regexp_replace(concat('  ```json', chr(10), text, chr(10), '``` '), '^\\s+|\\s+$', '', 'g'), '```json', ''), '```', '') AS payload
+FROM conversations
+UNION ALL SELECT 'invoice', id, part, CASE WHEN src_key % 53 = 0 THEN concat('{', text) WHEN src_key % 11 = 0 THEN concat(chr(10), text, chr(10)) ELSE text END FROM raw_payload""",
+        **_raw_tables(),
+    ),
 )
 def _strip(spark: SparkSession, sf: str) -> DataFrame:
     answer = F.concat(F.lit("  ```json\n"), "text", F.lit("\n``` "))
-    return derived.table(spark, sf, "conversations").select("conv_id", "turn", ops.strip_fences(answer).alias("payload"))
+    turns = derived.table(spark, sf, "conversations").select(
+        F.lit("conversation").alias("source"), F.col("conv_id").alias("id"), F.col("turn").cast("long").alias("part"), ops.strip_fences(answer).alias("payload")
+    )
+    results = _payloads(spark, sf).select(F.lit("invoice").alias("source"), "id", "part", ops.strip_fences(F.col("payload")).alias("payload"))
+    return turns.unionByName(results)
 
 
 @query("parse_payload", with_tables("SELECT id, CASE WHEN bad THEN 'FAILED' ELSE 'OK' END AS parse_status FROM payload"))

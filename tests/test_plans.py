@@ -98,3 +98,9 @@ def test_top_lists_keep_k_rows_per_task(spark, sf_dir):
     inv = derived.invoices(spark, sf_dir)
     assert "WindowGroupLimit" in plan_of(metrics.recent_by_source(inv))
     assert "TakeOrderedAndProject" in plan_of(metrics.top_vendors(inv))
+
+
+def test_fences_are_stripped_from_every_payload(spark, sf_dir):
+    rows = QUERIES["strip_fences"].build(spark, sf_dir).filter("source = 'invoice'")
+    assert rows.count() == derived.invoice_status(spark, sf_dir).count()
+    assert rows.filter("payload LIKE '%```%' OR payload NOT LIKE '%line_items%'").isEmpty()
