@@ -134,12 +134,14 @@ class Index:
         at = self.columns(name)
         return at[at >= 0], x[at >= 0] / max(np.sqrt(x @ x), 1e-12)
 
-    def project(self, names: np.ndarray, least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    def project(self, names: np.ndarray, least: float = 0.0, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Starts and latent vectors, as a share of their whole length, of the passages with at least that share in the vocabulary."""
         start = starts_of(len(names))
-        at, w = self.columns(names), self.weights(names)
+        at, w = self.columns(names) if at is None else at, self.weights(names)
         if least:
             start = self._possible(w, at, start, least)
+        if not len(start):  # most texts hold nothing like an item
+            return start, np.empty((0, self.basis.shape[1]), np.float32)
         whole, inner = self._lengths(names, w, at >= 0, start)
         some = inner >= least * whole
         start, whole = start[some], whole[some]
@@ -166,9 +168,9 @@ class Index:
     def _lengths(self, names: np.ndarray, w: np.ndarray, inside: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Lengths of the passages' vectors, whole and in the vocabulary only."""
         size = min(WORDS, len(names))
-        cut = lambda x: np.lib.stride_tricks.sliding_window_view(x, size)[start]
-        order = np.argsort(cut(names), axis=1)
-        view, own, known = (np.take_along_axis(cut(x), order, 1) for x in (names, w, inside))
+        cut = start[:, None] + np.arange(size)
+        order = np.take_along_axis(cut, np.argsort(names[cut], axis=1), 1)
+        view, own, known = names[order], w[order], inside[order]
         # A word that stands c times adds (c * idf)^2: its k-th copy adds (2k - 1) * idf^2.
         fresh = np.concatenate([np.ones((len(view), 1), bool), view[:, 1:] != view[:, :-1]], axis=1)
         place = np.arange(size)
@@ -227,11 +229,15 @@ class Index:
             return []
         best: dict[int, float] = {}
         places: dict[int, list[int]] = {}
+        column = self.columns(names)
         if len(names) < 1 << 15:
-            blocks = [self.project(names, COSINE)]
+            blocks = [self.project(names, COSINE, column)]
         else:  # very long texts, by overlapping stretches, so that memory is bounded
-            blocks = [(s + k, x) for k in range(0, len(names), 1 << 14) for s, x in [self.project(names[k : k + (1 << 14) + WORDS], COSINE)]]
+            ends = [(k, k + (1 << 14) + WORDS) for k in range(0, len(names), 1 << 14)]
+            blocks = [(s + a, x) for a, b in ends for s, x in [self.project(names[a:b], COSINE, column[a:b])]]
         for start, x in blocks:
+            if not len(start):
+                continue
             near = x @ self.queries.T
             rows, cols = np.nonzero(near >= COSINE)
             for r, c in zip(rows.tolist(), cols.tolist()):
@@ -239,7 +245,6 @@ class Index:
                 best[k] = max(best.get(k, 0.0), float(near[r, c]))
                 places.setdefault(k, []).append(int(start[r]))
         if len(self.rare):
-            column = self.columns(names)
             for p in np.flatnonzero((column >= 0) & self.has_rare[column]).tolist():
                 for r in range(*np.searchsorted(self.rare, [column[p], column[p] + 1])):
                     k = int(self.rare_item[r])

@@ -73,3 +73,14 @@ def test_a_very_long_item_is_searched_in_pieces(spark):
     other = [f"v{v}" for v in g.integers(0, 30_000, 500)]
     docs = spark.createDataFrame([(1, " ".join(other + words[:7000])), (2, " ".join(other))], "doc_id long, text string")
     assert {(r["doc_id"], r["item_id"]) for r in D.benchmark_leaks(docs, benchmark).collect()} == {(1, 1)}
+
+
+def test_passages_are_measured_only_where_an_item_is_possible(monkeypatch):
+    item = D.names_of(" ".join(f"q{k}" for k in range(60)))
+    index = D.Index([(0, item)], np.ones(1 << D.BITS))
+    index.finish(np.zeros((len(index.vocabulary), 0)))
+    measured, lengths = [], index._lengths
+    monkeypatch.setattr(index, "_lengths", lambda *a: measured.append(a) or lengths(*a))
+    assert D.leaks_of([index], " ".join(f"w{k}" for k in range(500))) == [] and not measured
+    found = D.leaks_of([index], " ".join([*(f"w{k}" for k in range(100)), *(f"q{k}" for k in range(60)), *(f"w{k}" for k in range(100))]))
+    assert [f[0] for f in found] == [0] and found[0][2:] == (1.0, 1.0)
