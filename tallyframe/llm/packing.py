@@ -15,6 +15,7 @@ joins characters across white space, so a text's ids are its words' ids in a row
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -29,8 +30,10 @@ from tallyframe.llm.common import Scratch, released
 TOKENS = 4096
 GROUP = 8192  # expected items that one task packs together
 CACHE_WORDS = 400_000
+PARTS = 20_000  # of words with marks or digits, kept apart
 CHUNK_CHARACTERS = 100_000  # of texts whose words are in memory at a time
 _MARKS = re.compile(r"(?:[^\w\s]|_)[.,] ")
+_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)  # the tokenizer's rule, in lower-case ASCII
 END = np.uint32(1).tobytes()
 NEARLY_FULL = 0.995  # bins above this share of tokens are not packed again
 ROUNDS = 4
@@ -52,6 +55,9 @@ class WordIds(dict):
         self.old, self.old_table = {}, []
         size = self.tokenizer.get_vocab_size()
         self.ends = np.array([(self.tokenizer.id_to_token(k) or "").endswith("</w>") for k in range(size)])
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.special = re.compile("|".join(re.escape(x.content) for x in added) or "(?!)", re.IGNORECASE)
+        self.parts, self.encode = {}, self.tokenizer.model.tokenize
 
     def __missing__(self, word: str) -> int:
         place = self[word] = len(self.table)
@@ -63,6 +69,7 @@ class WordIds(dict):
 
     def learn(self) -> None:
         words, self.new = self.new, []
+        words = [w for w in words if not self._in_parts(w)]
         plain = [w for w in words if w.isalpha()]
         if plain:  # letters only are one part for the tokenizer, so one text of them can be cut at word ends
             ids = np.array(self._ids([" ".join(plain)])[0], np.uint32)
@@ -75,6 +82,31 @@ class WordIds(dict):
         for w, x in zip(words, self._ids(words)):
             self.table[self[w]] = np.array(x, np.uint32).tobytes()
 
+    def _in_parts(self, word: str) -> bool:
+        """Learns a word of printable ASCII from its parts, which the tokenizer's model takes one by one; False for others."""
+        if not word.isascii():
+            return False
+        if word.isalpha():
+            ids = self._part(word.lower())
+        elif word.isprintable() and not self.special.search(word):
+            ids = b"".join(map(self._known_part, _PARTS.findall(word.lower())))
+        else:
+            return False
+        self.table[self[word]] = ids
+        return True
+
+    def _known_part(self, part: str) -> bytes:
+        ids = self.parts.get(part)
+        if ids is None:
+            if len(self.parts) >= PARTS:
+                self.parts.clear()
+            ids = self.parts[part] = self._part(part)
+        return ids
+
+    def _part(self, part: str) -> bytes:
+        ids = [x.id for x in self.encode(part)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 

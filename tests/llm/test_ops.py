@@ -18,7 +18,7 @@ from tallyframe.llm.html_extraction import aligned, extract_main_text, main_slot
 from tallyframe.llm.licenses import license_scan
 from tallyframe.llm.line_dedup import line_dedup
 from tallyframe.llm.ngram_join import ngram_jaccard_join, one_of_each_group
-from tallyframe.llm.packing import best_fit, best_fit_packing
+from tallyframe.llm.packing import WordIds, best_fit, best_fit_packing
 from tallyframe.llm.quality import drop_low_quality, quality_scores
 from tallyframe.llm.substring_dedup import substring_dedup
 from tallyframe.llm.toxicity import toxicity_scores
@@ -127,6 +127,22 @@ def test_quantisation_bound_holds():
         assert abs(exact - su * sv * (qu.astype(int) @ qv.astype(int))) <= eu + (1 + eu) * ev + 1e-9
 
 
+def test_ascii_words_are_learned_from_parts(monkeypatch):
+    """The whole tokenizer, which is slow for single words, gets only words beyond printable ASCII."""
+    from tokenizers import Tokenizer
+
+    texts = [
+        "It's WE'LL 12,345.67e-8 __init__ a1b2 ''s $$$ x'llama plain", "caf\u00e9 \x1cx\x7f stra\u00dfe", "<|endoftext|> a <|END|> 'Re", "</w> a</w>b 3\u00bd",
+    ]
+    tokenizer, asked = Tokenizer.from_file(Q.tokenizer_path()), []
+    words = WordIds(Q.tokenizer_path())
+    ids_of = words._ids
+    monkeypatch.setattr(words, "_ids", lambda part: asked.extend(part) or ids_of(part))
+    got = words.texts(texts)
+    assert got == [np.array(tokenizer.encode(t, add_special_tokens=False).ids, np.uint32).tobytes() for t in texts]
+    assert not any(w.isascii() and w.isprintable() and "<|" not in w for part in asked for w in part.split(" ") if w)
+
+
 def test_packing_round_trip(spark, sf_dir):
     from tokenizers import Tokenizer
 
