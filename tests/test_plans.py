@@ -7,7 +7,8 @@ import re
 import pytest
 
 from tallyframe import session
-from tallyframe.operators import mail, metrics, validation
+from tallyframe.operators import mail, metrics, reports, validation
+from tallyframe.plans import reporting
 from tallyframe.plans.registry import all_queries
 from tallyframe.sources import derived
 
@@ -104,3 +105,17 @@ def test_fences_are_stripped_from_every_payload(spark, sf_dir):
     rows = QUERIES["strip_fences"].build(spark, sf_dir).filter("source = 'invoice'")
     assert rows.count() == derived.invoice_status(spark, sf_dir).count()
     assert rows.filter("payload LIKE '%```%' OR payload NOT LIKE '%line_items%'").isEmpty()
+
+
+def test_flattened_payloads_are_read_once(spark, tmp_path, written):
+    df = spark.createDataFrame([(1, '{"a": {"b": 1}}'), (2, None), (None, '{"a": {"b": 2}}')], "id long, ai_raw_data string")
+    df.write.parquet(f"{tmp_path}/given")
+    wide = reports.ai_flattened(spark.read.parquet(f"{tmp_path}/given"))
+    assert sum(scans(p, "given") for p in [*written, plan_of(wide)]) == 1
+    assert sorted(map(tuple, wide.collect()), key=str) == [(1, "1"), (2, None), (None, None)]
+
+
+def test_export_works_payloads_out_once(spark, sf_dir, written):
+    tables = reporting.transparency(spark, sf_dir)
+    plans = [*written, *map(plan_of, tables.values())]
+    assert sum("collect_list" in p for p in plans) == 1  # lines gathered to payloads
