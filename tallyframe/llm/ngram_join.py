@@ -120,17 +120,18 @@ def _sketches(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
 
 def _met_rows(sketches: DataFrame, bitmap: np.ndarray) -> DataFrame:
-    """Rows (cls, n, s) of the sketches whose region is in the bitmap."""
+    """Rows (cls, n, doc, s) of the sketches with an id whose region is in the bitmap."""
 
     def met(batches):
         for batch in batches:
-            size = np.diff(batch.column(2).offsets.to_numpy())
-            s = batch.column(2).flatten().to_numpy()
+            size = np.diff(batch.column(3).offsets.to_numpy())
+            s = batch.column(3).flatten().to_numpy()
             hit = in_bitmap(s, bitmap)
-            columns = [np.repeat(batch.column(k).to_numpy(), size)[hit] for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*columns, s[hit])], names=["cls", "n", "s"])
+            columns = [np.repeat(batch.column(k).to_numpy(), size)[hit] for k in (0, 1, 2)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*columns, s[hit])], names=["cls", "n", "doc", "s"])
 
-    return sketches.where("cls IS NOT NULL").select("cls", "n", "prefix").mapInArrow(met, "cls long, n long, s long")
+    given = sketches.where("cls IS NOT NULL AND doc IS NOT NULL").select("cls", "n", "doc", "prefix")
+    return given.mapInArrow(met, "cls long, n long, doc long, s long")
 
 
 def _sets(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
@@ -196,16 +197,15 @@ def _regions(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _linked(scratch: Scratch, docs: DataFrame, sketches: DataFrame, words: int, percent: int) -> DataFrame:
-    """All linked pairs (a, b) of classes that components need."""
+    """Pairs (a, b) of classes with the components of all linked pairs: linked themselves, or a class and the least of its component."""
     rows = sketches.where("cls IS NOT NULL").select("cls", F.explode("prefix").alias("s"))
     met = rows.groupBy("s").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi")
     met = scratch.keep(met, "met")
     # Only rows that may lie in a region of several are dealt out and counted.
     meeting = _met_rows(sketches, hash_bitmap(met, "s")).join(met.select("s"), "s")
-    meeting = meeting.groupBy("cls").agg(F.countDistinct("s").alias("k"), F.max("n").alias("n"))
-    wanted = meeting.where(F.col("k") >= least_met(F.col("n"), percent)).select("cls")
-    one = sketches.where("cls IS NOT NULL AND doc IS NOT NULL").groupBy("cls").agg(F.min("doc").alias("doc"))
-    sets = scratch.keep(_sets(docs, scratch.keep(wanted.join(one, "cls"), "members"), words), "sets")
+    meeting = meeting.groupBy("cls").agg(F.countDistinct("s").alias("k"), F.max("n").alias("n"), F.min("doc").alias("doc"))
+    wanted = meeting.where(F.col("k") >= least_met(F.col("n"), percent)).select("cls", "doc")
+    sets = scratch.keep(_sets(docs, scratch.keep(wanted, "members"), words), "sets")
 
     regions = scratch.keep(_regions(sets, percent), "regions")
     first = regions.groupBy("g").agg(F.max(F.struct("typ", "cls"))["cls"].alias("p"))
@@ -218,6 +218,8 @@ def _linked(scratch: Scratch, docs: DataFrame, sketches: DataFrame, words: int,
     open_ = far.groupBy("g").agg(F.count("*").alias("k"), F.max(F.when(~F.col("l1"), F.struct("typ", "cls")))["cls"].alias("p"))
     # Open: some member is not linked with the pivot, and there are others to link it with.
     rest = scratch.keep(far.join(open_.where("p IS NOT NULL AND k > 1"), "g"), "rest")
+    if rest.isEmpty():
+        return near.where("linked").select("a", "b")
     second = rest.where("p <> cls").select(*_pair("p", "cls")).distinct()
     near2 = scratch.keep(_measured(second, sets, percent), "near2")
 
@@ -228,6 +230,9 @@ def _linked(scratch: Scratch, docs: DataFrame, sketches: DataFrame, words: int,
     last = last.select("g", "cls", "n", "shared", "rank", "i1", F.col("common").alias("i2"), F.coalesce("component", "cls").alias("c"))
     several = last.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("g")
     last = scratch.keep(last.join(several, "g"), "last")
+    stars = known.select(F.col("cls").alias("a"), F.col("component").alias("b"))
+    if last.isEmpty():
+        return stars
     x, y = last.alias("x"), last.alias("y")
     # x and y have at most min(|x & p|, |y & p|) shingles of a pivot p in common, and of the others at
     # most as many as the one with fewer shares with any document: the triangle inequality, made tight.
@@ -240,9 +245,7 @@ def _linked(scratch: Scratch, docs: DataFrame, sketches: DataFrame, words: int,
         .select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
     )
     third = scratch.keep(third, "third")
-    near3 = _measured(third, sets, percent)
-    links = near.unionByName(near2).unionByName(near3).where("linked").select("a", "b")
-    return scratch.keep(links, "links")
+    return stars.unionByName(_measured(third, sets, percent).where("linked").select("a", "b"))
 
 
 def ngram_jaccard_join(
