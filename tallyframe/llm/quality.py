@@ -81,12 +81,20 @@ def features(text: str | None, words: Words) -> tuple[np.ndarray, np.ndarray]:
     return name[order], value[order]
 
 
+def numbered(names: np.ndarray, piece: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct names, ascending, and the place of each name among them, found piece by piece to hold little at once."""
+    known = np.unique(names)
+    at = np.empty(len(names), np.int32)
+    for start in range(0, len(names), piece):
+        at[start : start + piece] = np.searchsorted(known, names[start : start + piece])
+    return known, at
+
+
 def fit(names: np.ndarray, values: np.ndarray, ends: np.ndarray, y: np.ndarray, alpha: float = 0.5, l1: float = 0.05, l2: float = 0.01) -> tuple[np.ndarray, np.ndarray]:
     """Names and weights, without zeros, of a model for rows laid end to end, row k from ends[k] to ends[k + 1]; they are taken in a fixed order."""
     if not len(y):
         return np.empty(0, np.uint64), np.empty(0)
-    known, at = np.unique(names, return_inverse=True)
-    at = at.astype(np.int32)
+    known, at = numbered(names)
     model = Ftrl(len(known), alpha, 1.0, l1, l2)
     order = np.random.default_rng(1)
     for _ in range(EPOCHS):
@@ -131,9 +139,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int
         if not y:
             return
         ends = np.concatenate([[0], np.cumsum(np.concatenate(sizes), dtype=np.int64)])
-        packed = np.concatenate(names), np.concatenate(values)
-        names, values = None, None
-        name, w = fit(*packed, ends, np.concatenate(y))
+        names = np.concatenate(names)
+        values = np.concatenate(values)
+        name, w = fit(names, values, ends, np.concatenate(y))
         yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(w)], names=["name", "w"])
 
     sample = labelled_sample(docs, labels, label, folds, held_out, rows).select("doc", "y", "text")
