@@ -7,7 +7,9 @@ difference from a point amid the centroids: what all centroids have in common ca
 which leaves intervals narrow enough to decide. Their sums over the dimensions surely hold
 the centroid's squared distance less that of the point. Where one centroid's interval lies
 below all others, the cells alone decide. Only vectors whose intervals overlap are fetched
-in full, and compared with the centroids still possible.
+in full, and compared with the centroids still possible. Tasks are sent the centroids and
+the cells' ends and work the tables out themselves: tables of megabytes would be written to
+the disk of the driver and of every executor for each function of each round.
 
 A round needs the sums of the vectors of each cluster. They are carried on: only vectors
 that may have changed their cluster since the round before are fetched and add to one sum
@@ -32,6 +34,7 @@ CENTROIDS, ROUNDS, SEED = 8, 10, 3
 LARGEST = 1 << 27  # of a component, so that a squared distance is a long
 
 Tables = tuple[np.ndarray, np.ndarray]
+Ends = tuple[np.ndarray, np.ndarray, np.ndarray]  # of the cells, see cut_points
 
 
 def integers(values: np.ndarray) -> np.ndarray:
@@ -39,7 +42,7 @@ def integers(values: np.ndarray) -> np.ndarray:
     return np.floor(values * float(SCALE)).astype(np.int64)
 
 
-def cut_points(vectors: DataFrame, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def cut_points(vectors: DataFrame, dim: int) -> Ends:
     """Per dimension the upper ends of all cells but the last, the least and the greatest integer."""
     parts = [F.floor(F.col("x")[d].cast("double") * SCALE).cast("long") for d in range(dim)]
     shares = [k / CELLS for k in range(1, CELLS)]
@@ -107,18 +110,17 @@ def _sums(moves: DataFrame, k: int, dim: int) -> tuple[list[int], list[list[int]
     return n, total
 
 
-def _moves(rows: DataFrame, now: np.ndarray, before: np.ndarray | None, dim: int, tables: list[Tables]) -> DataFrame:
+def _moves(rows: DataFrame, now: np.ndarray, before: np.ndarray | None, dim: int, ends: Ends) -> DataFrame:
     """(cluster, n, total) per batch of full vectors: what each cluster gains, less what it loses."""
 
     def run(batches):
+        sides = [(centroids, lookup(centroids, *ends), sign) for centroids, sign in ((now, 1), (before, -1)) if centroids is not None]
         for batch in batches:
             x = _matrix(batch.column(0), np.int32, dim).astype(np.int64)
             cells = _matrix(batch.column(1), np.uint8, dim)
             n = np.zeros(len(now), np.int64)
             total = np.zeros((len(now), dim), np.int64)
-            for centroids, table, sign in ((now, tables[0], 1), (before, tables[-1], -1)):
-                if centroids is None:
-                    continue
+            for centroids, table, sign in sides:
                 which, _ = nearest(x, centroids, possible(cells, table))
                 np.add.at(n, which, sign)
                 np.add.at(total, which, sign * x)
@@ -129,13 +131,14 @@ def _moves(rows: DataFrame, now: np.ndarray, before: np.ndarray | None, dim: int
     return rows.select("x", "cells").mapInArrow(run, "cluster int, n long, total array<long>")
 
 
-def _to_fetch(cells: DataFrame, dim: int, now: Tables, before: Tables) -> DataFrame:
+def _to_fetch(cells: DataFrame, dim: int, now: np.ndarray, before: np.ndarray, ends: Ends) -> DataFrame:
     """Rows whose cluster the cells do not decide in both rounds, or that change it."""
 
     def run(batches):
+        tables, tables_before = lookup(now, *ends), lookup(before, *ends)
         for batch in batches:
             c = _matrix(batch.column(1), np.uint8, dim)
-            a, b = possible(c, now), possible(c, before)
+            a, b = possible(c, tables), possible(c, tables_before)
             sure = (a.sum(axis=1) == 1) & (b.sum(axis=1) == 1) & (a.argmax(axis=1) == b.argmax(axis=1))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(~sure))], names=["row"])
 
@@ -169,32 +172,31 @@ def centroid_clustering(
     centroids = np.array([r["x"] for r in first.orderBy("h", "x").limit(k).collect()], np.int64)
     if not len(centroids):
         return spark.createDataFrame([], schema)
-    cuts, low, high = cut_points(read, dim)
+    ends = cut_points(read, dim)
 
     def described(batches):
         for batch in batches:
             x = integers(batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _binary(cells_of(x, cuts)), _binary(x.astype(np.int32))], names=["row", "id", "cells", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _binary(cells_of(x, ends[0])), _binary(x.astype(np.int32))], names=["row", "id", "cells", "x"])
 
     rows = read.select(F.monotonically_increasing_id().alias("row"), "id", "x").mapInArrow(described, f"row long, id {kind}, cells binary, x binary")
     full = scratch.keep(rows, "full", bucket_by="row")
     cells = scratch.keep(full.select("row", "cells"), "cells")
 
-    tables = lookup(centroids, cuts, low, high)
-    n, total = _sums(_moves(full, centroids, None, dim, [tables]), len(centroids), dim)
+    n, total = _sums(_moves(full, centroids, None, dim, ends), len(centroids), dim)
     for turn in range(rounds):
         after = np.array([[t // n[c] for t in total[c]] if n[c] else centroids[c] for c in range(len(centroids))], np.int64)
         if (after == centroids).all():
             break  # all later rounds give the same centroids
-        before, tables_before = centroids, tables
-        centroids, tables = after, lookup(after, cuts, low, high)
+        before, centroids = centroids, after
         if turn + 1 < rounds:
-            fetched = full.join(_to_fetch(cells, dim, tables, tables_before), "row")
-            gained, moved = _sums(_moves(fetched, centroids, before, dim, [tables, tables_before]), len(centroids), dim)
+            fetched = full.join(_to_fetch(cells, dim, centroids, before, ends), "row")
+            gained, moved = _sums(_moves(fetched, centroids, before, dim, ends), len(centroids), dim)
             n = [a + b for a, b in zip(n, gained)]
             total = [[a + b for a, b in zip(x, y)] for x, y in zip(total, moved)]
 
     def assigned(batches):
+        tables = lookup(centroids, *ends)
         for batch in batches:
             which, d = nearest(_matrix(batch.column(2), np.int32, dim).astype(np.int64), centroids, possible(_matrix(batch.column(1), np.uint8, dim), tables))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(which, pa.int32()), pa.array(d)], names=["id", "cluster", "distance"])

@@ -6,6 +6,7 @@ import hashlib
 
 import numpy as np
 import pytest
+from pyspark import SparkContext
 
 from tallyframe.llm import centroid_clustering as C
 from tallyframe.llm.common import read_table
@@ -64,3 +65,15 @@ def test_cells_decide_most_and_never_wrongly():
     assert (open_.sum(axis=1) == 1).mean() > 0.5
     which, best = C.nearest(x, cen, open_)
     assert (which == d.argmin(axis=1)).all() and (best == d.min(axis=1)).all()
+
+
+def test_functions_sent_to_tasks_are_small(spark, monkeypatch):
+    """Larger ones become broadcast files, which stay on the disk of the driver and the executors."""
+    sent = []
+    broadcast = SparkContext.broadcast
+    monkeypatch.setattr(SparkContext, "broadcast", lambda self, value: sent.append(len(value)) or broadcast(self, value))
+    g = np.random.default_rng(6)
+    rows = [(i, [float(np.float32(v)) for v in g.normal(size=64)]) for i in range(60)]
+    made = spark.createDataFrame([(i, v, 1, "c", 2) for i, v in rows], SCHEMA)
+    got = sorted(map(tuple, C.centroid_clustering(made).collect()), key=str)
+    assert got == brute(rows) and sent == []
