@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallyframe import session
 from tallyframe.operators import mail, metrics, reports, validation
@@ -119,3 +120,23 @@ def test_export_works_payloads_out_once(spark, sf_dir, written):
     tables = reporting.transparency(spark, sf_dir)
     plans = [*written, *map(plan_of, tables.values())]
     assert sum("collect_list" in p for p in plans) == 1  # lines gathered to payloads
+
+
+def test_only_what_signals_need_goes_through_their_joins(spark, sf_dir, written):
+    QUERIES["crm_outbox"].build(spark, sf_dir)
+    joins = [p for p in written if "duplicate_key" in p]
+    assert len(joins) == 1 and "document_hash" not in joins[0]
+
+
+def shuffle_files(spark) -> int:
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    return len(re.findall(r"/shuffle_", disk.getAllFiles().mkString("\n")))
+
+
+def test_shuffle_files_go_with_the_write(spark):
+    rows = spark.range(1000).groupBy((F.col("id") % 10).alias("k")).count()
+    before = shuffle_files(spark)
+    path = session.store(rows, "grouped")
+    assert spark.read.parquet(path).count() == 10
+    assert shuffle_files(spark) <= before
+    assert len(rows.collect()) == len(rows.collect()) == 10  # a repeated action makes them anew

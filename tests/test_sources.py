@@ -9,9 +9,9 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from tallyframe import schemas
+from tallyframe import schemas, session
 from tallyframe.config import MailRules
-from tallyframe.operators import extraction, mail, reports, workflow
+from tallyframe.operators import extraction, mail, reports, risk, workflow
 from tallyframe.sources import sinks, stores
 from tallyframe.streaming import jobs
 
@@ -220,6 +220,29 @@ def test_outbox_text(spark):
     }
 
 
+def test_outbox_files_are_compressed(spark, tmp_path):
+    rows = spark.range(20_000).select("id", F.lit("a vendor").alias("vendor_name"))
+    sinks.write_outbox(rows, f"{tmp_path}/outbox")
+    files = list((tmp_path / "outbox").glob("part-*"))
+    text = [r.value for r in sinks.crm_outbox(rows).collect()]
+    assert sorted(r.value for r in spark.read.text(f"{tmp_path}/outbox").collect()) == sorted(text)
+    assert sum(f.stat().st_size for f in files) * 5 < sum(map(len, text))
+
+
+def test_scores_by_row_equal_those_of_one_plan(spark):
+    invoices = spark.createDataFrame(
+        [(1, "a", "d", 5, 0.9, 7), (1, "a", "d", 5, 0.6, 7), (None, None, "d", 4, None, None), (2, "b", None, None, 0.9, 8), (3, "b", "d", 9, 0.9, 9)],
+        "id long, vendor_name string, invoice_date string, total_amount long, confidence_score double, src_key long",
+    ).withColumn("total_amount", F.col("total_amount").cast("decimal(18,2)"))
+    lines = spark.sql("SELECT * FROM VALUES (7L, 5BD), (8L, 1BD), (NULL, 4BD) AS t(invoice_id, total_price)")
+    vendors = spark.createDataFrame([("a", 1.0), ("b", 3.0), ("b", 6.0)], "vendor_name string, avg_invoice_value double")
+    plain = risk.score_invoices(invoices, lines, vendors, "src_key")
+    given = session.stored(invoices.withColumn("place", F.monotonically_increasing_id()), "given")
+    by_row = risk.score_invoices(given, lines, vendors, "src_key", row="place")
+    assert by_row.columns == plain.columns
+    assert sorted(map(str, by_row.collect())) == sorted(map(str, plain.collect())) and plain.count() == 7
+
+
 def test_sanitize_at_any_depth(spark):
     nan, inf = math.nan, math.inf
     df = spark.createDataFrame(
