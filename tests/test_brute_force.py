@@ -176,6 +176,18 @@ def test_a_hot_key_is_numbered_in_several_tasks(spark, small_partitions):
     assert len(parts) > 1 and max(r["count"] for r in parts) < 15_000
 
 
+def test_hot_and_other_keys_are_numbered_alike(spark):
+    """Only rows of hot keys are dealt and written on the way; a null may be a hot key."""
+    df = spark.range(40_000).select(
+        F.when(F.col("id") % 2 == 0, None).when(F.col("id") % 3 == 0, -1).otherwise(F.col("id") % 50).alias("k"), F.xxhash64("id").alias("a")
+    )
+    kept = []
+    got = number_rows(df, "k", ["a"], "n", lambda d: kept.append(stored(d, "test")) or kept[0])
+    want = df.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy("a")).cast("long"))
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    assert kept[0].filter("k IS NULL").count() == 20_000 and kept[0].count() < 20_000 + 10_000
+
+
 def test_ranks_over_all_rows(spark):
     df = spark.range(1000).select(F.xxhash64("id").alias("h"))
     got = [r.n for r in rank_rows(df, ["h"], "n").orderBy("h").collect()]

@@ -140,3 +140,16 @@ def test_shuffle_files_go_with_the_write(spark):
     assert spark.read.parquet(path).count() == 10
     assert shuffle_files(spark) <= before
     assert len(rows.collect()) == len(rows.collect()) == 10  # a repeated action makes them anew
+
+
+def test_lines_are_shuffled_once_to_their_payloads(spark, sf_dir, written):
+    plan = plan_of(derived.payloads(derived.invoices(spark, sf_dir), derived.lines(spark, sf_dir)))
+    assert "collect_list" in plan and not re.search(r"Exchange hash[^\n]*\n[^\n]*ObjectHashAggregate", plan)
+    assert "Window" not in plan and sum("Window" in p and "lineitem" in p for p in written) == 1
+
+
+def test_only_what_is_read_stays_in_scratch(spark, sf_dir):
+    with session.noted() as made:
+        QUERIES["ai_flattened"].build(spark, sf_dir)
+    left = {p.rsplit("/", 1)[1].split("-")[1] for p in made if spark.sparkContext._jvm.java.io.File(p.removeprefix("file:")).exists()}
+    assert left == {"payload"}
