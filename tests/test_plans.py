@@ -152,12 +152,17 @@ def test_only_what_is_read_stays_in_scratch(spark, sf_dir):
     with session.noted() as made:
         QUERIES["ai_flattened"].build(spark, sf_dir)
     left = {p.rsplit("/", 1)[1].split("-")[1] for p in made if spark.sparkContext._jvm.java.io.File(p.removeprefix("file:")).exists()}
-    assert left == {"payload"}
+    assert left == {"payload", "shared"}
 
 
 def test_export_leaves_its_two_bases_and_the_opened_payloads(spark, sf_dir):
     with session.noted() as made:
         tables = reporting.transparency(spark, sf_dir)
     left = sorted(p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in made if spark.sparkContext._jvm.java.io.File(p.removeprefix("file:")).exists())
-    assert left[:1] == ["tallyframe-ledger"] and set(left[1:]) == {"tallyframe-payload-level", "tallyframe-payloads"}
+    assert left[:1] == ["tallyframe-ledger"] and set(left[1:]) == {"tallyframe-payload-level", "tallyframe-payloads", "tallyframe-shared-ids"}
     assert next(iter(tables)) == "ai_flattened"
+
+
+def test_payloads_of_ids_of_their_own_are_not_shuffled(spark):
+    df = spark.createDataFrame([(1, '{"a": {"b": 1}}'), (2, None)], "id long, ai_raw_data string")
+    assert "Exchange" not in plan_of(reports.ai_flattened(df))

@@ -305,3 +305,20 @@ def test_edit_log(spark):
     assert sorted((r.invoice_id, r.field_name, r.old_value, r.new_value) for r in log.collect()) == [
         (1, "Date", "d", "None"), (1, "Line Items", "Original AI Table", "User Modified Table"), (1, "Vendor", "a", "A"),
     ]
+
+
+def test_payloads_of_one_id_become_one_row(spark):
+    rows = [(1, '{"a": {"b": 1}, "c": null}'), (1, '{"c": "x", "a.b": 2}'), (2, '{"a": {}}'), (2, None), (None, '{"a": 5}'), (None, '{"d": 6}'), (3, '{"c": [1]}')]
+    wide = reports.ai_flattened(spark.createDataFrame(rows, "id long, ai_raw_data string"))
+    got = {r["invoice_id"]: r.asDict() for r in wide.collect()}
+    assert wide.columns == ["invoice_id", "a", "a.b", "c", "d"] and wide.count() == 4
+    assert got[1].pop("a.b") in ("1", "2") and got[1] == {"invoice_id": 1, "a": None, "c": "x", "d": None}
+    assert got[3]["c"] == "[1]" and set(got[2].values()) == {2, None} and set(got[None].values()) == {None}
+
+
+def test_payloads_deeper_than_a_pass_keep_one_row(spark):
+    deep = '{"k": ' * 20 + '{"x": 1, "y": {}}' + "}" * 20
+    wide = reports.ai_flattened(spark.createDataFrame([(1, deep), (2, '{"x": [{"k": 1}]}')], "id long, ai_raw_data string"))
+    path = "k." * 20 + "x"
+    assert wide.columns == ["invoice_id", path, "x"]
+    assert sorted(map(tuple, wide.collect())) == [(1, "1", None), (2, None, '[{"k":1}]')]
